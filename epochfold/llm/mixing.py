@@ -90,6 +90,15 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     return F.when(a >= b, a).otherwise(F.aggregate(F.sequence(a, b), start, step, lambda acc: acc["k"]))
 
 
+def _draw_at(level: int, seed: int):
+    def draw(acc: Column, x: Column) -> Column:
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("shard"), x["s"]), F.lit(1 << 52)).cast("double") / float(1 << 52)
+        k = hypergeometric(acc["left"], x["n"], acc["draw"], u)
+        return F.struct((acc["left"] - x["n"]).alias("left"), (acc["draw"] - k).alias("draw"), F.concat(acc["out"], F.array(k)).alias("out"))
+
+    return draw
+
+
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """quotas(source, quota) split among shards: rows of (shard, source, from, to), runs of permuted blocks.
 
@@ -101,13 +110,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         total = F.aggregate("_at", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         node = node.select("*", total.alias("_all"))
 
-        def draw(acc: Column, x: Column, level: int = level) -> Column:
-            u = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("shard"), x["s"]), F.lit(1 << 52)).cast("double") / float(1 << 52)
-            k = hypergeometric(acc["left"], x["n"], acc["draw"], u)
-            return F.struct((acc["left"] - x["n"]).alias("left"), (acc["draw"] - k).alias("draw"), F.concat(acc["out"], F.array(k)).alias("out"))
-
         start = F.struct(F.col("_all").alias("left"), F.ceil(F.col("_all") / 2).cast("long").alias("draw"), F.array().cast("array<bigint>").alias("out"))
-        node = node.select("*", F.aggregate("_at", start, draw, lambda acc: acc["out"]).alias("_k"))
+        node = node.select("*", F.aggregate("_at", start, _draw_at(level, seed), lambda acc: acc["out"]).alias("_k"))
         left = F.zip_with("_at", "_k", lambda x, k: F.struct(x["s"].alias("s"), k.alias("n"), x["f"].alias("f")))
         right = F.zip_with("_at", "_k", lambda x, k: F.struct(x["s"].alias("s"), (x["n"] - k).alias("n"), (x["f"] + k).alias("f")))
         half = F.struct((F.col("shard") * 2).alias("shard"), left.alias("_at")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("_at"))
