@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import mixing, url_filter
+from epochfold.llm import mixing, simhash, url_filter
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -21,6 +21,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = C.table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -50,7 +55,7 @@ FROM p LEFT JOIN ruled USING (host, path) LEFT JOIN blocked USING (host, path)
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op3_url_filter": op3_url_filter}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
