@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import mixing, simhash, url_filter
+from epochfold.llm import media, mixing, simhash, url_filter
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -33,6 +33,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules, listed).drop("url")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _LISTED_ROWS = ", ".join(f"('{h}')" for h, _ in LISTED)
 _OP3_SQL = f"""
@@ -55,7 +59,7 @@ FROM p LEFT JOIN ruled USING (host, path) LEFT JOIN blocked USING (host, path)
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op7_media": op7_media}
 
 
 def oracle_sql() -> dict[str, str]:
