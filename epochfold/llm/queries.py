@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import media, mixing, simhash, url_filter
+from epochfold.llm import licenses, media, mixing, simhash, url_filter
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -33,6 +33,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules, listed).drop("url")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,9 +63,36 @@ FROM p LEFT JOIN ruled USING (host, path) LEFT JOIN blocked USING (host, path)
 """
 
 
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', {sorted(set(licenses._words(t)))!r})" for k, (label, t) in enumerate(licenses.TEMPLATES))
+_PHRASE_ROWS = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES)
+_SPACED = lambda c: f"regexp_replace(' ' || translate(coalesce({c}, ''), '{C.UPPER}', '{C.LOWER}') || ' ', '{C.ALNUM_GAP}', ' ', 'g')"
+_OP6_SQL = f"""
+WITH phrase(p, label, n) AS (VALUES {_PHRASE_ROWS}),
+template(k, label, words) AS (VALUES {_TEMPLATE_ROWS}),
+d AS (SELECT doc_id, text, string_split(trim({_SPACED("text")}), ' ') AS w FROM documents),
+place AS (
+  SELECT doc_id, label, i FROM d JOIN phrase ON contains({_SPACED("text")}, ' ' || p || ' '),
+         unnest(range(0, len(w) - n + 1)) AS u(i)
+  WHERE array_to_string(w[i + 1 : i + n], ' ') = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         list_sort(list_distinct(list(label))) AS own FROM place GROUP BY doc_id),
+line AS (SELECT doc_id, list_distinct(string_split(trim({_SPACED("x")}), ' ')) AS w FROM d, unnest(string_split(text, chr(10))) AS u(x)),
+hit AS (
+  SELECT doc_id, label, len(list_intersect(words, w))::DOUBLE / len(words) AS c FROM line JOIN template ON list_has_any(words, w)
+  WHERE len(list_intersect(words, w)) >= ceil({licenses.CONTAINMENT} * len(words) - 1e-9)),
+alike AS (SELECT doc_id, list(label) AS more, max(c) AS best, count(*) AS n_blocks FROM hit GROUP BY doc_id)
+SELECT doc_id, CASE WHEN w = [''] THEN 0 ELSE len(w) END AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(coalesce(own, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN alike USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op7_media": op7_media}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op6_licenses": op6_licenses, "op7_media": op7_media}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3_SQL}
+    return {"op3_url_filter": _OP3_SQL, "op6_licenses": _OP6_SQL}
