@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import licenses, media, mixing, quality, simhash, url_filter
+from epochfold.llm import decontaminate, licenses, media, mixing, quality, simhash, url_filter
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -48,6 +48,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, C.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _LISTED_ROWS = ", ".join(f"('{h}')" for h, _ in LISTED)
 _OP3_SQL = f"""
@@ -97,7 +102,7 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN alike USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
