@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import decontaminate, licenses, media, mixing, quality, simhash, url_filter
+from epochfold.llm import decontaminate, licenses, media, mixing, quality, repeats, simhash, url_filter
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -33,6 +33,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules, listed).drop("url")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")
@@ -102,7 +106,7 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN alike USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op5_repeats": op5_repeats, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
