@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import decontaminate, licenses, media, mixing, quality, repeats, simhash, url_filter
+from epochfold.llm import decontaminate, licenses, lines, media, mixing, quality, repeats, simhash, url_filter
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -33,6 +33,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules, listed).drop("url")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -105,9 +110,24 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN alike USING (doc_id)
 """
 
 
+_OP4_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, i, l[i] AS x, len(l) AS n, i = len(l) OR
+           ('0x' || substr(md5((CASE WHEN i > 1 THEN md5(l[i - 1]) ELSE '' END) || md5(l[i])), 1, 4))::INT % {lines.MEAN_LINES} = 0 AS ends
+         FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
+numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM line),
+chunk AS (SELECT doc_id, c, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, c),
+ranked AS (SELECT doc_id, c, n, t, n >= {lines.LEAST_LINES} AND row_number() OVER (PARTITION BY n >= {lines.LEAST_LINES}, t ORDER BY doc_id, c) > 1 AS gone FROM chunk),
+kept AS (SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed,
+                coalesce(string_agg(t, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS t FROM ranked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(t) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op5_repeats": op5_repeats, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_lines": op4_lines, "op5_repeats": op5_repeats, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3_SQL, "op6_licenses": _OP6_SQL}
+    return {"op3_url_filter": _OP3_SQL, "op4_lines": _OP4_SQL, "op6_licenses": _OP6_SQL}
