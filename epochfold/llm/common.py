@@ -54,16 +54,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation.
-
-    The files go when this Python process ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder; what is there goes when this Python process ends."""
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return path
+
+
+def stash(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
+    path = scratch(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import decontaminate, licenses, lines, media, mixing, quality, repeats, simhash, url_filter
+from epochfold.llm import decontaminate, licenses, lines, media, mixing, quality, repeats, simhash, token_files, url_filter
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -62,6 +62,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, C.table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary; a file that driver and executors find at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.through_files(C.table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _LISTED_ROWS = ", ".join(f"('{h}')" for h, _ in LISTED)
 _OP3_SQL = f"""
@@ -126,7 +137,7 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_lines": op4_lines, "op5_repeats": op5_repeats, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_lines": op4_lines, "op5_repeats": op5_repeats, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
