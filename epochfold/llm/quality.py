@@ -195,3 +195,13 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col
     out = src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _score double")
     return out.select(*keep, held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores threshold or more, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(matrix(b.column(at).to_pylist())) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
