@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from epochfold.plans import signal_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**signal_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**signal_queries.ORACLE}
