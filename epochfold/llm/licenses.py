@@ -47,18 +47,17 @@ def _words(text: str) -> list[str]:
     return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()
 
 
-def phrase_places(spaced: Column, phrase: str) -> Column:
-    """Word numbers at which the phrase's words stand in a row; overlaps count."""
-    w = phrase.split()
-    parts = F.split(F.trim(spaced), " ")
-    found = F.filter(F.sequence(F.lit(0), F.size(parts) - len(w)), lambda i: F.slice(parts, i + 1, len(w)) == F.array(*[F.lit(x) for x in w]))
-    return F.when(F.contains(spaced, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
+def phrase_places(w: Column, phrase: str) -> Column:
+    """Numbers of the words at which the phrase's words stand in a row; overlaps count. w: a column, not an expression."""
+    own = phrase.split()
+    here = lambda i: functools.reduce(operator.and_, [F.get(w, i + k) == x for k, x in enumerate(own)])
+    return F.when(F.size(w) >= len(own), F.filter(F.sequence(F.lit(0), F.size(w) - len(own)), here))
 
 
-def word_frequencies(texts: DataFrame, spaced: str, vocabulary: list[str]) -> dict[str, int]:
-    """In how many texts of the corpus each word of the vocabulary stands; one aggregate row, whatever the corpus."""
-    row = texts.agg(*[F.count_if(F.contains(F.col(spaced), F.lit(f" {w} "))).alias(f"n{i}") for i, w in enumerate(vocabulary)]).first()
-    return dict(zip(vocabulary, row, strict=True))
+def word_frequencies(words: DataFrame, column: str, vocabulary: list[str]) -> dict[str, int]:
+    """How often each word of the vocabulary stands in the corpus; a row for each word, whatever the corpus."""
+    hits = words.select(F.explode_outer(column).alias("w")).where(F.col("w").isin(vocabulary))
+    return {r["w"]: r["count"] for r in hits.groupBy("w").count().collect()}
 
 
 def order_templates(templates: list[tuple[str, str]], frequency: dict[str, int], share: float) -> list[tuple[str, list[str], int]]:
@@ -99,17 +98,18 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates; split the list")
     vocabulary = sorted({w for _, t in templates for w in _words(t)})
-    frequency = word_frequencies(docs.select(_spaced(F.col(text_col)).alias("_t")), "_t", vocabulary)
+    spaced = docs.select(F.col(id_col), F.col(text_col).alias("_text"), _spaced(F.col(text_col)).alias("_t"))
+    frequency = word_frequencies(spaced.select(F.split("_t", " ").alias("_w")), "_w", vocabulary)
     ordered = order_templates(templates, frequency, share)
-    rare_words = sorted({w for _, order, need in ordered for w in order[: len(order) - need + 1]})
-    rare = F.array(*[F.lit(w) for w in rare_words])
-    maybe = functools.reduce(operator.or_, [F.contains(F.col("_t"), F.lit(f" {w} ")) for w in rare_words])
-
-    t = docs.select(F.col(id_col), F.col(text_col).alias("_text"), _spaced(F.col(text_col)).alias("_t"))
-    places = F.array_sort(F.flatten(F.array(*[phrase_places(F.col("_t"), p) for p, _ in phrases])))
-    own = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.contains(F.col("_t"), F.lit(f" {p} ")), F.lit(label)) for p, label in phrases]), lambda x: x.isNotNull())))
-    n_words = F.when(F.length("_t") > 1, F.length("_t") - F.length(F.replace(F.col("_t"), F.lit(" "))) - 1).otherwise(0)
-    t = t.select(id_col, "_text", n_words.cast("long").alias("n_words"), places.alias("_places"), own.alias("_own"), maybe.alias("_maybe"))
+    rare = F.array(*[F.lit(w) for w in sorted({w for _, order, need in ordered for w in order[: len(order) - need + 1]})])
+
+    # each step in a projection of its own, so that nothing is worked out twice
+    t = spaced.select(id_col, "_text", F.split(F.trim("_t"), " ").alias("_w"), *[F.contains(F.col("_t"), F.lit(f" {p} ")).alias(f"_has{k}") for k, (p, _) in enumerate(phrases)])
+    none = F.array().cast("array<int>")
+    places = F.array_sort(F.flatten(F.array(*[F.when(F.col(f"_has{k}"), F.coalesce(phrase_places(F.col("_w"), p), none)).otherwise(none) for k, (p, _) in enumerate(phrases)])))
+    own = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.col(f"_has{k}"), F.lit(label)) for k, (_, label) in enumerate(phrases)]), lambda x: x.isNotNull())))
+    n_words = F.when((F.size("_w") == 1) & (F.get("_w", F.lit(0)) == ""), 0).otherwise(F.size("_w"))
+    t = t.select(id_col, "_text", n_words.cast("long").alias("n_words"), places.alias("_places"), own.alias("_own"), F.arrays_overlap("_w", rare).alias("_maybe"))
 
     def of_line(line: Column) -> Column:
         return F.array_distinct(F.split(F.trim(_spaced(line)), " "))
