@@ -21,16 +21,20 @@ def limits(train_samples: DataFrame, keys: list[str], value: str = "v", low: flo
 def exact_limits(train_samples: DataFrame, keys: list[str], value: str = "v", low: float = LOW, high: float = HIGH, accuracy: int = 10_000) -> DataFrame:
     """The same for any number of values: sketch quantiles bracket each rank, and only rows between are sorted.
 
-    A bracket holds about 4 / accuracy of a key's rows; ranks are counted from the rows below it, so the result is exact.
+    A bracket holds about 6 / accuracy of a key's rows; ranks are counted from the rows below it, so the result is exact.
     """
     from pyspark.sql import Window
 
-    eps = 2.0 / accuracy
+    eps = 3.0 / accuracy
     marks = [max(0.0, low - eps), min(1.0, low + eps), max(0.0, high - eps), min(1.0, high + eps)]
     rough = train_samples.groupBy(*keys).agg(F.percentile_approx(value, marks, accuracy).alias("_m"), F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"))
     out = None
     for name, q, a, b in (("lo", low, 0, 1), ("hi", high, 2, 3)):
-        edge = rough.select(*keys, "_n", F.when(F.lit(marks[a] == 0.0), F.col("_min")).otherwise(F.get("_m", F.lit(a))).alias("_a"), F.when(F.lit(marks[b] == 1.0), F.col("_max")).otherwise(F.get("_m", F.lit(b))).alias("_b"))
+        # a key with few rows is sorted as a whole: its neighbouring ranks may lie outside any sketch's bracket
+        few = F.col("_n") <= accuracy
+        low_edge = F.when(few | F.lit(marks[a] == 0.0), F.col("_min")).otherwise(F.get("_m", F.lit(a)))
+        high_edge = F.when(few | F.lit(marks[b] == 1.0), F.col("_max")).otherwise(F.get("_m", F.lit(b)))
+        edge = rough.select(*keys, "_n", low_edge.alias("_a"), high_edge.alias("_b"))
         near = train_samples.join(F.broadcast(edge), keys)
         below = near.where(F.col(value) < F.col("_a")).groupBy(*keys).agg(F.count("*").alias("_below"))
         rank = Window.partitionBy(*keys).orderBy(value)

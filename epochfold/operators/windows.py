@@ -121,7 +121,7 @@ def class_summary(windows: DataFrame, group: str, label: str = "label") -> DataF
 def select_channels(epochs: DataFrame, names: list[str], channels: str = "channels") -> DataFrame:
     """Channels in the order asked for; an absent one raises."""
     wanted = F.array(*[F.lit(n) for n in names])
-    pick = lambda n: F.coalesce(F.element_at(F.filter(channels, lambda c: c["name"] == n), 1), F.raise_error(F.concat(F.lit("channel not in the montage: "), n)).cast(epochs.schema[channels].dataType.elementType))
+    pick = lambda n: F.coalesce(F.get(F.filter(channels, lambda c: c["name"] == n), F.lit(0)), F.raise_error(F.concat(F.lit("channel not in the montage: "), n)).cast(epochs.schema[channels].dataType.elementType))
     return epochs.withColumn(channels, F.transform(wanted, pick))
 
 
