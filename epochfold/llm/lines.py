@@ -21,18 +21,21 @@ MEAN_LINES, LEAST_LINES = 4, 2
 FEW = 1_000_000
 
 
-def chunk_ends(lines: Column, mean: int = MEAN_LINES) -> Column:
-    """Numbers (from 1) of the lines that end a chunk; the last line always does."""
-    digests = F.transform(lines, lambda x: F.md5(x))
-    rolled = lambda i: F.md5(F.concat(F.when(i > 1, F.element_at(digests, i - 1)).otherwise(F.lit("")), F.element_at(digests, i)))
+def chunk_ends(digests: str, mean: int = MEAN_LINES) -> Column:
+    """Numbers (from 1) of the lines that end a chunk; the last line always does. digests: a column of the lines' MD5.
+
+    The digests are a column of their own, as an expression inside the lambda would be worked out again for each line.
+    """
+    rolled = lambda i: F.md5(F.concat(F.coalesce(F.get(digests, i - 2), F.lit("")), F.get(digests, i - 1)))
     ends = lambda i: F.conv(F.substring(rolled(i), 1, 4), 16, 10).cast("int") % mean == 0
-    return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | ends(i))
+    return F.filter(F.sequence(F.lit(1), F.size(digests)), lambda i: (i == F.size(digests)) | ends(i))
 
 
 def _with_chunks(docs: DataFrame, mean: int) -> DataFrame:
     """docs(k, text) with _lines and _chunks: array<struct<i, a, n, text>>; none for a null text."""
     d = docs.select("*", F.split("text", "\n").alias("_lines"))
-    d = d.select("*", chunk_ends(F.col("_lines"), mean).alias("_ends"))
+    d = d.select("*", F.transform("_lines", lambda x: F.md5(x)).alias("_digests"))
+    d = d.select("*", chunk_ends("_digests", mean).alias("_ends")).drop("_digests")
     start = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get("_ends", i - 1) + 1)
     part = lambda e, i: F.struct(i.alias("i"), start(i).alias("a"), (e - start(i) + 1).alias("n"))
     return d.withColumn("_chunks", F.transform("_ends", part))
@@ -40,7 +43,8 @@ def _with_chunks(docs: DataFrame, mean: int) -> DataFrame:
 
 def repeated_chunks(keyed: DataFrame, mean: int = MEAN_LINES, least: int = LEAST_LINES) -> DataFrame:
     """keyed(k, text) -> (k, i): the chunks that repeat an earlier one, byte by byte."""
-    own = _with_chunks(keyed, mean).select("k", "_lines", F.explode("_chunks").alias("_c")).where(F.col("_c.n") >= least)
+    # the outer explode keeps the planner from testing for empty chunks below the projections, lambda inside lambda
+    own = _with_chunks(keyed, mean).select("k", "_lines", F.explode_outer("_chunks").alias("_c")).where(F.col("_c.n") >= least)
     own = own.select("k", "_c.i", F.array_join(F.slice("_lines", F.col("_c.a"), F.col("_c.n")), "\n").alias("_t"))
     own = own.select("k", "i", "_t", F.xxhash64("_t").alias("h"))
     places = C.stash(own.select("k", "i", "h"), "lines-places")
