@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from epochfold.llm import common as C
 
 #: Ids in a block at most, but for a single longer document; ids in a lane at least; most lanes.
-BLOCK, LANE, LANES = 1 << 20, 256, 4096
+BLOCK, LANE, LANES = 1 << 21, 256, 8192
 _MIX_BITS, _LIT_BITS, _HASH_BITS = 16, 18, 18
 MOST_ID = (1 << 17) - 1
 _HEAD = struct.Struct("<4sIIIII")
@@ -88,26 +88,31 @@ class _Coder:
 
 
 class _Model:
-    """What a block has taught so far; the same on both sides."""
+    """What a block has taught so far; the same on both sides. Sureness runs from 0 to 3: up by one, or halved."""
+
+    after = np.array([0, 1, 0, 2, 1, 3, 1, 3], np.int8)
 
     def __init__(self, size: int, lanes: int):
         self.size, self.lanes = size, lanes
         self.next1, self.sure1 = np.zeros(size, np.int32), np.zeros(size, np.int8)
         self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int8)
         self.hits = np.ones((16, 3)) * [1, 1, 6]
-        self.counts = np.zeros(size, np.int64)
+        self.counts, self.fresh = np.zeros(size, np.int64), []
         self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.wave = 0
         self.levels()
         self.shares()
 
     def levels(self) -> None:
-        total = self.counts.sum()
+        if self.fresh:
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.size)
+            self.fresh = []
+        total = int(self.counts.sum())
         room = (1 << _LIT_BITS) - self.size
         freq = np.ones(self.size, np.int64)
         if total:
-            freq += self.counts * room // total
-        freq[0] += (1 << _LIT_BITS) - freq.sum()
+            freq += (self.counts * (room / total)).astype(np.int64)
+        freq[0] += (1 << _LIT_BITS) - int(freq.sum())
         self.freq, self.start = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
         self.symbol = None
 
@@ -120,31 +125,31 @@ class _Model:
         p = self.hits / self.hits.sum(axis=1, keepdims=True)
         f = np.maximum(1, (p * ((1 << _MIX_BITS) - 3)).astype(np.int64))
         f[:, 2] += (1 << _MIX_BITS) - f.sum(axis=1)
-        self.share, self.edge = f.astype(np.uint64), (np.cumsum(f, axis=1) - f).astype(np.uint64)
+        edge = np.cumsum(f, axis=1) - f
+        self.share, self.edge = f.astype(np.uint64).ravel(), edge.astype(np.uint64).ravel()
+        self.edge1, self.edge2 = edge[:, 1].copy(), edge[:, 2].copy()
 
     def look(self) -> None:
         self.slot = (self.before2 * 0x9E3779B1 ^ self.before1 * 0x85EBCA6B) >> 7 & ((1 << _HASH_BITS) - 1)
-        self.guess2, self.guess1 = self.next2[self.slot], self.next1[self.before1]
-        self.seen2, self.seen1 = self.sure2[self.slot], self.sure1[self.before1]
+        self.guess2, self.guess1 = self.next2.take(self.slot), self.next1.take(self.before1)
+        self.seen2, self.seen1 = self.sure2.take(self.slot), self.sure1.take(self.before1)
         self.mix = self.seen2.astype(np.int64) * 4 + self.seen1
 
     def kind(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, 2))
+        """0 where order 2 is right, 1 where order 1 alone is, 2 for another id."""
+        second, first = ids == self.guess2, ids == self.guess1
+        return 2 - first - (2 - first) * second
 
     def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
         for seen, sure, nxt, key, right in ((self.seen2, self.sure2, self.next2, self.slot, kind == 0), (self.seen1, self.sure1, self.next1, self.before1, ids == self.guess1)):
-            now = np.where(right, np.minimum(seen + 1, 3), seen >> 1)
-            put = ~right & (seen < 2)
+            sure[key] = self.after.take(seen * 2 + right)
+            put = np.flatnonzero(~right & (seen < 2))
             nxt[key[put]] = ids[put]
-            sure[key] = now
         self.hits += np.bincount(self.mix * 3 + kind, minlength=48).reshape(16, 3)
-        if len(ids) * 8 > self.size:
-            self.counts += np.bincount(ids, minlength=self.size)
-        else:
-            np.add.at(self.counts, ids, 1)
-        self.before2, self.before1 = self.before1, ids.astype(np.int64)
+        self.fresh.append(ids.copy())
+        self.before2, self.before1 = self.before1, self.fresh[-1]
         self.wave += 1
-        if self.wave & (self.wave - 1) == 0 or self.wave % 16 == 0:
+        if self.wave & (self.wave - 1) == 0 or self.wave % 32 == 0:
             self.levels()
             self.shares()
 
@@ -164,13 +169,15 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     coder, model = _Coder(lanes, steps), _Model(size, lanes)
-    some = np.uint64(1 << _LIT_BITS)
     for now in grid:
         model.look()
         kind = model.kind(now)
-        coder.put(model.edge[model.mix, kind], model.share[model.mix, kind], _MIX_BITS)
-        other = kind == 2
-        coder.put(np.where(other, model.start[now], 0).astype(np.uint64), np.where(other, model.freq[now], some), _LIT_BITS)
+        at = model.mix * 3 + kind
+        coder.put(model.edge.take(at), model.share.take(at), _MIX_BITS)
+        start, freq = model.start.take(now), model.freq.take(now)
+        said = np.flatnonzero(kind < 2)
+        start[said], freq[said] = 0, 1 << _LIT_BITS
+        coder.put(start, freq, _LIT_BITS)
         model.learn(now, kind)
     words, ends = coder.finish()
     tail = np.asarray(lengths, "<u4").tobytes() + ends.astype("<u4").tobytes() + words.astype("<u4").tobytes()
@@ -191,16 +198,19 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     _, steps = _shape(n)
     coder, model = _Coder(lanes, steps, words.astype(np.uint32), ends), _Model(size, lanes)
     grid = np.zeros((steps, lanes), np.int64)
-    some = np.uint64(1 << _LIT_BITS)
     for now in grid:
         model.look()
-        v = coder.peek(_MIX_BITS).astype(np.uint64)
-        kind = (v >= model.edge[model.mix, 1]).astype(np.int64) + (v >= model.edge[model.mix, 2])
-        coder.take(model.edge[model.mix, kind], model.share[model.mix, kind])
-        other = kind == 2
-        literal = model.symbols()[coder.peek(_LIT_BITS)]
-        coder.take(np.where(other, model.start[literal], 0).astype(np.uint64), np.where(other, model.freq[literal], some))
-        now[:] = np.where(other, literal, np.where(kind == 0, model.guess2, model.guess1))
+        v = coder.peek(_MIX_BITS)
+        kind = (v >= model.edge1.take(model.mix)).astype(np.int64) + (v >= model.edge2.take(model.mix))
+        at = model.mix * 3 + kind
+        coder.take(model.edge.take(at), model.share.take(at))
+        literal = model.symbols().take(coder.peek(_LIT_BITS))
+        start, freq = model.start.take(literal), model.freq.take(literal)
+        said = np.flatnonzero(kind < 2)
+        start[said], freq[said] = 0, 1 << _LIT_BITS
+        coder.take(start, freq)
+        now[:] = literal
+        now[said] = np.where(kind[said] == 0, model.guess2[said], model.guess1[said])
         model.learn(now, kind)
     ids = grid.T.ravel()[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
@@ -208,22 +218,127 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, lengths
 
 
-_tokenizers: dict = {}
+#: Pieces whose ids a worker remembers; beyond that it starts over.
+REMEMBERED = 800_000
+
+# Classes of bytes in text of ASCII and the letters from U+00C0 to U+00FF. 0: not handled here.
+_LETTER, _DIGIT, _SPACE, _BREAK, _MARK = 1, 2, 3, 4, 5
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_CLASS[48:58], _CLASS[32], _CLASS[[9, 10, 13]] = _DIGIT, _SPACE, _BREAK
+_CLASS[ord("'")] = 0
 
 
-def tokenizer(path: str):
-    """One tokenizer for each worker process and file."""
-    if path not in _tokenizers:
+class PieceEncoder:
+    """Ids of texts by the tokenizers library, each distinct piece of text encoded once.
+
+    A byte-level tokenizer cuts a text into pieces (a word with the space before it, digits, marks, white space) and
+    encodes each by itself. For texts of simple characters the cuts are found on whole batches of bytes, by the class
+    of each byte and the one before it; the library encodes the distinct pieces. Any other text goes to it whole.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.tok = Tokenizer.from_file(path)
+        rule = self.tok.pre_tokenizer
+        self.by_piece = type(rule).__name__ == "ByteLevel" and rule.use_regex and not rule.add_prefix_space and self.tok.normalizer is None
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends, self.fill = np.zeros(1 << 20, np.int32), [0], 0
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        if len(self.known) + len(pieces) > REMEMBERED and self.known:
+            self.known.clear()
+            self.ends, self.fill = [0], 0
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            for p, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
+                own = e.ids
+                if self.fill + len(own) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(own), np.int32)])
+                self.ids[self.fill : self.fill + len(own)] = own
+                self.fill += len(own)
+                self.known[p] = len(self.ends) - 1
+                self.ends.append(self.fill)
+
+    def _pieces(self, raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the pieces of texts that lie end to end, and how many each text has. edges: texts' borders."""
+        c = _CLASS[np.frombuffer(raw, np.uint8)]
+        white = (c == _SPACE) | (c == _BREAK)
+        before, first = np.roll(c, 1), np.zeros(len(c) + 1, bool)
+        first[edges[:-1]] = True
+        first, last = first[:-1], np.roll(first, -1)[: len(c)]
+        white_before = np.roll(white, 1) & ~first
+        # not white: after a line break, or after another class that isn't white
+        start = ~white & (first | ((c != before) & ~(before == _SPACE)))
+        # white: the first of its run, and the last of a run that text follows
+        text_after = np.roll(~white, -1)
+        text_after[-1:] = False
+        start |= white & (~white_before | (text_after & ~last))
+        starts = np.flatnonzero(start)
+        return starts, np.diff(np.searchsorted(starts, edges))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        simple = []
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = np.empty(0, np.int32)
+            elif self.by_piece and self._simple(t):
+                simple.append(i)
+        hard = [i for i in range(len(texts)) if out[i] is None and i not in set(simple)] if len(simple) < len(texts) else []
+        for i, e in zip(hard, self.tok.encode_batch_fast([texts[i].decode() for i in hard], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.int32)
+        if simple:
+            raw = b"".join(texts[i] for i in simple)
+            edges = np.concatenate([[0], np.cumsum([len(texts[i]) for i in simple])])
+            starts, per_text = self._pieces(raw, edges)
+            bounds = np.append(starts, len(raw)).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            new = [p for p in distinct if p not in self.known]
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                self.ends, self.fill, new = [0], 0, distinct
+            self._learn(new)
+            known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            ends = np.array(self.ends)
+            size = (ends[1:] - ends[:-1])[known]
+            stop = np.cumsum(size)
+            flat = self.ids.take(np.arange(stop[-1]) - np.repeat(stop - size - ends[:-1][known], size))
+            cuts = np.concatenate([[0], stop])[np.cumsum(per_text)]
+            for i, own in zip(simple, np.split(flat, cuts[:-1]), strict=True):
+                out[i] = own
+        return out
+
+    def _simple(self, t: bytes) -> bool:
+        b = np.frombuffer(t, np.uint8)
+        if not _CLASS[b].all() or any(s in t for s in self.special):
+            return False
+        if t.isascii():
+            return True
+        # beyond ASCII: pairs of C3 and a letter alone
+        lead = np.flatnonzero(b == 0xC3)
+        follow = b[np.minimum(lead + 1, len(b) - 1)]
+        return int((b >= 0x80).sum()) == 2 * len(lead) and bool(((follow >= 0x80) & (follow != 0x97) & (follow != 0xB7)).all())
+
+
+_encoders: dict = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """One encoder for each worker process and file."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def _encode(path: str, end_id: int):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = tokenizer(path)
+        enc = encoder(path)
         part, seq, n = TaskContext.get().partitionId(), 0, 0
         keys, ids, lengths = [], [], []
 
@@ -236,10 +351,11 @@ def _encode(path: str, end_id: int):
 
         for b in batches:
             kind = b.column(0).type
-            for at in range(0, b.num_rows, 256):
-                cut = b.slice(at, 256)
-                for key, e in zip(cut.column(0).to_pylist(), tok.encode_batch_fast([t or "" for t in cut.column(1).to_pylist()], add_special_tokens=False), strict=True):
-                    own = np.array([*e.ids, end_id], np.uint32)
+            for at in range(0, b.num_rows, 2048):
+                cut = b.slice(at, 2048)
+                texts = cut.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+                for key, got in zip(cut.column(0).to_pylist(), enc.encode(texts), strict=True):
+                    own = np.append(got, end_id).astype(np.uint32)
                     if n and n + len(own) > BLOCK:
                         yield block()
                     keys.append(key)
