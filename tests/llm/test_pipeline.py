@@ -71,3 +71,23 @@ def test_keep_good_keeps_every_column(spark):
     df = spark.createDataFrame([("t", None, 1.5), (None, 2, None)], "text string, score long, predicted double")
     model = quality.fit(np.zeros((3, len(quality.FEATURES))), np.ones(3))
     assert sorted(map(str, quality.keep_good(df, model).collect())) == sorted(map(str, df.collect()))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated rows and ids, empty and very long texts, an extra column with a clashing name."""
+    long_text = " ".join(f"word{i}" for i in range(30_000))
+    rows = [
+        (None, "some text without an id", None, None, None, "x"), (1, None, "en", "a", 3, None), (2, "", "en", "a", 0, "x"), (3, "the same row twice", "en", None, 5, "x"),
+        (3, "the same row twice", "en", None, 5, "x"), (3, "an id that repeats with another text", "en", "b", 5, "x"), (4, long_text, "en", "b", 9, "x"), (5, "ends \n\n here", "en", "b", 9, "x"),
+    ]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        columns = docs.columns
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == columns, name
+            got = out.collect()
+            assert set(map(str, got)) <= set(map(str, docs.collect())), name
+            docs = spark.createDataFrame(got, kind)
+        last = P.STAGES[-1][1](spark, docs, SF).collect()
+        assert len(last) == docs.count() and sorted(r.start for r in last)[:1] == [0][: len(last)]
