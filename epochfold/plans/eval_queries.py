@@ -42,7 +42,7 @@ def splits_expanding_group(s, d):
 
 def splits_expanding_row(s, d):
     w = splits.row_numbers(_windows(s, d), "start")
-    return splits.expanding_by_row(w, w.count(), 100, 50, 5).select("fold", "start", "role")
+    return splits.expanding_by_row(w, w.count(), 20, 50, 5).select("fold", "start", "role")
 
 
 def splits_chronological(s, d):
@@ -85,7 +85,7 @@ SPLIT_SQL = {
     "splits_expanding_group": views("recording", "windows") + f""", o AS (SELECT *, dense_rank() OVER (ORDER BY block) - 1 AS ord FROM windows),
         f AS (SELECT DISTINCT ord AS fold FROM o WHERE ord >= {LEAST_TRAIN} AND (ord - {LEAST_TRAIN}) % 2 = 0)
         SELECT fold::INT AS fold, start, CASE WHEN ord = fold THEN 'test' ELSE 'train' END AS role FROM o, f WHERE ord = fold OR ord < fold - 1""",
-    "splits_expanding_row": views("recording", "windows") + f""", {_PLACED}, f AS (SELECT unnest(range(100, (SELECT max(n) FROM placed), 50)) AS fold)
+    "splits_expanding_row": views("recording", "windows") + f""", {_PLACED}, f AS (SELECT unnest(range(20, (SELECT max(n) FROM placed), 50)) AS fold)
         SELECT fold, start, CASE WHEN pos >= fold THEN 'test' ELSE 'train' END AS role FROM placed, f WHERE (pos >= fold AND pos < fold + 50) OR pos < fold - 5""",
     "splits_chronological": views("recording", "windows") + f""", {_PLACED} SELECT start, pos, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train' ELSE 'test' END AS role
         FROM placed WHERE pos < floor(0.7::DOUBLE * n) OR pos >= floor(0.7::DOUBLE * n) + 3""",
