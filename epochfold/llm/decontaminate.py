@@ -42,7 +42,7 @@ def shingles(w: Column, k: Column) -> Column:
 def simhash(grams: Column) -> Column:
     """64 bits: one is set where over half of the shingles' hashes have it."""
     h = F.transform(grams, lambda g: F.xxhash64(g))
-    bit = lambda b: F.when(F.size(F.filter(h, lambda x: F.expr("1") == F.call_function("getbit", x, b))) * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    bit = lambda b: F.when(F.size(F.filter(h, lambda x: F.call_function("getbit", x, b) == 1)) * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
 
