@@ -35,7 +35,7 @@ def exact_limits(train_samples: DataFrame, keys: list[str], value: str = "v", lo
         low_edge = F.when(few | F.lit(marks[a] == 0.0), F.col("_min")).otherwise(F.get("_m", F.lit(a)))
         high_edge = F.when(few | F.lit(marks[b] == 1.0), F.col("_max")).otherwise(F.get("_m", F.lit(b)))
         edge = rough.select(*keys, "_n", low_edge.alias("_a"), high_edge.alias("_b"))
-        near = train_samples.join(F.broadcast(edge), keys)
+        near = train_samples.join(edge, keys)
         below = near.where(F.col(value) < F.col("_a")).groupBy(*keys).agg(F.count("*").alias("_below"))
         rank = Window.partitionBy(*keys).orderBy(value)
         between = near.where((F.col(value) >= F.col("_a")) & (F.col(value) <= F.col("_b"))).select(*keys, "_n", value, F.row_number().over(rank).alias("_r"))

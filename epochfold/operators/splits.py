@@ -57,7 +57,7 @@ def expanding_by_group(rows: DataFrame, group: str, order: str, n_init: int, ste
         raise ValueError("n_init and step are at least 1, gap at least 0")
     ords = group_order(rows, group, order)
     folds = ords.where((F.col("ord") >= n_init) & ((F.col("ord") - n_init) % step == 0) & (F.col("ord") - gap >= 1)).select(F.col("ord").alias("fold"))
-    placed = _fan_out(rows.join(F.broadcast(ords), group), folds)
+    placed = _fan_out(rows.join(ords, group), folds)
     role = F.when(F.col("ord") == F.col("fold"), "test").when(F.col("ord") < F.col("fold") - gap, "train")
     return placed.withColumn("role", role).where("role IS NOT NULL").drop("ord")
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Samples in a chunk of the two-level block numbering.
 CHUNK = 1 << 16
+#: Runs of a subject that a range join takes.
+MOST_RUNS = 10_000
 
 
 def window_samples(win_sec: float, sfreq: float) -> int:
@@ -71,7 +73,12 @@ def event_epochs(samples: DataFrame, events: DataFrame, first: int, last: int, v
 
 
 def run_of_event(events: DataFrame, runs: DataFrame, at: str = "at") -> DataFrame:
-    """events with the run whose range [first, end) holds their sample; -1 for none. runs is one row a run of a subject."""
+    """events with the run whose range [first, end) holds their sample; -1 for none.
+
+    runs has a row a run of one subject and is sent to all, so its size is checked.
+    """
+    if runs.limit(MOST_RUNS + 1).count() > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs; join them subject by subject")
     hit = (F.col(at) >= F.col("first")) & (F.col(at) < F.col("end"))
     return events.join(F.broadcast(runs), hit, "left").select(*events.columns, F.coalesce("run", F.lit(-1)).alias("run"))
 

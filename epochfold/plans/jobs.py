@@ -51,7 +51,7 @@ def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands:
     blocked = W.label_blocks(samples).persist()
     w = W.with_block(W.tumbling(blocked, win, channels), blocked).withColumnRenamed("label", "y")
     w = w.select("start", "y", "block", F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in channels]).alias("channels"))
-    w = splits.row_numbers(w.join(F.broadcast(W.super_blocks(w, per_super)), "block"), "start").persist()
+    w = splits.row_numbers(w.join(W.super_blocks(w, per_super), "block"), "start").persist()
     n = w.count()
     if not n:
         raise ValueError("the recording yields no windows of a single label")

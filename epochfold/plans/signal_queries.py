@@ -68,7 +68,7 @@ def super_blocks(s, d):
 
 def super_block_class_summary(s, d):
     w = windows(s, d)
-    return W.class_summary(w.join(F.broadcast(W.super_blocks(w, 4)), "block"), "super_block")
+    return W.class_summary(w.join(W.super_blocks(w, 4), "block"), "super_block")
 
 
 def _fold_samples(s, d):
