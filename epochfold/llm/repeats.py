@@ -33,7 +33,7 @@ LENGTH, GRAM, WINDOW = 400, 8, 256
 CONTEXT = LENGTH - (WINDOW - 1)
 SIDE = WINDOW - 1
 #: Contexts with more distinct spans than this are counted string by string; spans that are matched at once.
-GIANT, BATCH = 20_000, 20_000
+GIANT, BATCH = 20_000, 8_000
 #: Bytes of a text that are cut at once; the rest follows with an overlap, so nothing is lost.
 SEGMENT = 1 << 26
 _POSITION = np.uint64((1 << 27) - 1)
@@ -64,13 +64,20 @@ def phrases(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _slices(batches, rows: int = 256):
+    """Batches cut small, so that what a worker makes of one stays small beside it."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
 def _cut(batches):
     """(k, text) -> a row for each phrase: k, lo, n (positions after the first), o (trigger's offset), context and span keys."""
-    for b in batches:
+    for b in _slices(batches):
         rows = []
         for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             raw = (text or "").encode()
@@ -88,14 +95,14 @@ def _cut(batches):
 def _pack(batches):
     """(k, ..., text) with the text compressed, for the shuffle."""
     z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in _slices(batches):
         texts = pa.array([z.compress((t or "").encode()) for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], "z"])
 
 
 def _sides(batches):
     """(k, z, at: the phrases wanted) -> a row for each with the bytes before its trigger and after its context."""
-    for b in batches:
+    for b in _slices(batches):
         z = zstandard.ZstdDecompressor()
         out = []
         for k, packed, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -192,7 +199,7 @@ def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def _strings(batches):
     """Each string of giant groups' spans by a 128-bit key: ctx, h1, h2, k, p, once."""
-    for b in batches:
+    for b in _slices(batches):
         out = []
         for r in b.to_pylist():
             for s in range(max(0, r["o"] - r["n"]), r["o"] + 1):
@@ -213,7 +220,7 @@ def _cover(raw: bytes, ranges) -> np.ndarray:
 
 def _removed(with_text: bool):
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             z = zstandard.ZstdDecompressor()
             out = []
             for k, ranges, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -232,7 +239,8 @@ def _removed(with_text: bool):
 def repeated_ranges(keyed: DataFrame, giant: int = GIANT) -> DataFrame:
     """keyed(k, text), k unique -> (k, a, b): byte ranges whose union is what repeated strings cover."""
     cut = C.stash(keyed.mapInArrow(_cut, "k long, lo long, n int, o int, ctx long, span long"), "repeats-phrases")
-    seen = cut.groupBy("ctx").agg(F.count("*").alias("c"), (F.min("span") != F.max("span")).alias("mixed")).where("c > 1").select("ctx", "mixed")
+    # stored, so that the join below shuffles both sides for itself and a hot context can be split
+    seen = C.stash(cut.groupBy("ctx").agg(F.count("*").alias("c"), (F.min("span") != F.max("span")).alias("mixed")).where("c > 1").select("ctx", "mixed"), "repeats-seen")
     again = C.stash(cut.join(seen, "ctx"), "repeats-again")
     whole = again.where("NOT mixed").select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + LENGTH).alias("b"))
     mixed = again.where("mixed")
