@@ -24,7 +24,8 @@ from epochfold.llm import common as C
 
 #: Ids in a block at most, but for a single longer document; ids in a lane at least; most lanes.
 BLOCK, LANE, LANES = 1 << 21, 256, 8192
-_MIX_BITS, _LIT_BITS, _HASH_BITS = 16, 18, 18
+_MIX_BITS, _LIT_BITS, _HASH_BITS = 16, 18, 16
+_HALF, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 MOST_ID = (1 << 17) - 1
 _HEAD = struct.Struct("<4sIIIII")
 _MAGIC = b"CMRC"
@@ -113,12 +114,13 @@ class _Model:
         if total:
             freq += (self.counts * (room / total)).astype(np.int64)
         freq[0] += (1 << _LIT_BITS) - int(freq.sum())
-        self.freq, self.start = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+        # start and width of each id's share in one word: one look-up for both
+        self.level = (np.cumsum(freq) - freq).astype(np.uint64) << _HALF | freq.astype(np.uint64)
         self.symbol = None
 
     def symbols(self) -> np.ndarray:
         if self.symbol is None:
-            self.symbol = np.repeat(np.arange(self.size, dtype=np.int32), self.freq.astype(np.int64))
+            self.symbol = np.repeat(np.arange(self.size, dtype=np.int32), (self.level & _LOW).astype(np.int64))
         return self.symbol
 
     def shares(self) -> None:
@@ -174,7 +176,8 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         kind = model.kind(now)
         at = model.mix * 3 + kind
         coder.put(model.edge.take(at), model.share.take(at), _MIX_BITS)
-        start, freq = model.start.take(now), model.freq.take(now)
+        level = model.level.take(now)
+        start, freq = level >> _HALF, level & _LOW
         said = np.flatnonzero(kind < 2)
         start[said], freq[said] = 0, 1 << _LIT_BITS
         coder.put(start, freq, _LIT_BITS)
@@ -205,7 +208,8 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         at = model.mix * 3 + kind
         coder.take(model.edge.take(at), model.share.take(at))
         literal = model.symbols().take(coder.peek(_LIT_BITS))
-        start, freq = model.start.take(literal), model.freq.take(literal)
+        level = model.level.take(literal)
+        start, freq = level >> _HALF, level & _LOW
         said = np.flatnonzero(kind < 2)
         start[said], freq[said] = 0, 1 << _LIT_BITS
         coder.take(start, freq)
@@ -245,23 +249,45 @@ class PieceEncoder:
         rule = self.tok.pre_tokenizer
         self.by_piece = type(rule).__name__ == "ByteLevel" and rule.use_regex and not rule.add_prefix_space and self.tok.normalizer is None
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        #: bytes that an id stands for: a character of a byte-level token is a byte
+        vocabulary = self.tok.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[bytes, int] = {}
         self.ids, self.ends, self.fill = np.zeros(1 << 20, np.int32), [0], 0
 
     def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED and self.known:
-            self.known.clear()
-            self.ends, self.fill = [0], 0
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                own = e.ids
-                if self.fill + len(own) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(own), np.int32)])
-                self.ids[self.fill : self.fill + len(own)] = own
-                self.fill += len(own)
-                self.known[p] = len(self.ends) - 1
-                self.ends.append(self.fill)
+        """Words with a space before them are encoded end to end, many at a call: each starts a piece of its own there.
+
+        An id stands for a fixed number of bytes, so the words' borders are found again among the ids.
+        """
+        words, rest = [], []
+        for p in pieces:
+            (words if len(p) > 1 and p[0] == 32 and _CLASS[p[1]] == _LETTER else rest).append(p)
+        for at in range(0, len(words), 1 << 14):
+            part = words[at : at + (1 << 14)]
+            runs = [part[i : i + 128] for i in range(0, len(part), 128)]
+            for run, e in zip(runs, self.tok.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends, borders = np.cumsum(self.bytes_of.take(ids)), np.cumsum([len(p) for p in run])
+                last = np.searchsorted(ends, borders)
+                if len(last) and (last[-1] >= len(ends) or not np.array_equal(ends[last], borders)):
+                    rest += run
+                else:
+                    self._store(run, ids, last + 1)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            got = [e.ids for e in self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)]
+            self._store(part, np.concatenate([np.array(g, np.int32) for g in got]), np.cumsum([len(g) for g in got]))
+
+    def _store(self, pieces: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        if self.fill + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.int32)])
+        self.ids[self.fill : self.fill + len(ids)] = ids
+        first = len(self.ends) - 1
+        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.ends += (ends + self.fill).tolist()
+        self.fill += len(ids)
 
     def _pieces(self, raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pieces of texts that lie end to end, and how many each text has. edges: texts' borders."""
@@ -288,7 +314,8 @@ class PieceEncoder:
                 out[i] = np.empty(0, np.int32)
             elif self.by_piece and self._simple(t):
                 simple.append(i)
-        hard = [i for i in range(len(texts)) if out[i] is None and i not in set(simple)] if len(simple) < len(texts) else []
+        easy = set(simple)
+        hard = [i for i in range(len(texts)) if out[i] is None and i not in easy]
         for i, e in zip(hard, self.tok.encode_batch_fast([texts[i].decode() for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.int32)
         if simple:
@@ -351,8 +378,8 @@ def _encode(path: str, end_id: int):
 
         for b in batches:
             kind = b.column(0).type
-            for at in range(0, b.num_rows, 2048):
-                cut = b.slice(at, 2048)
+            for at in range(0, b.num_rows, 4096):
+                cut = b.slice(at, 4096)
                 texts = cut.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
                 for key, got in zip(cut.column(0).to_pylist(), enc.encode(texts), strict=True):
                     own = np.append(got, end_id).astype(np.uint32)
