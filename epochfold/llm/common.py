@@ -78,3 +78,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+#: Up to so many keys (8 or 16 bytes each), a list of rows to leave out is broadcast; a longer one is joined by shuffle.
+FEW_KEYS = 4_000_000
+
+
+def without_rows(df: DataFrame, gone: DataFrame, on) -> DataFrame:
+    """df less the rows that gone lists; rows with their texts stay in place unless the list is too long to send."""
+    return df.join(F.broadcast(gone) if gone.count() <= FEW_KEYS else gone, on, "left_anti")
+
+
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Are the ids whole numbers, without nulls or repeats?"""
+    whole = dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    return whole and df.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty()

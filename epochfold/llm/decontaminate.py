@@ -127,4 +127,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     mark, key = C.fresh(docs, "_mark", "_text_hash")
     held = contaminated(docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("doc_id"), text_col), benchmark, similarity, "doc_id", text_col)
     held = C.stash(held.select(F.col("doc_id.i").alias(mark), F.col("doc_id.h").alias(key)).distinct(), "decon-held")
-    return docs.join(held, docs[id_col].eqNullSafe(held[mark]) & (F.xxhash64(docs[text_col]) == held[key]), "left_anti")
+    return C.without_rows(docs, held, docs[id_col].eqNullSafe(held[mark]) & (F.xxhash64(docs[text_col]) == held[key]))

@@ -165,15 +165,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = BITS, id_col:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (null last); same columns."""
-    near = near_duplicates(docs, shingle, bits, id_col, text_col)
-    lead = near.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("_c"))
-    lead = C.stash(lead.agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))).alias("_m"), F.count("*").alias("_n")).select("_c", F.col("_m.i").alias("_id"), "_n"), "simhash-leads")
-    out = docs.join(lead.select("_id").distinct(), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    repeated = near.groupBy(id_col).count().where("count > 1")
-    if repeated.isEmpty():
-        return out
-    # ids that repeat: one row of each, the smallest by its columns
-    again = out.join(repeated.select(F.col(id_col).alias("_r")), out[id_col].eqNullSafe(F.col("_r")), "left_semi")
-    once = out.join(repeated.select(F.col(id_col).alias("_r")), out[id_col].eqNullSafe(F.col("_r")), "left_anti")
-    return once.unionByName(again.groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("_x")).select("_x.*"))
+    """docs with one row of each component: that of the smallest id (null last); same columns.
+
+    Only the list of rows that go is joined to the texts. Where ids are null or repeat, rows are told apart by the row
+    numbers of a stored copy, and the first of equal ids stays.
+    """
+    if C.unique_ids(docs, id_col):
+        near = near_duplicates(docs, shingle, bits, id_col, text_col)
+        gone = C.stash(near.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "simhash-gone")
+        return C.without_rows(docs, gone, docs[id_col] == gone["_gone"])
+    (key,) = C.fresh(docs, "_k")
+    kept = C.stash(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+    near = near_duplicates(kept, shingle, bits, key, text_col).select(key, "component_id")
+    near = near.join(kept.select(key, F.col(id_col).alias("_id")), key)
+    lead = near.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col(key).alias("k"))).alias("_m"))
+    gone = C.stash(near.join(lead, "component_id").where(F.col(key) != F.col("_m.k")).select(F.col(key).alias("_gone")), "simhash-gone")
+    return C.without_rows(kept, gone, kept[key] == gone["_gone"]).drop(key)

@@ -75,6 +75,10 @@ def test_nulls_repeats_empty(spark):
     out = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr)
     assert out == sorted([(None, 5), (5, 5), (5, 5), (7, 7)], key=repr)
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [5, 7]
+    odd = spark.createDataFrame([(None, "p q r s t u"), (None, "v w x y z a b"), (None, "v w x y z a b"), (3, "v w x y z a b")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text[0]) for r in simhash.keep_one(odd).collect()) == [("3", "v"), ("None", "p")]
+    whole = spark.createDataFrame([(2, "same text here for all"), (1, "same text here for all"), (9, "other")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(whole).collect()) == [1, 9]
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
