@@ -27,6 +27,8 @@ MOST = 3
 BLOCK_DOCS = 128
 #: Blocks in an output shard, on average, and the most shards that are planned.
 SHARD_BLOCKS, MOST_SHARDS = 64, 1 << 16
+#: Columns that a plan adds.
+ADDED = ("size", "source_size", "target", "placements")
 #: Up to so many sources, their table is broadcast.
 FEW_SOURCES = 10_000
 
@@ -129,8 +131,7 @@ def plan_mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS,
     and nothing else of docs is dropped.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(C.WORD)).cast("long")
-    added = [c for c in ("size", "source_size", "target", "placements") if c in docs.columns]
-    base = docs.drop(*added).withColumn("size", size)
+    base = docs.drop(*ADDED).withColumn("size", size)
     salt = F.xxhash64(F.lit(seed), F.col(id_col))
     slim = base.select(F.col(id_col), "source", "size", salt.alias("_h"))
     sized = C.stash(slim, "mix-sizes")
@@ -199,3 +200,11 @@ def mixed_rows(mix: DataFrame, columns: list[str], seed: int = 1, id_col: str =
     rows = mix.select(*columns, F.explode("placements").alias("_p")).select(*columns, F.col("_p.shard").alias(shard), F.col("_p.pass").alias(turn))
     rows = rows.withColumn(key, F.xxhash64(F.lit(seed + 3), shard, turn, id_col))
     return rows.repartition(F.col(shard)).sortWithinPartitions(shard, key, id_col).drop(key)
+
+
+def mix_documents(docs: DataFrame, seed: int = 1, **kw) -> DataFrame:
+    """docs as often as the mix takes them, shuffled inside its shards; the same columns, those of clashing names too."""
+    away = dict(zip(ADDED, C.fresh(docs, *[f"_own_{c}" for c in ADDED]), strict=True))
+    names = [away.get(c, c) for c in docs.columns]
+    rows = mixed_rows(plan_mix(docs.withColumnsRenamed(away), seed, **kw), names, seed)
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
