@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochfold.llm import common as C
+
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, CUES, CUE, CUE_TRACK = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7
 DOC_TYPE, TIMESTAMP_SCALE, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, RATE, CHANNELS, DEPTH, CLUSTER_TIME = 0x4282, 0x2AD7B1, 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264, 0xE7
@@ -249,5 +251,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     long, text = pa.int64(), pa.string()
     types = [long, long, text, long, long, text, text]
+    C.small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {kinds}").withColumnRenamed("id", id_col)

@@ -159,6 +159,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     own = own.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     chosen = C.stash(own.orderBy(F.xxhash64(id_col), id_col).limit(most), "quality-ids")
+    C.small_batches(docs.sparkSession)
     # the chosen ids are at most `most` rows, so they can be sent to all
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "label", F.col(text_col).alias("text"))
 
@@ -192,6 +193,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col
 
     src = docs.select(*keep, F.col(text_col).alias("_text"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
+    C.small_batches(docs.sparkSession)
     out = src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _score double")
     return out.select(*keep, held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
@@ -204,4 +206,5 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
         for b in batches:
             yield b.filter(pa.array(model.score(matrix(b.column(at).to_pylist())) >= threshold))
 
+    C.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

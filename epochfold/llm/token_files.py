@@ -223,7 +223,7 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Pieces whose ids a worker remembers; beyond that it starts over.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 
 # Classes of bytes in text of ASCII and the letters from U+00C0 to U+00FF. 0: not handled here.
 _LETTER, _DIGIT, _SPACE, _BREAK, _MARK = 1, 2, 3, 4, 5
@@ -254,7 +254,8 @@ class PieceEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[bytes, int] = {}
-        self.ids, self.ends, self.fill = np.zeros(1 << 20, np.int32), [0], 0
+        self.ids, self.fill = np.zeros(1 << 20, np.int32), 0
+        self.ends, self.count = np.zeros(1 << 18, np.int64), 0
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Words with a space before them are encoded end to end, many at a call: each starts a piece of its own there.
@@ -284,9 +285,11 @@ class PieceEncoder:
         if self.fill + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.int32)])
         self.ids[self.fill : self.fill + len(ids)] = ids
-        first = len(self.ends) - 1
-        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        self.ends += (ends + self.fill).tolist()
+        if self.count + len(pieces) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(pieces), np.int64)])
+        self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.ends[self.count + 1 : self.count + 1 + len(pieces)] = ends + self.fill
+        self.count += len(pieces)
         self.fill += len(ids)
 
     def _pieces(self, raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,10 +331,10 @@ class PieceEncoder:
             new = [p for p in distinct if p not in self.known]
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                self.ends, self.fill, new = [0], 0, distinct
+                self.count, self.fill, new = 0, 0, distinct
             self._learn(new)
             known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-            ends = np.array(self.ends)
+            ends = self.ends[: self.count + 1]
             size = (ends[1:] - ends[:-1])[known]
             stop = np.cumsum(size)
             flat = self.ids.take(np.arange(stop[-1]) - np.repeat(stop - size - ends[:-1][known], size))
@@ -362,6 +365,20 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def _gathered(batches, most: int = 8 << 20):
+    """(ids, texts as bytes) of some MB at a time, so that a piece is looked up once for many texts."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        ids.append(b.column(0))
+        texts += b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+        size += b.column(1).nbytes
+        if size >= most:
+            yield pa.concat_arrays(ids), texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts
+
+
 def _encode(path: str, end_id: int):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -376,19 +393,16 @@ def _encode(path: str, end_id: int):
             seq, n, keys, ids, lengths = seq + 1, 0, [], [], []
             return row
 
-        for b in batches:
-            kind = b.column(0).type
-            for at in range(0, b.num_rows, 4096):
-                cut = b.slice(at, 4096)
-                texts = cut.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-                for key, got in zip(cut.column(0).to_pylist(), enc.encode(texts), strict=True):
-                    own = np.append(got, end_id).astype(np.uint32)
-                    if n and n + len(own) > BLOCK:
-                        yield block()
-                    keys.append(key)
-                    ids.append(own)
-                    lengths.append(len(own))
-                    n += len(own)
+        for names, texts in _gathered(batches):
+            kind = names.type
+            for key, got in zip(names.to_pylist(), enc.encode(texts), strict=True):
+                own = np.append(got, end_id).astype(np.uint32)
+                if n and n + len(own) > BLOCK:
+                    yield block()
+                keys.append(key)
+                ids.append(own)
+                lengths.append(len(own))
+                n += len(own)
         if n:
             yield block()
 
@@ -414,6 +428,7 @@ def _decode(with_ids: bool):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Token files of docs at path, in ascending order of the id (null first, equal ids by text): rows of blocks."""
+    C.small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
