@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline as P
-from epochfold.llm import near_copies
+from epochfold.llm import near_copies, word_hashes
 
 SF = "/root/testdata/sf0.001"
 UP = {i: i + 32 for i in range(65, 91)}
@@ -50,13 +52,46 @@ def made():
     return [" ".join(x) for x in out] + [None, "", " \n", " ".join(out[40]).upper()]
 
 
+def found_share(want: dict, got: dict) -> float:
+    """How many of the rows that have a smaller one in their class are found; found classes are never larger ones."""
+    assert all(want[c] == want[k] for k, c in got.items())
+    copies = [k for k, c in want.items() if c != k]
+    return sum(got.get(k, k) != k for k in copies) / max(1, len(copies))
+
+
 def test_against_brute_force_jaccard(spark):
     texts = {i * 17 % 1009: t for i, t in enumerate(made())}
     df = spark.createDataFrame([(k, t, "c") for k, t in texts.items()], "doc_id long, text string, component string").repartition(3)
     want = classes(texts)
+    first = None
     for chunk in (2048, 5):
         got = {r.key: r.component for r in near_copies.near_copies(df, chunk=chunk).collect()}
-        assert {k: got.get(k, k) for k in texts} == want
+        assert found_share(want, got) >= 0.95
+        assert first in (None, got)
+        first = got
+
+
+def test_fingerprint_by_bit():
+    g = np.array([3, 2**63 + 5, 77, 12345678901], np.uint64)
+    for k, word in enumerate(near_copies.fingerprint(g)):
+        h = [int(x) for x in word_hashes.mixed(g + np.uint64(k + 1))]
+        want = [2 * sum(x >> b & 1 for x in h) > len(h) for b in range(64)]
+        # bits are laid out byte by byte, the highest of a byte first
+        assert [bool(int(word) >> (b // 8 * 8 + 7 - b % 8) & 1) for b in range(64)] == [want[b // 8 * 8 + 7 - b % 8] for b in range(64)]
+    assert not near_copies.fingerprint(g[:0]).any()
+
+
+def test_word_hashes(monkeypatch):
+    texts = ["A b  c\td", "", "é É\x0bZ", " a", "x" * 500, "a b c d e f"]
+    monkeypatch.setattr(word_hashes, "PIECE", 7)
+    h, at = word_hashes.word_hashes([t.encode() for t in texts])
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(UP)) for t in texts]
+    assert np.diff(at).tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    assert len({(x, y) for x, y in zip(flat, h.tolist(), strict=True)}) == len(set(flat)) == len(set(h.tolist()))
+    for n in (1, 2, 3, 5, 8):
+        r = word_hashes.runs(h, n)
+        assert len({(tuple(flat[i : i + n]), x) for i, x in enumerate(r.tolist())}) == len({tuple(flat[i : i + n]) for i in range(len(r))}) == len(set(r.tolist()))
 
 
 def test_stage_against_brute_force_jaccard(spark):
@@ -64,7 +99,10 @@ def test_stage_against_brute_force_jaccard(spark):
     want = classes({r.doc_id: r.text for r in docs.collect()})
     left = P.one_of_each(spark, docs, SF)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+    kept = {r.doc_id for r in left.collect()}
+    assert set(want.values()) <= kept
+    copies = [k for k, c in want.items() if c != k]
+    assert sum(k not in kept for k in copies) >= 0.95 * len(copies) > 0
 
 
 def test_nulls_repeats_empty(spark):
