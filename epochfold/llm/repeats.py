@@ -13,7 +13,12 @@ read backwards, and right sides are sorted (the suffix order of the dictionary,
 parse), with the lengths of common prefixes; two strings s bytes before a trigger are equal exactly if the left sides
 share s bytes and the right sides 255 - s. Bytes are compared, not hashes, but for the 64-bit keys of context and span.
 
-A context of very many distinct spans is not gathered: its strings are counted by a 128-bit key instead.
+A context of very many distinct spans is not gathered: its strings are counted by a 128-bit key instead, with the same
+result.
+
+Passages of PASSAGE words are told as well, though they may be shorter than 400 bytes: strings of so many words
+(A-Z lower-cased, whatever spaces stand between) that also stand in another document. They are found in the same way,
+with words for bytes: the trigger of such a string is the smallest hash of its runs of ANCHOR words.
 """
 
 from __future__ import annotations
@@ -28,12 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
+from epochfold.llm import word_hashes as W
 
 LENGTH, GRAM, WINDOW = 400, 8, 256
 CONTEXT = LENGTH - (WINDOW - 1)
 SIDE = WINDOW - 1
 #: Contexts with more distinct spans than this are counted string by string; spans that are matched at once.
-GIANT, BATCH = 20_000, 8_000
+GIANT, BATCH = 1_000, 8_000
+#: Words of a passage, and of the runs among which its trigger is chosen.
+PASSAGE, ANCHOR = 50, 26
+#: Up to so many rows of 16 bytes, a table is broadcast.
+FEW = 500_000
 #: Bytes of a text that are cut at once; the rest follows with an overlap, so nothing is lost.
 SEGMENT = 1 << 26
 _POSITION = np.uint64((1 << 27) - 1)
@@ -223,15 +233,15 @@ def _removed(with_text: bool):
         for b in _slices(batches):
             z = zstandard.ZstdDecompressor()
             out = []
-            for k, ranges, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, ranges, passages, words, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = z.decompress(packed)
                 gone = _cover(raw, ranges)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 edges = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
-                out.append((k, len(raw), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), *((kept,) if with_text else ())))
+                out.append((k, len(raw), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), passages, words, *((kept,) if with_text else ())))
             if out:
-                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.binary()] * with_text
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words", *["kept"] * with_text])
 
     return run
 
@@ -246,8 +256,9 @@ def repeated_ranges(keyed: DataFrame, giant: int = GIANT) -> DataFrame:
     mixed = again.where("mixed")
     spans = mixed.groupBy("ctx", "span").agg(F.count("*").alias("c"), F.min(F.struct("k", "lo", "n", "o")).alias("at"))
     spans = C.stash(spans, "repeats-spans")
-    # a span that stands twice is repeated as a whole, wherever it stands
-    twice = mixed.join(spans.where("c > 1").select("ctx", "span"), ["ctx", "span"], "left_semi")
+    # a span that stands twice is repeated as a whole, wherever it stands; sent to the rows, which a hot span holds many of
+    often = spans.where("c > 1").select("ctx", "span")
+    twice = C.stash(mixed.join(F.broadcast(often) if often.count() <= FEW else often, ["ctx", "span"], "left_semi"), "repeats-twice")
     twice = twice.select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + LENGTH).alias("b"))
     per = spans.groupBy("ctx").agg((F.count("*") > giant).alias("giant"), (F.min("c") == 1).alias("open"))
     wanted = spans.join(per.where("open"), "ctx").select("at.k", F.struct("ctx", (F.col("c") == 1).alias("once"), "giant", "at.lo", "at.n", "at.o").alias("w"))
@@ -262,10 +273,70 @@ def repeated_ranges(keyed: DataFrame, giant: int = GIANT) -> DataFrame:
     return whole.unionByName(twice).unionByName(groups).unionByName(single)
 
 
+def _triggers(h: np.ndarray) -> np.ndarray:
+    """The trigger of each string of PASSAGE words of one text's word hashes; nothing for fewer words."""
+    if len(h) < PASSAGE:
+        return np.empty(0, np.int64)
+    v, width, left = W.runs(h, ANCHOR), 1, PASSAGE - ANCHOR + 1
+    while width < left:
+        step = min(width, left - width)
+        v = np.minimum(v[:-step], v[step:])
+        width += step
+    return v.view(np.int64)
+
+
+def _anchors(batches):
+    """(k, text) -> k and each distinct trigger of its strings."""
+    for b, raws in W.slices(batches):
+        h, at = W.word_hashes(raws)
+        own = [np.unique(_triggers(h[x:y])) for x, y in zip(at[:-1], at[1:], strict=True)]
+        k = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(np.concatenate(own), pa.int64())], names=["k", "anchor"])
+
+
+def _passage_strings(batches):
+    """(k, z, anchors) -> a row for each distinct string of those triggers: k, anchor, its hash, and where it starts."""
+    for b in _slices(batches):
+        z = zstandard.ZstdDecompressor()
+        for k, packed, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            h, _ = W.word_hashes([z.decompress(packed)])
+            trigger = _triggers(h)
+            at = np.flatnonzero(np.isin(trigger, np.array(wanted, np.int64)))
+            strings = W.runs(h, PASSAGE).view(np.int64)[at]
+            order = np.argsort(strings, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], strings[order][1:] != strings[order][:-1]])) if len(order) else order
+            starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            head = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), k), pa.int64()), pa.array(trigger[at][head]), pa.array(strings[head]), starts], names=["k", "anchor", "h", "at"])
+
+
+def repeated_passages(keyed: DataFrame) -> DataFrame:
+    """keyed(k, text), k unique -> (k, n_passages, passage_words) of texts that hold PASSAGE words of another one."""
+    anchors = C.stash(keyed.mapInArrow(_anchors, "k long, anchor long"), "repeats-anchors")
+    shared = lambda df, *keys: df.groupBy(*keys).agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select(*keys)
+    common = C.stash(shared(anchors, "anchor"), "repeats-common")
+    # stored before they are gathered, so that a hot trigger's rows can be split in the join
+    wanted = C.stash(anchors.join(common, "anchor", "left_semi"), "repeats-wanted")
+    wanted = wanted.groupBy("k").agg(F.collect_list("anchor").alias("anchors"))
+    packed = keyed.select("k", "text").mapInArrow(_pack, "k long, z binary")
+    strings = packed.join(wanted, "k").select("k", "z", "anchors").mapInArrow(_passage_strings, "k long, anchor long, h long, at array<int>")
+    strings = C.stash(strings, "repeats-strings")
+    twice = C.stash(shared(strings, "anchor", "h"), "repeats-passages")
+    found = C.stash(strings.join(twice, ["anchor", "h"], "left_semi").select("k", "at"), "repeats-held")
+    found = found.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("_at"))
+    gaps = F.transform("_at", lambda x, i: F.when(i == 0, F.lit(PASSAGE + 1)).otherwise(x - F.get("_at", i - 1)))
+    n = F.aggregate("_gaps", F.lit(0).cast("long"), lambda a, g: a + F.when(g > PASSAGE, 1).otherwise(0))
+    words = F.aggregate("_gaps", F.lit(0).cast("long"), lambda a, g: a + F.least(g, F.lit(PASSAGE)))
+    return found.select("k", gaps.alias("_gaps")).select("k", n.alias("n_passages"), words.alias("passage_words"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, with_text: bool = False) -> DataFrame:
-    """A row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes).
+    """A row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words (and kept, the
+    remaining bytes).
 
-    A byte goes if a 400-byte string that covers it also starts anywhere else, in any document or the same one.
+    A byte goes if a 400-byte string that covers it also starts anywhere else, in any document or the same one. Passages
+    are told, not removed: passage_words are the words covered by strings of 50 words that another document holds too,
+    n_passages their maximal runs.
 
     Defined cases: a null text counts as empty; texts under 400 bytes keep everything; repeated rows are documents each,
     so they are each other's copies; ids that are null, repeat or aren't integers are replaced inside by row numbers of
@@ -279,9 +350,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = C.stash(base.withColumn("k", F.monotonically_increasing_id()), "repeats-rows")
         keyed = own.select("k", "text")
     ranges = repeated_ranges(keyed, giant).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    known = ranges.join(repeated_passages(keyed), "k", "full")
     packed = keyed.mapInArrow(_pack, "k long, z binary")
-    kinds = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = packed.join(ranges, "k", "left").select("k", "ranges", "z").mapInArrow(_removed(with_text), kinds)
+    kinds = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long" + ", kept binary" * with_text
+    none = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_passages", "passage_words")]
+    out = packed.join(known, "k", "left").select("k", "ranges", *none, "z").mapInArrow(_removed(with_text), kinds)
     if own is None:
         return out.withColumn("k", F.col("k").cast(dict(base.dtypes)["_id"])).withColumnRenamed("k", id_col)
     return out.join(own.select("k", F.col("_id").alias(id_col)), "k").select(id_col, *out.columns[1:])

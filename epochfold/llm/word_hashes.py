@@ -89,6 +89,8 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
 def slices(batches, rows: int = 256, size: int = PIECE):
     """Arrow batches (.., text last) cut to so many rows and about so many bytes of text, as (batch, texts)."""
     for b in batches:
+        if not b.num_rows:
+            continue
         raw = [(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()] if b.num_rows <= rows else None
         if raw is not None and sum(map(len, raw)) <= size:
             yield b, raw

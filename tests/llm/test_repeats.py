@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -76,3 +77,32 @@ def test_query(spark):
     docs = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op5_repeats(spark, sf).collect()}
     assert got == dict(zip([d.doc_id for d in docs], brute([(d.text or "").encode() for d in docs]), strict=True))
+
+
+def passages(texts, least=50):
+    """By text: runs of words covered by strings of so many words that another text holds, and their words."""
+    up = {i: i + 32 for i in range(65, 91)}
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(up)) for t in texts]
+    held = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - least + 1):
+            held.setdefault(tuple(w[i : i + least]), set()).add(k)
+    out = []
+    for w in words:
+        gone = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - least + 1):
+            if len(held[tuple(w[i : i + least])]) > 1:
+                gone[i : i + least] = True
+        out.append((int((gone[1:] < gone[:-1]).sum()), int(gone.sum())))
+    return out
+
+
+def test_passages_against_every_string(spark):
+    rnd = random.Random(2)
+    text = lambda n: [rnd.choice("abcdefgh") + rnd.choice("xyzXYZ") * rnd.randint(0, 3) for _ in range(n)]
+    shared = [text(n) for n in (49, 50, 51, 52, 60, 75, 130)]
+    texts = [" ".join(text(rnd.randint(0, 80)) + a + text(rnd.randint(0, 40)) + rnd.choice(shared) + text(3)) for a in shared for _ in range(3)]
+    texts += [texts[5].upper(), texts[7].replace(" ", " \n"), " ".join(["up", "and", "down"] * 200), " ".join(["and", "down", "up"] * 30), " ".join(shared[4] * 3), " ".join(text(400)), None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = [(r.n_passages, r.passage_words) for r in sorted(repeats.remove_repeats(df).collect(), key=lambda r: r.doc_id)]
+    assert got == passages(texts) and sum(n for n, _ in got) > 20
