@@ -8,7 +8,7 @@ given what the sources before it took). Leaves own disjoint runs of each source'
 shuffled inside their shard alone.
 
 Only block and source statistics are shuffled, not texts. A source may hold any share of the rows: its blocks are
-many, sums are made before the shuffle, and nothing gathers a source.
+many, sums are made before the shuffle, and blocks are put in order by piles, so nothing gathers a source.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ MOST = 3
 BLOCK_DOCS = 128
 #: Blocks in an output shard, on average, and the most shards that are planned.
 SHARD_BLOCKS, MOST_SHARDS = 64, 1 << 16
+#: Bits of the permuted order that part a source's blocks into piles.
+PILES = 8
 #: Columns that a plan adds.
 ADDED = ("size", "source_size", "target", "placements")
 #: Up to so many sources, their table is broadcast.
@@ -122,19 +124,52 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return runs.where("_x.n > 0").select("shard", F.col("_x.s").alias("_sid"), F.col("_x.f").alias("_from"), (F.col("_x.f") + F.col("_x.n")).alias("_to"))
 
 
+def _row_hashes(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with _h, a hash of its own for each row: of the id where ids are unique, else of id, text, source and a count.
+
+    Equal rows are counted in two levels, inside the partitions of a stored copy and over these, so no task holds them all.
+    """
+    if C.unique_ids(docs, id_col):
+        return docs.withColumn("_h", F.xxhash64(F.lit(seed), id_col))
+    same = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), F.col(text_col), F.col(source_col))
+    rows = C.stash(docs.select("*", same.alias("_same"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    local = rows.select("_same", "_part", "_row", (F.row_number().over(Window.partitionBy("_same", "_part").orderBy("_row")) - 1).alias("_in"))
+    parts = rows.groupBy("_same", "_part").agg(F.count("*").alias("_n"))
+    before = parts.select("_same", "_part", (F.sum("_n").over(Window.partitionBy("_same").orderBy("_part")) - F.col("_n")).alias("_before"))
+    turn = C.stash(local.join(before, ["_same", "_part"]).select("_row", (F.col("_in") + F.col("_before")).cast("long").alias("_turn")), "mix-turns")
+    return rows.join(turn, "_row").withColumn("_h", F.xxhash64(F.lit(seed), "_same", "_turn")).drop("_row", "_same", "_part", "_turn")
+
+
+def _in_order(blocks: DataFrame, seed: int) -> DataFrame:
+    """blocks(_sid, _b, _words, ..) in a permuted order: _i, the place in it, _n blocks of the source, _before, the words before.
+
+    Places are found in two levels, in PILES equal parts of the order's range and then over these, a row a source and part.
+    """
+    at = F.xxhash64(F.lit(seed), "_sid", "_b")
+    blocks = blocks.select("*", at.alias("_o"), F.shiftright(at, 64 - PILES).alias("_pile"))
+    piles = blocks.groupBy("_sid", "_pile").agg(F.count("*").alias("_pn"), F.sum("_words").alias("_pw"))
+    along = Window.partitionBy("_sid").orderBy("_pile")
+    piles = piles.select("_sid", "_pile", (F.sum("_pn").over(along) - F.col("_pn")).alias("_p0"), (F.sum("_pw").over(along) - F.col("_pw")).alias("_w0"), F.sum("_pn").over(Window.partitionBy("_sid")).alias("_n"))
+    inside = Window.partitionBy("_sid", "_pile").orderBy("_o", "_b")
+    blocks = blocks.select("*", (F.row_number().over(inside) - 1).alias("_in"), (F.sum("_words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_words")).alias("_win"))
+    out = blocks.join(piles, ["_sid", "_pile"])
+    return out.select("*", (F.col("_p0") + F.col("_in")).cast("long").alias("_i"), (F.col("_w0") + F.col("_win")).alias("_before")).drop("_o", "_pile", "_p0", "_w0", "_in", "_win")
+
+
 def plan_mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id") -> DataFrame:
     """docs with size, source_size, target and placements: array<struct<shard, pass>>, one entry each time a row is taken.
 
     Defined cases: a null text or one without words has size 0 and is taken with its block, at no cost; a null source
-    is a source of its own, sorted last; a null id hashes like any other value; repeated rows share a block and are
-    counted, and taken, each; an empty table gives an empty result. docs' own columns of the added names are replaced,
-    and nothing else of docs is dropped.
+    is a source of its own, sorted last; where ids are null or repeat, rows are told apart by text, source and a count
+    of equal rows, so each is taken by itself; an empty table gives an empty result. docs' own columns of the added
+    names are replaced, and nothing else of docs is changed, whatever its name.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(C.WORD)).cast("long")
-    base = docs.drop(*ADDED).withColumn("size", size)
-    salt = F.xxhash64(F.lit(seed), F.col(id_col))
-    slim = base.select(F.col(id_col), "source", "size", salt.alias("_h"))
-    sized = C.stash(slim, "mix-sizes")
+    # docs' columns get names that no helper column has
+    inner = {c: f"doc{i}_" for i, c in enumerate(docs.columns)}
+    own_id, text, source = inner[id_col], inner["text"], inner["source"]
+    size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(C.WORD)).cast("long")
+    base = _row_hashes(docs.toDF(*inner.values()), seed, own_id, text, source).withColumn("size", size)
+    sized = C.stash(base.select(F.col(source).alias("source"), "size", "_h"), "mix-sizes")
 
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     stats = source_targets(stats, weights, most)
@@ -147,13 +182,7 @@ def plan_mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS,
     keyed = keyed.withColumn("_b", F.pmod("_h", F.greatest("_blocks", F.lit(1))))
     # blocks in permuted order, with the words before each
     blocks = keyed.groupBy("_sid", "_b").agg(F.sum("size").alias("_words"), F.first("_whole").alias("_whole"), F.first("target").alias("_target"), F.first("source_size").alias("_ss"))
-    order = Window.partitionBy("_sid").orderBy(F.xxhash64(F.lit(seed + 1), "_sid", "_b"), "_b")
-    blocks = blocks.select(
-        "*",
-        (F.row_number().over(order) - 1).cast("long").alias("_i"),
-        F.count("*").over(Window.partitionBy("_sid")).alias("_n"),
-        (F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_words")).alias("_before"),
-    )
+    blocks = _in_order(blocks, seed + 1)
     rest = F.col("_target") - F.col("_whole") * F.col("_ss")
     blocks = blocks.select("*", (rest - F.col("_before")).alias("_room"))
     blocks = C.stash(blocks.withColumn("_take", F.when(F.col("_room") >= F.col("_words"), 2).when((F.col("_room") > 0) & (F.col("_words") > 0), 1).otherwise(0)), "mix-blocks")
@@ -186,12 +215,12 @@ def plan_mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS,
         "mix-plan",
     )
 
-    out = base.withColumn("_h", salt)
     s = stats.select(F.col("source").alias("_s"), "source_size", "target", "_sid", "_blocks")
-    out = out.join(F.broadcast(s) if n_sources <= FEW_SOURCES else s, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_b", F.pmod("_h", F.greatest("_blocks", F.lit(1))))
+    out = base.join(F.broadcast(s) if n_sources <= FEW_SOURCES else s, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_b", F.pmod("_h", F.greatest("_blocks", F.lit(1))))
     out = out.join(plan, ["_sid", "_b"])
     kept = F.filter("_places", lambda x: (x["pass"] < F.col("_whole")) | (F.col("_take") == 2) | F.coalesce(F.array_contains("_in", F.col("_h")), F.lit(False)))
-    return out.withColumn("placements", F.coalesce(kept, F.array().cast("array<struct<pass:bigint,shard:bigint>>"))).select(*base.columns, "source_size", "target", "placements")
+    out = out.withColumn("placements", F.coalesce(kept, F.array().cast("array<struct<pass:bigint,shard:bigint>>")))
+    return out.select(*[F.col(i).alias(c) for c, i in inner.items() if c not in ADDED], *ADDED)
 
 
 def mixed_rows(mix: DataFrame, columns: list[str], seed: int = 1, id_col: str = "doc_id") -> DataFrame:

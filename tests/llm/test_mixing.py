@@ -78,3 +78,23 @@ def test_hypergeometric_mean(spark):
 def test_empty(spark):
     assert mixing.plan_mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.plan_mix(spark.createDataFrame([(1, None, None, "x", 1)], SCHEMA)).first().target == 0
+
+
+def test_null_and_repeated_ids_come_near_the_target(spark):
+    for ids in (lambda i: None, lambda i: i % 6):
+        rows = [(ids(i), " ".join(f"w{i}x{j}" for j in range(10)), "ab"[i % 2], "x", 1) for i in range(600)]
+        out = mixing.plan_mix(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+        taken, want = Counter(), {r.source: r.target for r in out}
+        for r in out:
+            taken[r.source] += r.size * len(r.placements)
+        assert len(out) == 600 and all(abs(taken[s] - want[s]) <= 10 for s in "ab")
+
+
+def test_any_column_name_is_kept(spark):
+    names = ["_sid", "_blocks", "_s", "_h", "_b", "source_size", "doc0_", "_places", "shard", "pass", "_key", "_own_size"]
+    rows = [(i, "a b c", "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(60)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = mixing.mix_documents(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() >= 30
+    assert "_h7" in {r["_h"] for r in mixing.plan_mix(df).collect()}
