@@ -28,8 +28,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = C.table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame(LISTED, "host string, path string")
+    values = lambda rows, names: spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, rows))} AS t({names})")
+    rules, listed = values(URL_RULES, "host, path, verdict"), values(LISTED, "host, path")
     return url_filter.url_filter(pages, rules, listed).drop("url")
 
 

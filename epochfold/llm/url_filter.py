@@ -81,7 +81,8 @@ def canonical(host: Column, path: Column) -> tuple[Column, Column]:
 def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict. rules(host, path, verdict); listed(host, path) are blocked sites or pages.
 
-    A rule that fits decides; else a listed entry blocks; else the url is allowed.
+    A rule that fits decides; else a listed entry blocks; else the url is allowed. Pages and listed entries are compared in
+    canonical form, so `www.` and ports make no difference.
 
     Defined cases: a null url or one without `://` has an empty host and path, no rule, and is allowed; repeated rows
     are judged each; an empty list allows everything; columns of pages named like the added ones are replaced.
@@ -90,11 +91,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     host, path = url_parts(F.col(url_col))
     base = base.withColumn("host", host).withColumn("path", path)
     entries = rules.select("host", "path", "verdict", F.lit(True).alias("is_rule"))
-    more = listed.select("host", "path", F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
-    ruled = best_entries(base, entries).select("host", "path", F.concat("entry.host", "entry.path").alias("rule"), F.col("entry.verdict").alias("_by_rule"))
     chost, cpath = canonical(F.col("host"), F.col("path"))
-    base = base.withColumn("_ch", chost).withColumn("_cp", cpath)
-    by_list = best_entries(base.select(F.col("_ch").alias("host"), F.col("_cp").alias("path")), more).select(F.col("host").alias("_ch"), F.col("path").alias("_cp"), F.col("entry.verdict").alias("_by_list"))
-    out = base.join(ruled, ["host", "path"], "left").join(by_list, ["_ch", "_cp"], "left")
+    lhost, lpath = canonical(C.ascii_lower(F.col("host")), F.col("path"))
+    more = listed.select(lhost.alias("host"), lpath.alias("path"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
+    ch, cp, by_rule, by_list = C.fresh(base, "_ch", "_cp", "_by_rule", "_by_list")
+    ruled = best_entries(base.select("host", "path"), entries).select("host", "path", F.concat("entry.host", "entry.path").alias("rule"), F.col("entry.verdict").alias(by_rule))
+    base = base.withColumn(ch, chost).withColumn(cp, cpath)
+    found = best_entries(base.select(F.col(ch).alias("host"), F.col(cp).alias("path")), more).select(F.col("host").alias(ch), F.col("path").alias(cp), F.col("entry.verdict").alias(by_list))
+    out = base.join(ruled, ["host", "path"], "left").join(found, [ch, cp], "left")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.select(*kept, "host", "path", "rule", F.coalesce("_by_rule", "_by_list", F.lit("allow")).alias("verdict"))
+    return out.select(*kept, "host", "path", "rule", F.coalesce(by_rule, by_list, F.lit("allow")).alias("verdict"))

@@ -50,3 +50,11 @@ def test_bloom_has_no_false_negative(spark):
     block, where = url_filter._where(F.col("key"), 8)
     hit = keys.select("key", block.alias("block"), where.alias("b")).join(bits, "block").withColumn("w", F.array("w0", "w1", "w2", "w3"))
     assert hit.where(F.expr("forall(b, b -> (shiftright(w[cast(b div 64 as int)], cast(b % 64 as int)) & 1) = 1)")).count() == 500
+
+
+def test_listed_www_and_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://www.bad.com/x", "a", "b"), (2, "http://bad.com:8080/", "c", "d"), (3, "http://sub.bad.com/y", "e", "f"), (4, "http://notbad.com/", "g", "h")], "page_id long, url string, _ch string, _by_rule string")
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    listed = spark.createDataFrame([("www.Bad.com", "/")], "host string, path string")
+    out = sorted(url_filter.url_filter(pages, rules, listed).collect())
+    assert [(r.verdict, r["_ch"], r["_by_rule"]) for r in out] == [("block", "a", "b"), ("block", "c", "d"), ("block", "e", "f"), ("allow", "g", "h")]
