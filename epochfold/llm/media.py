@@ -23,8 +23,13 @@ from epochfold.llm import common as C
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, CUES, CUE, CUE_TRACK = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7
 DOC_TYPE, TIMESTAMP_SCALE, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, RATE, CHANNELS, DEPTH, CLUSTER_TIME = 0x4282, 0x2AD7B1, 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264, 0xE7
 SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, CUE_TIME, CUE_TRACK_NUMBER, CUE_POSITION = 0xA3, 0xA0, 0xA1, 0xB3, 0xF7, 0xF1
+DEFAULT_DURATION, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x23E383, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
+#: Ids that end an element of unknown size: those of files and segments, and inside a segment its own parts.
+OUTER = frozenset((EBML, SEGMENT))
+PARTS = OUTER | {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHMENTS}
+
 #: Samples a second, bytes in a packet, packets in a block, blocks in a cluster.
 SAMPLE_RATE, PACKET, LACE, BLOCKS = 64_000, 64, 16, 64
 UNIT = 64
@@ -54,7 +59,7 @@ def write(payload: bytes) -> bytes:
     head = _element(EBML, _element(DOC_TYPE, b"matroska"))
     info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000))
     audio = _element(AUDIO, _element(RATE, struct.pack(">d", SAMPLE_RATE)) + _uint(CHANNELS, 1) + _uint(DEPTH, 8))
-    track = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _element(CODEC, b"A_PCM/INT/LIT") + audio
+    track = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(DEFAULT_DURATION, PACKET * 1_000_000_000 // SAMPLE_RATE) + _element(CODEC, b"A_PCM/INT/LIT") + audio
     parts = [info, _element(TRACKS, _element(TRACK, track))]
     at, cues = sum(map(len, parts)), []
     step = PACKET * LACE
@@ -88,12 +93,24 @@ def _number(data: bytes, at: int, end: int, keep_marker: bool = False) -> tuple[
     return (-1 if n == (1 << 7 * width) - 1 else n), at + width
 
 
+def _unknown_end(data: bytes, at: int, end: int, id_: int) -> int:
+    """Where an element of unknown size ends: before the first element that can't stand inside it."""
+    stops = OUTER if id_ == SEGMENT else PARTS
+    while at < end:
+        child, after = _number(data, at, end, keep_marker=True)
+        if child in stops:
+            return at
+        n, after = _number(data, after, end)
+        at = _unknown_end(data, after, end, child) if n < 0 else after + n
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, start, end) of the data of each element in a range; one of unknown size reaches to the range's end."""
+    """(id, start, end) of the data of each element in a range."""
     while at < end:
         id_, at = _number(data, at, end, keep_marker=True)
         n, at = _number(data, at, end)
-        stop = end if n < 0 else at + n
+        stop = _unknown_end(data, at, end, id_) if n < 0 else at + n
         if stop > end:
             raise ValueError(f"element {id_:x} at byte {at} reaches beyond its parent")
         yield id_, at, stop
@@ -138,7 +155,10 @@ def _lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
 
 
 def parse(data: bytes) -> dict:
-    """tracks, cues, and packets: (track, cluster, block time in ticks, frame in its block, start, length)."""
+    """tracks, cues, and packets: (track, cluster, time in nanoseconds, frame in its block, start, length).
+
+    The frames of a block follow each other by their track's duration of a frame; where it has none they share its time.
+    """
     out: dict = {"scale": 1_000_000, "tracks": {}, "cues": [], "packets": [], "clusters": 0}
 
     def block(a: int, b: int, time: int) -> None:
@@ -162,7 +182,7 @@ def parse(data: bytes) -> dict:
                     if k == TRACK:
                         own = {i: (p, q) for i, p, q in elements(data, x, y)}
                         sound = {i: (p, q) for i, p, q in elements(data, *own[AUDIO])} if AUDIO in own else {}
-                        out["tracks"][_value(data, *own[TRACK_NUMBER])] = {"codec": data[slice(*own.get(CODEC, (0, 0)))].decode(), "depth": _value(data, *sound.get(DEPTH, (0, 0)))}
+                        out["tracks"][_value(data, *own[TRACK_NUMBER])] = {"codec": data[slice(*own.get(CODEC, (0, 0)))].decode(), "depth": _value(data, *sound.get(DEPTH, (0, 0))), "frame_ns": _value(data, *own.get(DEFAULT_DURATION, (0, 0)))}
             elif id_ == CLUSTER:
                 out["clusters"] += 1
                 time = 0
@@ -181,6 +201,8 @@ def parse(data: bytes) -> dict:
                         own = {i: (p, q) for i, p, q in elements(data, x, y)}
                         inner = {i: (p, q) for i, p, q in elements(data, *own[CUE_TRACK])}
                         out["cues"].append((_value(data, *own[CUE_TIME]), _value(data, *inner[CUE_TRACK_NUMBER]), a + _value(data, *inner[CUE_POSITION])))
+    frame_ns = {t: own["frame_ns"] for t, own in out["tracks"].items()}
+    out["packets"] = [(t, c, ticks * out["scale"] + k * frame_ns.get(t, 0), k, at, n) for t, c, ticks, k, at, n in out["packets"]]
     return out
 
 
@@ -196,7 +218,7 @@ def digest(text: str | None) -> tuple:
     got = payload_of(stored, found)
     packets, cues = found["packets"], found["cues"]
     cued = all(data_id == CLUSTER for data_id in (int.from_bytes(stored[p : p + 4], "big") for _, _, p in cues))
-    feature = f"{found['tracks'][1]['codec']};depth={found['tracks'][1]['depth']};packets={len(packets)};clusters={found['clusters']};cues={len(cues)}{'' if cued else '!'};last_ms={packets[-1][2] * found['scale'] // 1_000_000};mean={sum(got) / len(got):.4f}"
+    feature = f"{found['tracks'][1]['codec']};depth={found['tracks'][1]['depth']};packets={len(packets)};clusters={found['clusters']};cues={len(cues)}{'' if cued else '!'};last_ms={packets[-1][2] // 1_000_000};mean={sum(got) / len(got):.4f}"
     return len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
@@ -227,7 +249,7 @@ def packets(media: DataFrame, keep: list[str], media_col: str = "media") -> Data
                 found = parse(data or b"")
             except (ValueError, KeyError, UnicodeDecodeError, struct.error) as e:
                 return [{"error": str(e)}]
-            return [{"track": t, "cluster": c, "timestamp_ns": ms * found["scale"], "frame": k, "start": a, "length": n} for t, c, ms, k, a, n in found["packets"]]
+            return [{"track": t, "cluster": c, "timestamp_ns": ns, "frame": k, "start": a, "length": n} for t, c, ns, k, a, n in found["packets"]]
 
         return files.map(one)
 

@@ -40,7 +40,7 @@ def test_all_lacings():
     for lacing, head in ((M.XIPH, xiph), (M.EBML_LACING, ebml)):
         file = block(lacing, head, frames)
         got = M.parse(file)["packets"]
-        assert [file[p[4] : p[4] + p[5]] for p in got] == frames and got[0][2] == 1007
+        assert [file[p[4] : p[4] + p[5]] for p in got] == frames and [p[2] for p in got] == [1_007_000_000] * 3
     file = block(M.NO_LACING, b"", frames[:1])
     assert [p[5] for p in M.parse(file)["packets"]] == [300]
 
@@ -70,3 +70,21 @@ def test_query_rows(spark):
     assert [(p.track, p.length, p.error) for p in table] == [(1, 64, None)]
     bad = spark.createDataFrame([(1, b"\x00\x01"), (2, None), (3, b"")], "doc_id long, media binary")
     assert [r.doc_id for r in M.packets(bad, ["doc_id"]).where("error is not null").collect()] == [1]
+
+
+def test_clusters_of_unknown_size_and_times_of_laced_frames():
+    stored = M.write(M.pad(bytes(range(256)) * 600))
+    want = M.parse(stored)
+    assert want["clusters"] == 3
+    assert [p[2] for p in want["packets"]] == [k * 1_000_000 for k in range(len(want["packets"]))]
+    parts, at = [], 0
+    for a, b in [(a, b) for i, a, b in M.elements(stored, *next((x, y) for k, x, y in M.elements(stored, 0, len(stored)) if k == M.SEGMENT)) if i == M.CLUSTER]:
+        head = stored.rindex(M.CLUSTER.to_bytes(4, "big"), 0, a)
+        parts += [stored[at : head + 4], b"\x01" + b"\xff" * 7, stored[a:b]]
+        at = b
+    live = b"".join([*parts, stored[at:]])
+    seg = live.index(M.SEGMENT.to_bytes(4, "big")) + 4
+    live = live[:seg] + b"\x01" + b"\xff" * 7 + live[seg + 9 - live[seg].bit_length() :]
+    got = M.parse(live)
+    assert got["clusters"] == 3 and [p[2] for p in got["packets"]] == [p[2] for p in want["packets"]]
+    assert M.payload_of(live, got) == M.payload_of(stored, want)
