@@ -39,7 +39,7 @@ LENGTH, GRAM, WINDOW = 400, 8, 256
 CONTEXT = LENGTH - (WINDOW - 1)
 SIDE = WINDOW - 1
 #: Contexts with more distinct spans than this are counted string by string; spans that are matched at once.
-GIANT, BATCH = 1_000, 8_000
+GIANT, BATCH = 20_000, 8_000
 #: Words of a passage, and of the runs among which its trigger is chosen.
 PASSAGE, ANCHOR = 50, 26
 #: Up to so many rows of 16 bytes, a table is broadcast.
@@ -273,57 +273,87 @@ def repeated_ranges(keyed: DataFrame, giant: int = GIANT) -> DataFrame:
     return whole.unionByName(twice).unionByName(groups).unionByName(single)
 
 
-def _triggers(h: np.ndarray) -> np.ndarray:
-    """The trigger of each string of PASSAGE words of one text's word hashes; nothing for fewer words."""
+def _word_phrases(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One text's word hashes to its strings of PASSAGE words, each by its hash, and its phrases: runs of strings with one trigger.
+
+    strings, and for each phrase its first string, its trigger, and the hash of its strings (its span).
+    """
     if len(h) < PASSAGE:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 4
     v, width, left = W.runs(h, ANCHOR), 1, PASSAGE - ANCHOR + 1
     while width < left:
         step = min(width, left - width)
         v = np.minimum(v[:-step], v[step:])
         width += step
-    return v.view(np.int64)
+    strings = W.runs(h, PASSAGE)
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    place = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
+    span = W.mixed(np.add.reduceat(strings * W.powers(place.max() + 1)[place], first))
+    return strings.view(np.int64), first, v[first].view(np.int64), span.view(np.int64)
 
 
 def _anchors(batches):
-    """(k, text) -> k and each distinct trigger of its strings."""
+    """(k, text) -> k and the trigger and span of each phrase, once each."""
     for b, raws in W.slices(batches):
         h, at = W.word_hashes(raws)
-        own = [np.unique(_triggers(h[x:y])) for x, y in zip(at[:-1], at[1:], strict=True)]
+        own = [np.unique(np.stack(_word_phrases(h[x:y])[2:], axis=1), axis=0) for x, y in zip(at[:-1], at[1:], strict=True)]
         k = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(np.concatenate(own), pa.int64())], names=["k", "anchor"])
+        every = np.concatenate(own)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(every[:, 0].copy(), pa.int64()), pa.array(every[:, 1].copy(), pa.int64())], names=["k", "anchor", "span"])
 
 
 def _passage_strings(batches):
-    """(k, z, anchors) -> a row for each distinct string of those triggers: k, anchor, its hash, and where it starts."""
+    """(k, z, at: anchor, span, whole, each) -> rows (k, anchor, h, at: first words).
+
+    A whole phrase stands in another document as it is: one row for all its strings, without h. Of an each phrase, a row
+    for each distinct string.
+    """
     for b in _slices(batches):
         z = zstandard.ZstdDecompressor()
+        ks, anchors, hashes, places = [], [], [], []
         for k, packed, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            h, _ = W.word_hashes([z.decompress(packed)])
-            trigger = _triggers(h)
-            at = np.flatnonzero(np.isin(trigger, np.array(wanted, np.int64)))
-            strings = W.runs(h, PASSAGE).view(np.int64)[at]
-            order = np.argsort(strings, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], strings[order][1:] != strings[order][:-1]])) if len(order) else order
-            starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
-            head = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), k), pa.int64()), pa.array(trigger[at][head]), pa.array(strings[head]), starts], names=["k", "anchor", "h", "at"])
+            strings, first, trigger, span = _word_phrases(W.word_hashes([z.decompress(packed)])[0])
+            ask = {(w["anchor"], w["span"]): w for w in wanted}
+            own: dict = {}
+            for x, y, key in zip(first.tolist(), [*first[1:].tolist(), len(strings)], zip(trigger.tolist(), span.tolist(), strict=True), strict=True):
+                w = ask.get(key)
+                if w and w["whole"]:
+                    own.setdefault((key[0], None), []).extend(range(x, y))
+                if w and w["each"]:
+                    for i, s in enumerate(strings[x:y].tolist(), x):
+                        own.setdefault((key[0], s), []).append(i)
+            for (anchor, s), at in own.items():
+                ks.append(k)
+                anchors.append(anchor)
+                hashes.append(s)
+                places.append(at)
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(anchors, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["k", "anchor", "h", "at"])
 
 
 def repeated_passages(keyed: DataFrame) -> DataFrame:
-    """keyed(k, text), k unique -> (k, n_passages, passage_words) of texts that hold PASSAGE words of another one."""
-    anchors = C.stash(keyed.mapInArrow(_anchors, "k long, anchor long"), "repeats-anchors")
-    shared = lambda df, *keys: df.groupBy(*keys).agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select(*keys)
-    common = C.stash(shared(anchors, "anchor"), "repeats-common")
-    # stored before they are gathered, so that a hot trigger's rows can be split in the join
-    wanted = C.stash(anchors.join(common, "anchor", "left_semi"), "repeats-wanted")
-    wanted = wanted.groupBy("k").agg(F.collect_list("anchor").alias("anchors"))
+    """keyed(k, text), k unique -> (k, n_passages, passage_words) of texts that hold PASSAGE words of another one.
+
+    A span that two documents hold is settled as a whole. Where a trigger also has spans of one document alone, their
+    strings are compared one by one, with those of two documents for each shared span.
+    """
+    phrases = C.stash(keyed.mapInArrow(_anchors, "k long, anchor long, span long"), "repeats-anchors")
+    ends = lambda df, *keys: df.groupBy(*keys).agg(F.min("k").alias("_lo"), F.max("k").alias("_hi"))
+    common = C.stash(ends(phrases, "anchor").where("_lo <> _hi").select("anchor"), "repeats-common")
+    # stored before they are gathered, so that the rows of a hot trigger can be split in the joins
+    again = C.stash(phrases.join(common, "anchor", "left_semi"), "repeats-shared")
+    spans = C.stash(ends(again, "anchor", "span").withColumn("whole", F.col("_lo") != F.col("_hi")), "repeats-kinds")
+    mixed = C.stash(spans.where("NOT whole").select("anchor").distinct(), "repeats-mixed")
+    spans = spans.join(mixed.withColumn("_mixed", F.lit(True)), "anchor", "left")
+    spans = C.stash(spans.select("anchor", "span", "whole", "_lo", "_hi", F.coalesce("_mixed", F.lit(False)).alias("_mixed")), "repeats-kinds")
+    each = F.col("_mixed") & F.col("k").isin(F.col("_lo"), F.col("_hi"))
+    wanted = C.stash(again.join(spans, ["anchor", "span"]).select("k", F.struct("anchor", "span", "whole", each.alias("each")).alias("w")), "repeats-wanted")
+    wanted = wanted.groupBy("k").agg(F.collect_list("w").alias("at"))
     packed = keyed.select("k", "text").mapInArrow(_pack, "k long, z binary")
-    strings = packed.join(wanted, "k").select("k", "z", "anchors").mapInArrow(_passage_strings, "k long, anchor long, h long, at array<int>")
+    strings = packed.join(wanted, "k").select("k", "z", "at").mapInArrow(_passage_strings, "k long, anchor long, h long, at array<int>")
     strings = C.stash(strings, "repeats-strings")
-    twice = C.stash(shared(strings, "anchor", "h"), "repeats-passages")
-    found = C.stash(strings.join(twice, ["anchor", "h"], "left_semi").select("k", "at"), "repeats-held")
-    found = found.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("_at"))
+    twice = C.stash(ends(strings.where("h IS NOT NULL"), "anchor", "h").where("_lo <> _hi").select("anchor", "h"), "repeats-passages")
+    found = C.stash(strings.join(twice, ["anchor", "h"], "left_semi").select("k", "at"), "repeats-held").unionByName(strings.where("h IS NULL").select("k", "at"))
+    found = found.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("_at"))
     gaps = F.transform("_at", lambda x, i: F.when(i == 0, F.lit(PASSAGE + 1)).otherwise(x - F.get("_at", i - 1)))
     n = F.aggregate("_gaps", F.lit(0).cast("long"), lambda a, g: a + F.when(g > PASSAGE, 1).otherwise(0))
     words = F.aggregate("_gaps", F.lit(0).cast("long"), lambda a, g: a + F.least(g, F.lit(PASSAGE)))

@@ -81,6 +81,11 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def powers(n: int) -> np.ndarray:
+    """The first n weights of places in a run."""
+    return _powers(_WORD, n)
+
+
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of a text's n-word shingles, repeats included; all words as one where there are fewer, none without words."""
     return runs(h, min(n, len(h))) if len(h) else h
