@@ -39,7 +39,7 @@ def report(predictions: DataFrame, keys: list[str], unit: str, n_boot: int = 10_
     folds = M.fold_metrics(p, keys)
     per = M.unpivot(folds, keys).groupBy(unit, "metric").agg(F.avg("value").alias("value"))
     boot = resample.bootstrap_ci_numpy if parity else resample.bootstrap_ci
-    pooled = M.fold_metrics(p.withColumn("_all", F.lit(0)), ["_all"]).drop("_all").withColumn("warning", F.lit("descriptive only: pools dependent rows as if they were independent"))
+    pooled = M.pooled_metrics(p)
     return Report(folds, M.summary(per, ["metric"]), boot(per, ["metric"], unit, n_boot=n_boot, seed=seed), pooled, p, {"unit": unit, "n_boot": n_boot, "seed": seed, **config})
 
 
@@ -77,7 +77,7 @@ def evaluate_naive(rows: DataFrame, row_id: str, spec: ModelSpec, k: int = 5, se
     """Stratified shuffled folds over all rows, groups ignored: one pooled row, to show what leaks."""
     split = splits.roles_of(splits.stratified_kfold(rows, "y", row_id, k, seed), k)
     preds = models.fit_folds(split, ["fold"], row_id, spec, strict=False)
-    return M.fold_metrics(preds.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+    return M.pooled_metrics(preds).drop("warning")
 
 
 def evaluate_expanding(rows: DataFrame, group: str, order: str, spec: ModelSpec, n_init: int, step: int = 1, gap: int = 0, n_boot: int = 10_000, seed: int = 42) -> Report:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+POOLED = "descriptive only: pools dependent rows as if they were independent"
 METRICS = ("balanced_accuracy", "macro_f1", "roc_auc")
 
 
@@ -48,8 +49,42 @@ def roc_auc(preds: DataFrame, keys: list[str], y: str = "y", proba: str = "proba
     return out.select(*keys, (F.col("_w") / F.nullif(_d(F.col("_ps")) * _d(F.col("_ns")), F.lit(0.0))).alias("roc_auc"))
 
 
+#: Scores are ranked in so many ranges of [0, 1] and then over these, so that no task ranks all scores of a pool.
+RANGES = 1024
+
+
 def fold_metrics(preds: DataFrame, keys: list[str], y: str = "y", pred: str = "pred", proba: str = "proba") -> DataFrame:
-    return with_rates(confusion(preds, keys, y, pred)).join(roc_auc(preds, keys, y, proba), keys)
+    """Counts, rates and AUC by keys, from one aggregate of the predictions, so that a fit behind them runs once.
+
+    A null score ranks lowest.
+    """
+    by = preds.groupBy(*keys, F.col(proba).alias("_s"), (F.col(pred) == 1).alias("_said")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
+    below = Window.partitionBy(*keys).orderBy("_s")
+    ties = Window.partitionBy(*keys, "_s")
+    by = by.select("*", F.sum("_n").over(below.rangeBetween(Window.unboundedPreceding, 0)).alias("_to"), F.sum("_n").over(ties).alias("_tied"))
+    return _scored(by, keys, _d(F.col("_to") - F.col("_tied")) + _d(F.col("_tied")) / 2.0)
+
+
+def pooled_metrics(preds: DataFrame, y: str = "y", pred: str = "pred", proba: str = "proba") -> DataFrame:
+    """One row for all predictions together, with a warning: it takes dependent rows as independent.
+
+    Scores are ranked in RANGES parts of [0, 1] and then over these, so no task ranks them all.
+    """
+    by = preds.groupBy(F.floor(F.col(proba) * RANGES).alias("_r"), F.col(proba).alias("_s"), (F.col(pred) == 1).alias("_said")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
+    piles = by.groupBy("_r").agg(F.sum("_n").alias("_rn"))
+    piles = piles.select(F.col("_r").alias("_r2"), (F.sum("_rn").over(Window.orderBy("_r")) - F.col("_rn")).alias("_r0"))
+    inside, ties = Window.partitionBy("_r").orderBy("_s"), Window.partitionBy("_r", "_s")
+    by = by.select("*", F.sum("_n").over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("_to"), F.sum("_n").over(ties).alias("_tied"))
+    by = by.join(F.broadcast(piles), F.col("_r").eqNullSafe(F.col("_r2")))
+    out = _scored(by, [], _d(F.col("_r0") + F.col("_to") - F.col("_tied")) + _d(F.col("_tied")) / 2.0)
+    return out.withColumn("warning", F.lit(POOLED))
+
+
+def _scored(by: DataFrame, keys: list[str], below: Column) -> DataFrame:
+    hits = lambda said, c: F.sum(F.when(F.col("_said") == said, F.col(c)).otherwise(0))
+    auc = F.sum(_d(F.col("_p")) * below) / F.nullif(_d(F.sum("_p")) * _d(F.sum("_n")), F.lit(0.0))
+    out = by.groupBy(*keys).agg(hits(False, "_n").alias("tn"), hits(True, "_n").alias("fp"), hits(False, "_p").alias("fn"), hits(True, "_p").alias("tp"), auc.alias("roc_auc"))
+    return with_rates(out)
 
 
 def pooled_and_fold_metrics(preds: DataFrame, key: str, y: str = "y", pred: str = "pred") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochfold.functions import kernels
-from epochfold.operators.splits import draw
+from epochfold.operators.splits import draw, leave_one_group_out
 
 #: Training rows that one grouped map takes; larger folds raise and name the distributed path.
 MOST_ROWS = 1_000_000
@@ -62,6 +62,37 @@ def dummy(split: DataFrame, keys: list[str], strategy: str, row_id: str, y: str
     return test.select(*keys, row_id, y, pred.alias("pred"), proba.alias("proba"))
 
 
+def loso_moments(long: DataFrame, group: str, name: str = "band", value: str = "power", y: str = "y") -> DataFrame:
+    """fold, name, mean, sd, c0, c1: training statistics of each left-out group, merged from a row a group and feature.
+
+    Groups' moments are added up, never taken away from totals, so a held-out group's values can't come in by rounding.
+    The product is of groups and groups; rows meet their own group's fold alone.
+    """
+    v, one = F.col(value), lambda k: F.when(F.col(y) == k, F.col(value))
+    per = long.groupBy(group, name).agg(F.count(v).alias("_n"), F.avg(v).alias("_m"), (F.var_pop(v) * F.count(v)).alias("_q"), *[f(one(k)).alias(f"_{n}{k}") for k in (0, 1) for n, f in (("k", F.count), ("c", F.avg))])
+    others = leave_one_group_out(per, group).where("role = 'train'")
+    mean = lambda n, m: F.sum(F.col(n) * F.col(m)) / F.nullif(F.sum(n), F.lit(0))
+    fit = others.groupBy("fold", name).agg(mean("_n", "_m").alias("mean"), F.sum("_n").alias("_all"), mean("_k0", "_c0").alias("c0"), mean("_k1", "_c1").alias("c1"))
+    spread = others.join(F.broadcast(fit.select("fold", name, "mean")), ["fold", name])
+    spread = spread.groupBy("fold", name).agg(F.sum(F.col("_q") + F.col("_n") * F.pow(F.col("_m") - F.col("mean"), F.lit(2.0))).alias("_q"))
+    sd = F.sqrt(F.col("_q") / F.col("_all"))
+    return fit.join(spread, ["fold", name]).select("fold", name, "mean", F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("sd"), "c0", "c1")
+
+
+def loso_centroid(long: DataFrame, group: str, row_id: str, y: str = "y", name: str = "band", value: str = "power") -> DataFrame:
+    """centroid() with each group left out in turn: fold, row_id, y, pred, proba, from one pass over the rows."""
+    fit = loso_moments(long, group, name, value, y).select(F.col("fold").alias(group), name, F.col("sd").alias("_s"), F.col("c0").alias("_c0"), F.col("c1").alias("_c1"))
+    return _nearest(long.join(F.broadcast(fit), [group, name]).withColumn("fold", F.col(group)), ["fold"], row_id, y, value)
+
+
+def _nearest(t: DataFrame, keys: list[str], row_id: str, y: str, value: str) -> DataFrame:
+    """Rows of (keys, row, feature) with _s, _c0 and _c1 to the row's prediction."""
+    d = lambda c: F.sqrt(F.sum(F.pow((F.col(value) - F.col(c)) / F.col("_s"), F.lit(2.0))))
+    s = t.groupBy(*keys, row_id, y).agg(d("_c0").alias("_d0"), d("_c1").alias("_d1"))
+    proba = F.col("_d0") / F.nullif(F.col("_d0") + F.col("_d1"), F.lit(0.0))
+    return s.select(*keys, row_id, y, (F.col("_d1") < F.col("_d0")).cast("int").alias("pred"), F.coalesce(proba, F.lit(0.5)).alias("proba"))
+
+
 def centroid(split_long: DataFrame, keys: list[str], row_id: str, y: str = "y", name: str = "band", value: str = "power") -> DataFrame:
     """Nearest centroid on fold-scaled features, all in SQL: fits on training rows, scores test rows.
 
@@ -74,11 +105,7 @@ def centroid(split_long: DataFrame, keys: list[str], row_id: str, y: str = "y",
     )
     sd = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
     fit = fit.select(*keys, name, sd.alias("_s"), "_c0", "_c1")
-    t = split_long.where("role = 'test'").join(fit, [*keys, name])
-    d = lambda c: F.sqrt(F.sum(F.pow((F.col(value) - F.col(c)) / F.col("_s"), F.lit(2.0))))
-    s = t.groupBy(*keys, row_id, y).agg(d("_c0").alias("_d0"), d("_c1").alias("_d1"))
-    proba = F.col("_d0") / F.nullif(F.col("_d0") + F.col("_d1"), F.lit(0.0))
-    return s.select(*keys, row_id, y, (F.col("_d1") < F.col("_d0")).cast("int").alias("pred"), F.coalesce(proba, F.lit(0.5)).alias("proba"))
+    return _nearest(split_long.where("role = 'test'").join(fit, [*keys, name]), keys, row_id, y, value)
 
 
 def _fit_predict(spec: ModelSpec, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, list[float] | None]:
@@ -183,12 +210,18 @@ def random_forest(split: DataFrame, fold: str, row_id: str, trees: int = 300, se
     return out
 
 
-def coefficient_means(preds: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Mean coefficient over folds by name; keys are those that a mean is kept apart by."""
-    folds = preds.where("coefficients IS NOT NULL").select(*keys, "fold", "coefficients").dropDuplicates([*keys, "fold"])
+def coefficient_means(preds: DataFrame, keys: list[str], names: list[str], split: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """Mean coefficient by name; keys are those that a mean is kept apart by, split those that tell fits apart.
+
+    Folds of a subject (the split's keys beside fold) are averaged first, then subjects, so each subject weighs the same.
+    """
+    every = list(dict.fromkeys([*keys, *split]))
+    units = [c for c in every if c != "fold"]
+    folds = preds.where("coefficients IS NOT NULL").select(*every, "coefficients").dropDuplicates(every)
     labels = F.array(*[F.lit(n) for n in names])
-    long = folds.select(*keys, F.posexplode("coefficients").alias("_i", "v")).withColumn("name", F.element_at(labels, F.col("_i") + 1))
-    return long.groupBy(*keys, "name").agg(F.avg("v").alias("mean_coefficient"))
+    long = folds.select(*units, F.posexplode("coefficients").alias("_i", "v")).withColumn("name", F.element_at(labels, F.col("_i") + 1))
+    per = long.groupBy(*units, "name").agg(F.avg("v").alias("v"))
+    return per.groupBy(*keys, "name").agg(F.avg("v").alias("mean_coefficient"))
 
 
 def top_coefficients(means: DataFrame, k: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ def lag_pairs(features: DataFrame, lags: list[int], at: str, step: int = 1, colu
     if not lags or any(k <= 0 for k in lags):
         raise ValueError("lags must be positive integers")
     if step < 1:
-        raise ValueError("win_samples must be a positive integer")
+        raise ValueError("the step between rows is at least 1")
     left = features.select(F.col(at).alias("_t"), F.col(column).alias("a"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
     left = left.select("lag", "a", (F.col("_t") + F.col("lag") * step).alias("_t"))
     return left.join(features.select(F.col(at).alias("_t"), F.col(column).alias("b")), "_t").select("lag", "a", "b")

@@ -111,7 +111,7 @@ def super_blocks(windows: DataFrame, per_super: int, block: str = "block", order
     A row a block is ranked, not the windows.
     """
     if per_super < 1:
-        raise ValueError("blocks_per_superblock must be >= 1")
+        raise ValueError("a super-block holds at least one block")
     b = windows.groupBy(block).agg(F.min(order).alias("_seen"))
     every = Window.orderBy("_seen")
     b = b.select(block, (F.row_number().over(every) - 1).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_n"))

@@ -6,14 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochfold.operators import metrics as M
-from epochfold.operators import models, resample, spatial, splits
+from epochfold.operators import models, resample, spatial, spectral, splits
 from epochfold.operators import temporal as T
+from epochfold.operators import windows as W
 from epochfold.plans import signal_queries as S
 from epochfold.plans.signal_queries import BANDS, EIGHT, power_sql, r8
+from epochfold.sources import edf, results
 from epochfold.sources import fixtures as X
 from epochfold.sources.fixtures import WINDOW, views
 
-SEED, BOOTS, PERMS = 42, 500, 20
+SEED, BOOTS, PERMS = 42, 10_000, 200
 LAGS = [1, 2, 3, 4, 5]
 LEAST_TRAIN = 5  # blocks before the first test block
 
@@ -67,8 +69,7 @@ def split_index_hash(s, d):
 
 
 def fold_validity_semijoin(s, d):
-    every = splits.leave_one_run_out(_trials(s, d).where("subject < 5 OR y = 1"))
-    return splits.valid_folds(every, ["subject", "fold"]).where("role = 'test'").select("subject", "fold", "epoch_id")
+    return splits.valid_folds(splits.leave_one_run_out(_trials(s, d)), ["subject", "fold"]).where("role = 'test'").select("subject", "fold", "epoch_id")
 
 
 _LOSO = "folds AS (SELECT f.fold, t.*, CASE WHEN t.subject = f.fold THEN 'test' ELSE 'train' END AS role FROM trials t, (SELECT DISTINCT subject AS fold FROM trials) f)"
@@ -96,7 +97,7 @@ SPLIT_SQL = {
           UNION ALL SELECT g.i, g.subject, (list_position(w, list_min(w)) - 1)::INT, list_transform(w, lambda v, k: CASE WHEN k = list_position(w, list_min(w)) THEN v + g.n ELSE v END) FROM step JOIN g ON g.i = step.i + 1)
         SELECT subject, fold FROM step WHERE i > 0""",
     "split_index_hash": views("trials") + f", {_LOSO} SELECT fold, role, substr(sha1(string_agg(epoch_id::VARCHAR, ',' ORDER BY epoch_id)), 1, 12) AS index_hash, count(*) AS n FROM folds GROUP BY fold, role",
-    "fold_validity_semijoin": views("trials") + f", part AS (SELECT * FROM trials WHERE subject < 5 OR y = 1), {_LORO('part')} SELECT subject, fold, epoch_id FROM each JOIN ok USING (subject, fold) WHERE role = 'test'",
+    "fold_validity_semijoin": views("trials") + f", {_LORO('trials')} SELECT subject, fold, epoch_id FROM each JOIN ok USING (subject, fold) WHERE role = 'test'",
 }
 
 
@@ -106,12 +107,8 @@ def _loso(s, d):
     return splits.leave_one_group_out(_trials(s, d), "subject")
 
 
-def _loso_long(s, d):
-    return splits.leave_one_group_out(S.power_long(s, d), "subject")
-
-
 def fold_scaler_stats(s, d):
-    f = models.fold_scaler(_loso_long(s, d).where("role = 'train'"), ["fold", "band"])
+    f = models.loso_moments(S.power_long(s, d), "subject")
     return f.select("fold", "band", r8("mean").alias("mean"), r8("sd").alias("sd"))
 
 
@@ -142,10 +139,11 @@ def _rounded(df, keys, names):
 
 def per_split_baselines(s, d):
     split = _loso(s, d)
-    out = None
+    preds = None
     for name in ("most_frequent", "stratified", "uniform"):
-        m = M.fold_metrics(models.dummy(split, ["fold"], name, "epoch_id", seed=SEED), ["fold"]).withColumn("strategy", F.lit(name))
-        out = m if out is None else out.unionByName(m)
+        p = models.dummy(split, ["fold"], name, "epoch_id", seed=SEED).withColumn("strategy", F.lit(name))
+        preds = p if preds is None else preds.unionByName(p)
+    out = M.fold_metrics(preds, ["fold", "strategy"])
     rates = models.training_classes(split, ["fold"]).select("fold", "majority", F.col("rate").alias("positive_rate_train"))
     out = out.join(rates, "fold").withColumn("positive_rate_test", F.col("n_positive") / F.col("n_test"))
     return _rounded(out, ["fold", "strategy", "n_test", "majority"], ["positive_rate_train", "positive_rate_test", *M.METRICS])
@@ -161,7 +159,7 @@ def cv_dummy_baselines(s, d):
 
 
 def _centroid(s, d):
-    return models.centroid(_loso_long(s, d), ["fold"], "epoch_id")
+    return models.loso_centroid(S.power_long(s, d), "subject", "epoch_id")
 
 
 def loso_centroid_end_to_end(s, d):
@@ -173,8 +171,8 @@ def loso_centroid_end_to_end(s, d):
 
 def coef_topk(s, d):
     """Differences of the class centroids on scaled features, as weights, averaged over folds: the largest three."""
-    t = _loso_long(s, d).where("role = 'train'").groupBy("fold", "band").agg(F.avg(F.when(F.col("y") == 1, F.col("power"))).alias("a"), F.avg(F.when(F.col("y") == 0, F.col("power"))).alias("b"), F.stddev_pop("power").alias("s"))
-    means = t.groupBy(F.col("band").alias("name")).agg(F.avg((F.col("a") - F.col("b")) / F.col("s")).alias("mean_coefficient"))
+    t = models.loso_moments(S.power_long(s, d), "subject")
+    means = t.groupBy(F.col("band").alias("name")).agg(F.avg((F.col("c1") - F.col("c0")) / F.col("sd")).alias("mean_coefficient"))
     return _rounded(models.top_coefficients(means, 3), ["name"], ["mean_coefficient"])
 
 
@@ -345,9 +343,9 @@ def window_time_gaps(s, d):
 
 
 def missing_files_antijoin(s, d):
-    """Expected subject x run files that have no trial with a positive label in an even epoch."""
-    want = s.range(10).select(F.col("id").cast("int").alias("subject"), F.explode(F.array(F.lit(4), F.lit(8), F.lit(12))).alias("run"))
-    there = _trials(s, d).where("y = 1 AND epoch_id % 4 = 0").select("subject", "run").distinct()
+    """Expected subject x run files, of twelve subjects, that have no trial with a positive label."""
+    want = s.range(12).select(F.col("id").cast("int").alias("subject"), F.explode(F.array(F.lit(4), F.lit(8), F.lit(12))).alias("run"))
+    there = _trials(s, d).where("y = 1").select("subject", "run").distinct()
     return want.join(there, ["subject", "run"], "left_anti").select("subject", "run", F.format_string("S%03d/S%03dR%02d.edf", F.col("subject") + 1, F.col("subject") + 1, "run").alias("path"))
 
 
@@ -383,16 +381,86 @@ RESAMPLE_SQL = {
         SELECT (CASE WHEN lag IS NULL THEN 5 WHEN value IS NULL THEN NULL WHEN lag = 1 THEN 0 ELSE lag - 1 END)::INT AS gap,
         CASE WHEN lag IS NULL THEN 'never_below' WHEN value IS NULL THEN 'undefined_at_lag_' || lag WHEN lag = 1 THEN 'already_below' ELSE 'crossed_at_lag_' || lag END AS reason FROM (SELECT 1) LEFT JOIN h ON true""",
     "window_time_gaps": _W + f", g AS (SELECT lead(start) OVER (ORDER BY start) - start AS d FROM windows) SELECT count(d) AS n_adjacent, count(*) FILTER (WHERE d <> {WINDOW}) AS n_gapped FROM g",
-    "missing_files_antijoin": views("trials") + """ SELECT s::INT AS subject, r::INT AS run, printf('S%03d/S%03dR%02d.edf', (s + 1)::INT, (s + 1)::INT, r::INT) AS path FROM unnest(range(10)) AS a(s), unnest([4, 8, 12]) AS b(r)
-        WHERE NOT EXISTS (SELECT 1 FROM trials WHERE y = 1 AND epoch_id % 4 = 0 AND subject = s AND run = r)""",
+    "missing_files_antijoin": views("trials") + """ SELECT s::INT AS subject, r::INT AS run, printf('S%03d/S%03dR%02d.edf', (s + 1)::INT, (s + 1)::INT, r::INT) AS path FROM unnest(range(12)) AS a(s), unnest([4, 8, 12]) AS b(r)
+        WHERE NOT EXISTS (SELECT 1 FROM trials WHERE y = 1 AND subject = s AND run = r)""",
     "trial_ids": views("trials") + " SELECT epoch_id, printf('S%03d_R%02d_T%03d', subject + 1, run, (row_number() OVER (PARTITION BY subject, run ORDER BY epoch_id) - 1)::INT) AS trial_id FROM trials",
 }
 
 
+# ---- names, files and texts of results
+
+def channel_names(s, d):
+    """Channel labels as files pad them, and as they are compared."""
+    t = X.trials(s, d).select("epoch_id", F.concat(F.initcap(F.substring(F.md5(F.col("epoch_id").cast("string")), 1, 3)), F.lit("..")).alias("label"))
+    return t.select("epoch_id", "label", edf.clean_name(F.col("label")).alias("name"))
+
+
+def run_ids(s, d):
+    """The run that a file's path names."""
+    subject = F.format_string("S%03d", F.col("subject") + 1)
+    t = _trials(s, d).select("epoch_id", F.concat(F.lit("data/"), edf.expected_path(subject, F.col("run"))).alias("path"))
+    return t.select("epoch_id", "path", edf.run_of_path(F.col("path")).alias("run"))
+
+
+def file_digests(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return edf.digests(docs.withColumn("length", F.length("content").cast("long"))).withColumnRenamed("length", "nbytes")
+
+
+def interval_texts(s, d):
+    ci = resample.bootstrap_ci(_scored_long(s, d), ["metric"], "subject", n_boot=BOOTS, seed=SEED)
+    return ci.select("metric", results.ci_text(F.col("point"), F.col("lo"), F.col("hi"), 2).alias("interval"))
+
+
+def pooled_metrics(s, d):
+    return _rounded(M.pooled_metrics(X.scored(s, d)), ["n_test", "n_positive"], ["balanced_accuracy", "macro_f1", "roc_auc"])
+
+
+def cross_subject_folds(s, d):
+    """Folds over subjects whose training rows have both classes, and their sizes."""
+    f = splits.valid_folds(splits.leave_one_group_out(_trials(s, d), "subject"), ["fold"])
+    return f.groupBy("fold", "role").agg(F.count("*").alias("n"))
+
+
+def prefix_gap(s, d):
+    """The gap that the first seventy per cent of the windows ask for."""
+    f = splits.row_numbers(_window_features(s, d), "start")
+    head = f.where(F.col("pos") < int(0.7 * f.count()))
+    return _rounded(T.lag_autocorrelation(head, LAGS, "start", WINDOW), ["lag", "n_pairs"], ["value"])
+
+
+def flat_channels(s, d):
+    """Epochs of eight channels flattened to one array and cut again: first and last sample of each channel."""
+    e = W.unflatten(W.flatten_channels(X.multichannel(s, d, EIGHT)).drop("channels"), list(EIGHT))
+    one = e.select("epoch_id", F.explode("channels").alias("c"))
+    return one.select("epoch_id", F.col("c.name").alias("channel"), r8(F.get("c.x", F.lit(0))).alias("first_x"), r8(F.element_at("c.x", -1)).alias("last_x"))
+
+
+def feature_columns(s, d):
+    """Names and values of the flat features, channel by channel and band by band."""
+    power = S._channel_power(s, d)
+    names = F.array(*[F.lit(n) for n in spectral.feature_names(list(X.FOUR_CHANNELS), S.LOW_BANDS)])
+    at = F.array_position(names, F.concat_ws("_", "channel", "band"))
+    return power.select("epoch_id", F.element_at(names, at.cast("int")).alias("feature"), r8("power").alias("power"))
+
+
+NAME_SQL = {
+    "channel_names": views("trials") + ", l AS (SELECT epoch_id, upper(substr(md5(epoch_id::VARCHAR), 1, 1)) || substr(md5(epoch_id::VARCHAR), 2, 2) || '..' AS label FROM trials) SELECT epoch_id, label, upper(replace(label, '.', '')) AS name FROM l",
+    "run_ids": views("trials") + " SELECT epoch_id, printf('data/S%03d/S%03dR%02d.edf', subject + 1, subject + 1, run) AS path, run FROM trials",
+    "file_digests": "SELECT doc_id::VARCHAR AS path, sha256(text) AS sha256, strlen(text)::BIGINT AS nbytes FROM documents",
+    "interval_texts": _M + f", {_UP}, {boot_sql('per', 'metric', 'subject', BOOTS)} SELECT metric, CASE WHEN point IS NULL OR lo IS NULL OR hi IS NULL THEN 'n/a' ELSE printf('%.2f [%.2f, %.2f]', point, lo, hi) END AS interval FROM boot",
+    "pooled_metrics": views("scored") + ", preds AS (SELECT 1 AS k, y, pred, proba FROM scored), " + metric_sql("k") + f" SELECT n_test, n_positive, {_R('balanced_accuracy', 'macro_f1', 'roc_auc')} FROM m",
+    "cross_subject_folds": views("trials") + f", {_LOSO}, ok AS (SELECT fold FROM folds GROUP BY fold HAVING count(DISTINCT CASE WHEN role = 'train' THEN y END) = 2 AND count(*) FILTER (WHERE role = 'test') > 0) SELECT fold, role, count(*) AS n FROM folds JOIN ok USING (fold) GROUP BY fold, role",
+    "prefix_gap": _W.replace("windows AS (", "whole AS (") + f", windows AS (SELECT * FROM whole QUALIFY row_number() OVER (ORDER BY start) <= floor(0.7::DOUBLE * count(*) OVER ())), {_FEATURES}, {_LAG('start', WINDOW)} SELECT lag, n_pairs, round(value, 8) AS value FROM report",
+    "flat_channels": views("trials") + " SELECT epoch_id, 'CH' || i AS channel, round(x[i * 8 + 1], 8) AS first_x, round(x[i * 8 + 8], 8) AS last_x FROM trials, unnest(range(8)) AS u(i)",
+    "feature_columns": S._CHANNEL_POWER + " SELECT epoch_id, channel || '_' || band AS feature, round(power, 8) AS power FROM power_rows",
+}
+
+
 # ---- fitted models: no SQL twin; tests hold them against NumPy
 
 def _summary(preds, keys=("fold",), decimals=6):
-    m = M.unpivot(M.fold_metrics(preds, list(keys)), list(keys)).persist()
+    m = M.unpivot(M.fold_metrics(preds, list(keys)), list(keys))
     s = M.summary(m, ["metric"])
     return s.select("metric", "n_valid", "n_above_half", *[F.round(c, decimals).alias(c) for c in ("mean", "std", "median")])
 
@@ -420,8 +488,8 @@ def within_subject_logreg(s, d):
 def naive_logreg(s, d):
     """All rows shuffled, groups ignored: the leaky split that others are held against."""
     split = splits.roles_of(splits.stratified_kfold(_feature_trials(s, d), "y", "epoch_id", 5, SEED), 5)
-    p = models.fit_folds(split, ["fold"], "epoch_id", models.ModelSpec(), strict=False).withColumn("all", F.lit("pooled"))
-    return _rounded(M.fold_metrics(p, ["all"]), ["all", "n_test"], M.METRICS)
+    p = models.fit_folds(split, ["fold"], "epoch_id", models.ModelSpec(), strict=False)
+    return _rounded(M.pooled_metrics(p).withColumn("all", F.lit("pooled")), ["all", "n_test"], M.METRICS)
 
 
 def expanding_logreg(s, d):
@@ -439,7 +507,7 @@ def loso_csp_lda(s, d):
 
 
 def loso_random_forest(s, d):
-    return _summary(models.random_forest(splits.leave_one_group_out(_feature_trials(s, d), "subject"), "fold", "epoch_id", trees=20), decimals=4)
+    return _summary(models.random_forest(splits.leave_one_group_out(_feature_trials(s, d), "subject"), "fold", "epoch_id"), decimals=4)
 
 
 def loso_svm_rbf(s, d):
@@ -464,5 +532,6 @@ QUERIES = {f.__name__: f for f in (
     confusion_by_fold, fold_metrics, pooled_vs_fold_metrics, roc_auc_by_group, across_fold_summary, loro_subject_summary, class_balance_rollup,
     bootstrap_ci_hash, bootstrap_ci_numpy, paired_delta, within_group_permutation, lag_autocorr_rows, lag_autocorr_time_aligned, temporal_gap_choice, window_time_gaps, missing_files_antijoin, trial_ids,
     loso_logreg, loro_logreg, within_subject_logreg, naive_logreg, expanding_logreg, chronological_logreg, loso_csp_lda, loso_random_forest, loso_svm_rbf, nested_grid_logreg, coefficient_means,
+    channel_names, run_ids, file_digests, interval_texts, pooled_metrics, cross_subject_folds, prefix_gap, flat_channels, feature_columns,
 )}
-ORACLE = SPLIT_SQL | FOLD_SQL | METRIC_SQL | RESAMPLE_SQL
+ORACLE = SPLIT_SQL | FOLD_SQL | METRIC_SQL | RESAMPLE_SQL | NAME_SQL

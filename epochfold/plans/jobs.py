@@ -93,7 +93,7 @@ def trials_job(features: DataFrame, names: list[str], row_id: str = "epoch_id",
         "leave_one_subject_out": loso.to_dict(),
         "unweighted_c_half": E.evaluate_loso(f, "subject", row_id, ModelSpec("logistic", {"c": 0.5, "balanced": False}), n_boot=n_boot, seed=seed).to_dict(),
         "naive": E.evaluate_naive(f, row_id, spec, seed=seed).first().asDict(recursive=True),
-        "coefficients": [r.asDict() for r in models.top_coefficients(models.coefficient_means(within.predictions, [], names)).collect()],
+        "coefficients": [r.asDict() for r in models.top_coefficients(models.coefficient_means(within.predictions, [], names, ("subject", "fold"))).collect()],
     }
     f.unpersist()
     return out

@@ -57,7 +57,7 @@ def event_epochs_range_join(s, d):
     events = s.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'").select(F.col("event_id").alias("at"))
     rec = X.recording(s, d)
     n = 1000
-    runs = rec.groupBy(F.expr(f"cast(sample_idx div {n} as int)").alias("run")).agg(F.min("sample_idx").alias("first"), (F.max("sample_idx") + 1).alias("end")).where("run % 3 <> 2")
+    runs = rec.groupBy(F.expr(f"cast(sample_idx div {n} as int)").alias("run")).agg(F.min("sample_idx").alias("first"), (F.max("sample_idx") + 1).alias("end"))
     e = W.event_epochs(rec, W.run_of_event(events, runs), 2, 9, ["x"])
     return e.select("at", "run", r8(F.aggregate("x", F.lit(0.0).cast("double"), lambda a, v: a + v)).alias("sum_x"))
 
@@ -176,7 +176,7 @@ ORACLE = {
     "sliding_windows": views("recording") + f""" SELECT start, 1::INT AS label, round(sum(x), 8) AS sum_x, round(max_by(x, sample_idx), 8) AS last_x
         FROM recording JOIN (SELECT unnest(range(0, (SELECT max(sample_idx) FROM recording) + 1, {WINDOW // 2})) AS start) ON sample_idx >= start AND sample_idx < start + {WINDOW}
         GROUP BY start HAVING count(*) = {WINDOW}""",
-    "event_epochs_range_join": views("recording") + """, runs AS (SELECT (sample_idx // 1000)::INT AS run, min(sample_idx) AS a, max(sample_idx) + 1 AS b FROM recording GROUP BY 1 HAVING run % 3 <> 2)
+    "event_epochs_range_join": views("recording") + """, runs AS (SELECT (sample_idx // 1000)::INT AS run, min(sample_idx) AS a, max(sample_idx) + 1 AS b FROM recording GROUP BY 1)
         SELECT e.event_id AS at, coalesce(any_value(r.run), -1) AS run, round(sum(x), 8) AS sum_x FROM events e JOIN recording s ON s.sample_idx BETWEEN e.event_id + 2 AND e.event_id + 9
         LEFT JOIN runs r ON e.event_id >= r.a AND e.event_id < r.b WHERE event_type = 'purchase' GROUP BY e.event_id HAVING count(*) = 8""",
     "super_blocks": views("recording", "windows") + f", {_SUPER} SELECT block, super_block FROM supers",

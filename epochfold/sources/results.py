@@ -71,10 +71,10 @@ def interval_bars(ci: DataFrame) -> DataFrame:
     return ci.select("*", (F.col("point") - F.col("lo")).alias("below"), (F.col("hi") - F.col("point")).alias("above"))
 
 
-def coefficient_dots(preds: DataFrame, means: DataFrame, names: list[str], k: int = 10) -> DataFrame:
-    """name, mean_coefficient, sign, and a dot for each fold: the k largest by absolute mean."""
+def coefficient_dots(preds: DataFrame, means: DataFrame, names: list[str], k: int = 10, split: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """name, mean_coefficient, sign, and a dot for each fit, told apart by split: the k largest by absolute mean."""
     top = means.orderBy(F.abs("mean_coefficient").desc(), "name").limit(k)
     labels = F.array(*[F.lit(n) for n in names])
-    dots = preds.where("coefficients IS NOT NULL").select("fold", "coefficients").dropDuplicates(["fold"])
-    dots = dots.select("fold", F.posexplode("coefficients").alias("_i", "value")).select("fold", F.element_at(labels, F.col("_i") + 1).alias("name"), "value")
+    dots = preds.where("coefficients IS NOT NULL").select(*split, "coefficients").dropDuplicates(list(split))
+    dots = dots.select(*split, F.posexplode("coefficients").alias("_i", "value")).select(*split, F.element_at(labels, F.col("_i") + 1).alias("name"), "value")
     return dots.join(F.broadcast(top), "name").withColumn("sign", F.signum("mean_coefficient").cast("int"))

@@ -245,3 +245,44 @@ def test_a_time_gap_is_no_neighbour(spark):
 def test_gap_rule(spark, values, gap, reason):
     df = spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "lag int, value double")
     assert tuple(T.choose_gap(df).first()) == (gap, reason)
+
+
+def test_coefficient_means_weigh_subjects_alike(spark):
+    rows = [(s, f, [100.0 * s]) for s in range(10) for f in range(2 + s % 3) for _ in range(3)]
+    df = spark.createDataFrame(rows, "subject int, fold int, coefficients array<double>").repartition(7)
+    assert models.coefficient_means(df, [], ["w"], ("subject", "fold")).first().mean_coefficient == pytest.approx(450.0)
+    per = {r.subject: r.mean_coefficient for r in models.coefficient_means(df, ["subject"], ["w"], ("subject", "fold")).collect()}
+    assert per == {s: 100.0 * s for s in range(10)}
+
+
+def test_a_fit_runs_once_behind_its_metrics(spark):
+    x, y, g = with_offsets()
+    p = models.fit_folds(splits.leave_one_group_out(frame(spark, x, y, g), "g"), ["fold"], "row", SPEC)
+    plan = M.fold_metrics(p, ["fold"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_pooled_metrics_rank_all_scores(spark):
+    rng = np.random.default_rng(4)
+    s = np.round(rng.random(500), 2)
+    y = (rng.random(500) < s).astype(int)
+    df = spark.createDataFrame([(int(a), int(b > 0.5), float(b)) for a, b in zip(y, s)], "y int, pred int, proba double").repartition(5)
+    m = M.pooled_metrics(df).first()
+    pairs = (s[y == 1][:, None] > s[y == 0]).mean() + (s[y == 1][:, None] == s[y == 0]).mean() / 2
+    assert m.roc_auc == pytest.approx(pairs) and m.n_test == 500 and "descriptive" in m.warning
+    assert M.pooled_metrics(df.limit(0)).first().roc_auc is None
+
+
+def test_merged_moments_are_those_of_the_training_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 5, int(rng.random() < 0.4), b, float(rng.normal(b * 1e6, 1))) for i in range(200) for b in range(2)]
+    long = spark.createDataFrame(rows, "row int, g int, y int, band int, power double")
+    got = {(r.fold, r.band): r for r in models.loso_moments(long, "g").collect()}
+    for f in range(5):
+        for b in range(2):
+            v = np.array([(r[4], r[2]) for r in rows if r[1] != f and r[3] == b])
+            r = got[f, b]
+            assert np.allclose([r.mean, r.sd, r.c0, r.c1], [v[:, 0].mean(), v[:, 0].std(), v[v[:, 1] == 0, 0].mean(), v[v[:, 1] == 1, 0].mean()], rtol=1e-9)
+    split = splits.leave_one_group_out(long, "g")
+    key = lambda r: (r.fold, r.row, r.y, r.pred, round(r.proba, 6))
+    assert sorted(map(key, models.loso_centroid(long, "g", "row").collect())) == sorted(map(key, models.centroid(split, ["fold"], "row").collect()))
