@@ -296,10 +296,14 @@ def _anchors(batches):
     """(k, text) -> k and the trigger and span of each phrase, once each."""
     for b, raws in W.slices(batches):
         h, at = W.word_hashes(raws)
-        own = [np.unique(np.stack(_word_phrases(h[x:y])[2:], axis=1), axis=0) for x, y in zip(at[:-1], at[1:], strict=True)]
-        k = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
-        every = np.concatenate(own)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(every[:, 0].copy(), pa.int64()), pa.array(every[:, 1].copy(), pa.int64())], names=["k", "anchor", "span"])
+        own = []
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            _, _, trigger, span = _word_phrases(h[x:y])
+            once = np.unique(W.mixed(trigger.view(np.uint64)) + span.view(np.uint64), return_index=True)[1]
+            own.append((trigger[once], span[once]))
+        k = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(t) for t, _ in own])
+        every = [np.concatenate(c) for c in zip(*own, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k, *every)], names=["k", "anchor", "span"])
 
 
 def _passage_strings(batches):
