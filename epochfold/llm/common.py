@@ -35,12 +35,14 @@ def words(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="epochfold-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -92,7 +94,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Up to so many keys (8 or 16 bytes each), a list of rows to leave out is broadcast; a longer one is joined by shuffle.
-FEW_KEYS = 4_000_000
+FEW_KEYS = 1_000_000
 
 
 def without_rows(df: DataFrame, gone: DataFrame, on) -> DataFrame:
