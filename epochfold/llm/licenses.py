@@ -1,6 +1,7 @@
 """License scans: phrases where their words stand in a row, and an exact set-similarity join with license templates.
 
-The join finds every block (line) of text that holds at least a share of a template's distinct words. Words are ordered
+The join finds every block of text, a line or two neighbouring lines, that holds at least a share of a template's distinct
+words; two lines count where neither does alone, as where a sentence is wrapped. Words are ordered
 by their frequency in the whole corpus, rarest first; a block can only reach the threshold if it holds one of a
 template's first |T| - need + 1 words (prefix filter), if it has `need` words at all (length filter), and if the words
 left after the matched ones suffice (positional filter). Candidates are then verified on whole word sets.
@@ -69,8 +70,8 @@ def order_templates(templates: list[tuple[str, str]], frequency: dict[str, int],
     return out
 
 
-def _hits(lines: Column, label: str, order: list[str], need: int) -> Column:
-    """The lines that hold at least `need` of a template's words, by its prefix, length and positional filters."""
+def _hits(lines: Column, template: int, label: str, order: list[str], need: int) -> Column:
+    """The blocks that hold at least `need` of a template's words, by its prefix, length and positional filters."""
     whole = F.array(*[F.lit(w) for w in order])
 
     def candidate(s: Column) -> Column:
@@ -79,7 +80,7 @@ def _hits(lines: Column, label: str, order: list[str], need: int) -> Column:
         return (F.size(s["words"]) >= need) & (first > 0) & (len(order) - first + 1 >= need)
 
     def verified(s: Column) -> Column:
-        return F.struct(s["line"].alias("line"), F.lit(label).alias("label"), (F.size(F.array_intersect(whole, s["words"])) / len(order)).alias("containment"))
+        return F.struct(s["line"].alias("line"), s["n_lines"].alias("n_lines"), F.lit(template).alias("template"), F.lit(label).alias("label"), (F.size(F.array_intersect(whole, s["words"])) / len(order)).alias("containment"))
 
     prefix = F.array(*[F.lit(w) for w in order[: len(order) - need + 1]])
     cand = F.filter(lines, lambda s: F.arrays_overlap(s["words"], prefix))
@@ -89,7 +90,7 @@ def _hits(lines: Column, label: str, order: list[str], need: int) -> Column:
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, share: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    blocks lists the lines that hold a template (line number from 0, label, containment); score is the largest
+    blocks lists the lines, and pairs of lines, that hold a template (line from 0, n_lines, template, label, containment); score is the largest
     containment, and 1 where a phrase stands. Work is by row: no row is shuffled, so copies and hot words cost nothing.
 
     Defined cases: a null or empty text has no words, no places and score 0; repeated rows and null ids get a row each;
@@ -114,11 +115,16 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
     def of_line(line: Column) -> Column:
         return F.array_distinct(F.split(F.trim(_spaced(line)), " "))
 
-    lines = F.filter(F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), of_line(x).alias("words"))), lambda s: F.arrays_overlap(s["words"], rare))
-    t = t.withColumn("_lines", F.when(F.col("_maybe"), lines))
+    single = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), F.lit(1).alias("n_lines"), of_line(x).alias("words")))
+    t = t.withColumn("_single", F.when(F.col("_maybe"), single))
+    double = F.transform(F.slice("_single", F.lit(1), F.greatest(F.size("_single") - 1, F.lit(0))), lambda s, i: F.struct(i.alias("line"), F.lit(2).alias("n_lines"), F.array_distinct(F.concat(s["words"], F.get("_single", i + 1)["words"])).alias("words")))
+    with_rare = lambda blocks: F.filter(blocks, lambda s: F.arrays_overlap(s["words"], rare))
+    t = t.withColumn("_lines", F.concat(with_rare(F.col("_single")), with_rare(double)))
     # lines meet templates inside their row, so no row leaves its place
-    found = F.flatten(F.array(*[_hits(F.col("_lines"), label, order, need) for label, order, need in ordered]))
-    t = t.withColumn("blocks", F.coalesce(F.when(F.size("_lines") > 0, found), F.array().cast("array<struct<line:int,label:string,containment:double>>")))
+    found = F.flatten(F.array(*[_hits(F.col("_lines"), k, label, order, need) for k, (label, order, need) in enumerate(ordered)]))
+    t = t.withColumn("_hits", F.coalesce(F.when(F.size("_lines") > 0, found), F.array().cast("array<struct<line:int,n_lines:int,template:int,label:string,containment:double>>")))
+    alone = lambda h: F.exists("_hits", lambda o: (o["n_lines"] == 1) & (o["template"] == h["template"]) & ((o["line"] == h["line"]) | (o["line"] == h["line"] + 1)))
+    t = t.withColumn("blocks", F.filter("_hits", lambda h: (h["n_lines"] == 1) | ~alone(h)))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
     all_labels = F.array_sort(F.array_distinct(F.concat("_own", F.transform("blocks", lambda b: b["label"]))))
     return t.select(

@@ -1,7 +1,8 @@
 """Line dedup on content-defined chunks of lines.
 
-A line's digest and the one before it are hashed together, rolling over the lines; where that hash is 0 modulo the mean
-length, a chunk ends. Borders thus move with the text: a line put in or taken out changes the chunks around it alone.
+A line's digest and the one before it are hashed together, rolling over the lines; where that hash is 0 modulo MEAN_LINES,
+and isn't for the line before, a chunk ends, unless a text's first or last line would stand alone. Chunks thus hold two
+lines or more, and their borders move with the text: a line put in or taken out changes the chunks around it alone.
 Chunks of two lines or more that stand more than once in the corpus keep their first place, by id and order, and go
 elsewhere, after their bytes have been compared.
 
@@ -21,21 +22,28 @@ MEAN_LINES, LEAST_LINES = 4, 2
 FEW = 1_000_000
 
 
-def chunk_ends(digests: str, mean: int = MEAN_LINES) -> Column:
-    """Numbers (from 1) of the lines that end a chunk; the last line always does. digests: a column of the lines' MD5.
+def chunk_marks(digests: str, mean: int = MEAN_LINES) -> Column:
+    """For each line, whether its hash with the line before is 0 modulo mean. digests: a column of the lines' MD5.
 
     The digests are a column of their own, as an expression inside the lambda would be worked out again for each line.
     """
-    rolled = lambda i: F.md5(F.concat(F.coalesce(F.get(digests, i - 2), F.lit("")), F.get(digests, i - 1)))
-    ends = lambda i: F.conv(F.substring(rolled(i), 1, 4), 16, 10).cast("int") % mean == 0
-    return F.filter(F.sequence(F.lit(1), F.size(digests)), lambda i: (i == F.size(digests)) | ends(i))
+    rolled = lambda i: F.md5(F.concat(F.coalesce(F.get(digests, i - 1), F.lit("")), F.get(digests, i)))
+    return F.transform(digests, lambda _, i: F.conv(F.substring(rolled(i), 1, 4), 16, 10).cast("int") % mean == 0)
+
+
+def chunk_ends(marks: str) -> Column:
+    """Numbers (from 1) of the lines that end a chunk, from a column of marks; the last line always does."""
+    n = F.size(marks)
+    inside = lambda i: (i >= 2) & (i != n - 1) & F.get(marks, i - 1) & ~F.get(marks, i - 2)
+    return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | inside(i))
 
 
 def _with_chunks(docs: DataFrame, mean: int) -> DataFrame:
     """docs(k, text) with _lines and _chunks: array<struct<i, a, n, text>>; none for a null text."""
     d = docs.select("*", F.split("text", "\n").alias("_lines"))
     d = d.select("*", F.transform("_lines", lambda x: F.md5(x)).alias("_digests"))
-    d = d.select("*", chunk_ends("_digests", mean).alias("_ends")).drop("_digests")
+    d = d.select("*", chunk_marks("_digests", mean).alias("_marks")).drop("_digests")
+    d = d.select("*", chunk_ends("_marks").alias("_ends")).drop("_marks")
     start = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get("_ends", i - 1) + 1)
     part = lambda e, i: F.struct(i.alias("i"), start(i).alias("a"), (e - start(i) + 1).alias("n"))
     return d.withColumn("_chunks", F.transform("_ends", part))
@@ -65,7 +73,7 @@ def repeated_chunks(keyed: DataFrame, mean: int = MEAN_LINES, least: int = LEAST
 def dedup_lines(docs: DataFrame, mean: int = MEAN_LINES, least: int = LEAST_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_lines, n_removed and text, the lines that stay.
 
-    Defined cases: a null text has no lines and stays null; an empty one is a line; one-line chunks stay; repeated rows
+    Defined cases: a null text has no lines and stays null; an empty one is a line; texts of one line stay; repeated rows
     and rows that share an id or have none are told apart by row numbers of a stored copy, so one of them keeps its
     chunks; an empty table gives an empty result; other columns of docs are not read.
     """

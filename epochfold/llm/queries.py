@@ -108,10 +108,15 @@ place AS (
 base AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
          list_sort(list_distinct(list(label))) AS own FROM place GROUP BY doc_id),
-line AS (SELECT doc_id, list_distinct(string_split(trim({_SPACED("x")}), ' ')) AS w FROM d, unnest(string_split(text, chr(10))) AS u(x)),
-hit AS (
-  SELECT doc_id, label, len(list_intersect(words, w))::DOUBLE / len(words) AS c FROM line JOIN template ON list_has_any(words, w)
+split AS (SELECT doc_id, i, list_distinct(string_split(trim({_SPACED("l[i]")}), ' ')) AS w
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d), unnest(range(1, len(l) + 1)) AS u(i)),
+line AS (SELECT doc_id, i, false AS two, w FROM split
+         UNION ALL SELECT a.doc_id, a.i, true, list_distinct(list_concat(a.w, b.w)) FROM split a JOIN split b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+every AS (
+  SELECT doc_id, i, two, k, label, len(list_intersect(words, w))::DOUBLE / len(words) AS c FROM line JOIN template ON list_has_any(words, w)
   WHERE len(list_intersect(words, w)) >= ceil({licenses.CONTAINMENT} * len(words) - 1e-9)),
+hit AS (SELECT * FROM every h WHERE NOT two OR NOT EXISTS (
+  SELECT 1 FROM every o WHERE NOT o.two AND o.doc_id = h.doc_id AND o.k = h.k AND o.i IN (h.i, h.i + 1))),
 alike AS (SELECT doc_id, list(label) AS more, max(c) AS best, count(*) AS n_blocks FROM hit GROUP BY doc_id)
 SELECT doc_id, CASE WHEN w = [''] THEN 0 ELSE len(w) END AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(coalesce(own, []), ',') AS base_labels,
@@ -123,9 +128,10 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN alike USING (doc_id)
 
 _OP4_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-line AS (SELECT doc_id, i, l[i] AS x, len(l) AS n, i = len(l) OR
-           ('0x' || substr(md5((CASE WHEN i > 1 THEN md5(l[i - 1]) ELSE '' END) || md5(l[i])), 1, 4))::INT % {lines.MEAN_LINES} = 0 AS ends
+marked AS (SELECT doc_id, i, l[i] AS x, len(l) AS n,
+           ('0x' || substr(md5((CASE WHEN i > 1 THEN md5(l[i - 1]) ELSE '' END) || md5(l[i])), 1, 4))::INT % {lines.MEAN_LINES} = 0 AS mark
          FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
+line AS (SELECT *, i = n OR (i >= 2 AND i <> n - 1 AND mark AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY i)) AS ends FROM marked),
 numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM line),
 chunk AS (SELECT doc_id, c, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, c),
 ranked AS (SELECT doc_id, c, n, t, n >= {lines.LEAST_LINES} AND row_number() OVER (PARTITION BY n >= {lines.LEAST_LINES}, t ORDER BY doc_id, c) > 1 AS gone FROM chunk),

@@ -13,9 +13,10 @@ def brute(rows):
             out[i] = (0, 0, None)
             continue
         own, kept, chunk = t.split("\n"), [], []
+        marks = [int(md5((md5(own[n - 1]) if n else "") + md5(x))[:4], 16) % 4 == 0 for n, x in enumerate(own)]
         for n, x in enumerate(own):
             chunk.append(x)
-            if n == len(own) - 1 or int(md5((md5(own[n - 1]) if n else "") + md5(x))[:4], 16) % 4 == 0:
+            if n == len(own) - 1 or (0 < n < len(own) - 2 and marks[n] and not marks[n - 1]):
                 key = "\n".join(chunk)
                 if len(chunk) < 2 or key not in seen:
                     kept += chunk
@@ -57,6 +58,14 @@ def test_borders_resist_shifts():
     assert got[0] > 150
 
 
+def test_copies_of_several_lines_go_as_a_whole(spark):
+    rnd = random.Random(4)
+    texts = ["\n".join(f"{i} {rnd.random()}" for i in range(n)) for n in range(2, 40)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string")
+    out = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert all(out[k].n_removed == 0 and out[k + len(texts)].n_removed == out[k].n_lines for k in range(len(texts)))
+
+
 def test_repeated_rows_nulls_empty(spark):
     t = "\n".join(f"l{i}" for i in range(40))
     df = spark.createDataFrame([(5, t), (5, t), (None, t), (6, None)], "doc_id long, text string")
