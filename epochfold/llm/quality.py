@@ -1,9 +1,9 @@
 """Quality classifier: a generalised additive model with pairwise interactions, as lookup tables.
 
 Cyclic boosting: in each round every feature in turn gets a shallow tree on the current residuals, over that feature's
-quantile bins; the trees of a feature add up to one table of bin scores. Then the pairs whose joint table would lower
-the loss most are boosted the same way, on two-dimensional bins. A score is the sum of the looked-up bins through the
-logistic function. Features are counts over the whole text alone: never labels, language, source or ids.
+quantile bins; the trees of a feature add up to one table of bin scores. Then the pairs whose first tree would lower
+the loss most are boosted the same way: a tree of two levels cuts one feature, then the other in each part, and a pair's
+trees add up to one table of two-dimensional bins. A score is the sum of the looked-up bins through the logistic function. Features are counts over the whole text alone: never labels, language, source or ids.
 """
 
 from __future__ import annotations
@@ -88,12 +88,12 @@ def _borders(v: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(v, np.linspace(0, 1, bins + 1)[1:-1]))
 
 
-def _tree(grad: np.ndarray, hess: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Leaf values by bin of a tree of LEAVES leaves over one feature's ordered bins, best split first."""
+def _tree(grad: np.ndarray, hess: np.ndarray, count: np.ndarray, leaves: int = LEAVES) -> np.ndarray:
+    """Leaf values by bin of a tree of so many leaves over one feature's ordered bins, best split first."""
     cuts = [(0, len(grad))]
     cg, ch, cn = (np.concatenate([[0], np.cumsum(x)]) for x in (grad, hess, count))
     gain = lambda a, b: (cg[b] - cg[a]) ** 2 / (ch[b] - ch[a] + 1.0)
-    while len(cuts) < LEAVES:
+    while len(cuts) < leaves:
         best = (1e-9, None, 0)
         for a, b in cuts:
             mid = np.arange(a + 1, b)
@@ -113,6 +113,23 @@ def _tree(grad: np.ndarray, hess: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_tree(grad: np.ndarray, hess: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Leaf values by cell of a pair's best tree of two levels: a cut of one feature, then of the other in each part."""
+    best, most = np.zeros_like(grad), 1e-9
+    for turned in (False, True):
+        g, h, c = (v.T if turned else v for v in (grad, hess, count))
+        for cut in range(1, len(g)):
+            if min(c[:cut].sum(), c[cut:].sum()) < LEAST:
+                continue
+            out = np.empty_like(g)
+            for part in (slice(0, cut), slice(cut, None)):
+                out[part] = _tree(g[part].sum(axis=0), h[part].sum(axis=0), c[part].sum(axis=0), 2)
+            gain = float((out * g).sum())
+            if gain > most:
+                best, most = out.T if turned else out, gain
+    return best
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """The model of rows x with labels y (0 or 1); with one class only, its smoothed share. Same rows, same model."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -138,13 +155,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         wide = len(coarse[j]) + 1
         return np.bincount(cells[i] * wide + cells[j], v, (len(coarse[i]) + 1) * wide).reshape(-1, wide)
 
-    gains = [((grid(i, j, y - p) ** 2 / (grid(i, j, p * (1 - p)) + 1.0)).sum(), i, j) for i, j in combinations(range(x.shape[1]), 2)]
-    pairs = [(i, j, np.zeros((len(coarse[i]) + 1, len(coarse[j]) + 1))) for _, i, j in sorted(gains, key=lambda g: (-g[0], g[1], g[2]))[:PAIRS]]
+    def tree(i: int, j: int) -> np.ndarray:
+        p = 1 / (1 + np.exp(-s))
+        return _pair_tree(grid(i, j, y - p), grid(i, j, p * (1 - p)), grid(i, j, np.ones(len(y))))
+
+    gains = [((tree(i, j) * grid(i, j, y - p)).sum(), i, j) for i, j in combinations(range(x.shape[1]), 2)]
+    chosen = sorted(gains, key=lambda g: (-g[0], g[1], g[2]))[:PAIRS]
+    pairs = [(i, j, np.zeros((len(coarse[i]) + 1, len(coarse[j]) + 1))) for _, i, j in chosen]
     for _ in range(PAIR_ROUNDS):
         for i, j, t in pairs:
-            p = 1 / (1 + np.exp(-s))
-            g, h, c = grid(i, j, y - p), grid(i, j, p * (1 - p)), grid(i, j, np.ones(len(y)))
-            step = RATE * np.where(c >= LEAST, g / (h + 1.0), 0.0)
+            step = RATE * tree(i, j)
             t += step
             s += step[cells[i], cells[j]]
     return Model(base, tuple(edges), tuple(tables), tuple((i, j, coarse[i], coarse[j], t) for i, j, t in pairs))
@@ -155,7 +175,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> DataFrame:
-    """Up to `most` labelled rows that aren't held out, by a hash of their id: (id, label, features)."""
+    """Up to `most` labelled rows that aren't held out, by a hash of their id: (id, label, features), a row an id.
+
+    Of rows that repeat an id, the one with the least features counts, so repeats can't lift the bound.
+    """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     own = own.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     chosen = C.stash(own.orderBy(F.xxhash64(id_col), id_col).limit(most), "quality-ids")
@@ -168,7 +191,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             x = matrix(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "label", "features"])
 
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, label int, features array<double>")
+    made = rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, label int, features array<double>")
+    return made.groupBy("id").agg(F.first("label").alias("label"), F.min("features").alias("features"))
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns) -> Model:

@@ -1,3 +1,5 @@
+import bisect
+import math
 import zlib
 
 import numpy as np
@@ -49,3 +51,55 @@ def test_odd_rows(spark):
     out = Q.classify(df, m).collect()
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     assert Q.classify(df.limit(0), m).count() == 0
+
+
+def plain_features(text):
+    """The features of a text by loops over its characters, words and lines."""
+    text = text or ""
+    if not text:
+        return [0.0] * len(Q.FEATURES)
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    share = lambda test: sum(1 for v in raw if test(chr(v))) / len(raw)
+    part = lambda some, test: sum(1 for w in some if test(w)) / max(1, len(words))
+    seen, again = set(), 0
+    for line in lines:
+        again += len(line) if line in seen else 0
+        seen.add(line)
+    bits = [raw.count(bytes([v])) / len(raw) for v in set(raw)]
+    return [
+        math.log1p(len(raw)), math.log1p(len(words)), sum(len(w) for w in words) / max(1, len(words)),
+        share(lambda c: "A" <= c <= "Z"), share(lambda c: "a" <= c <= "z"), share(lambda c: "0" <= c <= "9"), share(lambda c: c > "\x7f"),
+        share(lambda c: c == " "), share(lambda c: c == "\n"), share(lambda c: c == "."), share(lambda c: c == "!"),
+        share(lambda c: c in "#$%&*+<=>@^_`{}~\\"), share(lambda c: c == "|"), share(lambda c: c == "-"), share(lambda c: c in "\"'(),/:;[]"),
+        len(set(words)) / max(1, len(words)), max((words.count(w) for w in set(words)), default=0) / max(1, len(words)),
+        len(seen) / len(lines), again / len(text), math.log1p(len(raw) / len(lines)), sum(1 for x in lines if len(x) < 30) / len(lines),
+        -sum(b * math.log2(b) for b in bits), part(words, lambda w: w[-1] in "!#$%&*|@^~"), part(words, lambda w: w[0].isupper()),
+    ]
+
+
+def test_the_query_scores_like_loops_over_texts_and_bins(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = Q.train(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op8_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and len(m.pairs) == Q.PAIRS
+    for r in rows:
+        x = plain_features(r.text)
+        s = m.base
+        for k in range(len(x)):
+            s += m.tables[k][bisect.bisect_right(list(m.edges[k]), x[k] + 1e-12)  # a border counts to its right, whatever the rounding]
+        for i, j, a, b, t in m.pairs:
+            s += t[bisect.bisect_right(list(a), x[i] + 1e-12)][bisect.bisect_right(list(b), x[j] + 1e-12)]
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-s))) < 1e-9
+
+
+def test_pair_trees_have_at_most_four_leaves_and_a_repeated_id_counts_once(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        g, h, c = rng.normal(size=(6, 5)), rng.random((6, 5)), rng.integers(1, 40, (6, 5))
+        t = Q._pair_tree(g, h, c)
+        assert 2 <= len(np.unique(t)) <= 4 and (t * g).sum() > 0
+    docs = spark.createDataFrame([(1, "one text")] * 50 + [(2, "two"), (3, "three three")], "doc_id long, text string")
+    rows = Q.training_rows(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")).collect()
+    assert len({r["id"] for r in rows}) == len(rows)
