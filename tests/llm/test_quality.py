@@ -88,7 +88,7 @@ def test_the_query_scores_like_loops_over_texts_and_bins(spark):
         x = plain_features(r.text)
         s = m.base
         for k in range(len(x)):
-            s += m.tables[k][bisect.bisect_right(list(m.edges[k]), x[k] + 1e-12)  # a border counts to its right, whatever the rounding]
+            s += m.tables[k][bisect.bisect_right(list(m.edges[k]), x[k] + 1e-12)]  # a border counts to its right, whatever the rounding
         for i, j, a, b, t in m.pairs:
             s += t[bisect.bisect_right(list(a), x[i] + 1e-12)][bisect.bisect_right(list(b), x[j] + 1e-12)]
         assert abs(got[r.doc_id] - 1 / (1 + math.exp(-s))) < 1e-9
