@@ -108,6 +108,12 @@ def summary(values: DataFrame, keys: list[str], value: str = "value") -> DataFra
     return values.groupBy(*keys).agg(F.avg(v).alias("mean"), F.when(F.count(v) > 1, F.stddev_samp(v)).alias("std"), F.percentile(v, F.lit(0.5)).alias("median"), F.count(v).alias("n_valid"), F.count_if(v > 0.5).alias("n_above_half"))
 
 
+def summary_by_unit(values: DataFrame, keys: list[str], unit: str, value: str = "value") -> DataFrame:
+    """summary() with columns named after the unit whose values are summarised, say subject or fold."""
+    names = {"std": f"std_across_{unit}s", "n_valid": f"n_{unit}s", "n_above_half": "n_above_half_descriptive_count"}
+    return summary(values, keys, value).withColumnsRenamed(names)
+
+
 def run_out_summary(run_metrics: DataFrame, subject: str = "subject") -> tuple[DataFrame, DataFrame]:
     """(subject, metric, value) as means over a subject's runs, and their summary over subjects."""
     long = unpivot(run_metrics, [subject, "fold"])

@@ -21,6 +21,28 @@ def bandpass(epochs: DataFrame, lo: float, hi: float, sfreq: float, order: int =
     return epochs.withColumn(x, run(F.col(x)))
 
 
+def bandpass_channels(epochs: DataFrame, lo: float, hi: float, sfreq: float, order: int = 4, channels: str = "channels") -> DataFrame:
+    """The same for every channel of channels: array<struct<name, x>>; epochs of a batch go side by side by their shape."""
+    b, a = kernels.butter_bandpass(lo, hi, sfreq, order)
+
+    @F.pandas_udf("array<array<double>>")
+    def run(column: pd.Series) -> pd.Series:
+        shapes: dict = {}
+        for i, epoch in enumerate(column):
+            shapes.setdefault((len(epoch), len(epoch[0]) if len(epoch) else 0), []).append(i)
+        out: list = [[]] * len(column)
+        for (n, _), own in shapes.items():
+            if n:
+                filtered = kernels.filtfilt(b, a, np.stack([np.stack(column.iloc[i]) for i in own]).astype(float))
+                for i, x in zip(own, filtered, strict=True):
+                    out[i] = list(x)
+        return pd.Series(out, dtype=object)
+
+    filtered = run(F.transform(channels, lambda c: c["x"]))
+    named = F.zip_with(channels, filtered, lambda c, x: F.struct(c["name"].alias("name"), x.alias("x")))
+    return epochs.withColumn(channels, named)
+
+
 def class_covariance(epochs: DataFrame, keys: list[str], channels: str = "channels") -> DataFrame:
     """Sums of products of channels i <= j over epochs and samples, by keys: n, sum_xy.
 

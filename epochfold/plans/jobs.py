@@ -15,6 +15,7 @@ from epochfold.operators import models, spatial, spectral, splits
 from epochfold.operators import temporal as T
 from epochfold.operators import windows as W
 from epochfold.operators.models import ModelSpec
+from epochfold.sources import edf
 
 
 def clipped_power(split: DataFrame, keys: list[str], row_id: str, sfreq: float, bands: dict, n_times: int, channels: str = "channels") -> DataFrame:
@@ -41,9 +42,11 @@ def temporal_diagnostic(windows: DataFrame, n: int, fraction: float, sfreq: floa
     return report, T.choose_gap(report, threshold)
 
 
-def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands: dict | None = None, win_sec: float = 1.0, per_super: int = 4, n_init: int = 6, lags: tuple[int, ...] = (1, 2, 3, 4, 5), n_boot: int = 10_000, seed: int = 42) -> dict:
+def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands: dict | None = None, win_sec: float = 1.0, per_super: int = 4, n_init: int = 6, lags: tuple[int, ...] = (1, 2, 3, 4, 5), n_boot: int = 10_000, seed: int = 42, trees: int = 300) -> dict:
     """One long labelled recording under five protocols: shuffled, chronological, expanding, merged and native blocks.
 
+    The merged blocks are scored by a kernel machine and a forest as well.
+
     samples(sample_idx, y, a double column a channel). The result is small: rows by fold and metric.
     """
     bands = bands or spectral.STANDARD_BANDS
@@ -65,6 +68,14 @@ def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands:
         f = clipped_power(split, ["fold"], "start", sfreq, bands, win)
         return E.report(models.fit_folds(f, ["fold"], "start", spec, strict=strict), ["fold"], "fold", n_boot, seed)
 
+    def secondary() -> dict:
+        f = clipped_power(splits.leave_one_group_out(w, "super_block"), ["fold"], "start", sfreq, bands, win).persist()
+        kernel = models.fit_folds(f, ["fold"], "start", ModelSpec("svm_rbf", {"c": 1.0, "balanced": False}))
+        forest = models.random_forest(f, "fold", "start", trees, seed)
+        got = {name: E.report(p, ["fold"], "fold", n_boot, seed).to_dict() for name, p in (("svm_rbf", kernel), ("random_forest", forest))}
+        f.unpersist()
+        return got
+
     naive = splits.roles_of(splits.stratified_kfold(w, "y", "start", 5, seed), 5)
     out = {
         "naive": score(naive, False).to_dict()["pooled"],
@@ -72,6 +83,7 @@ def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands:
         "expanding": score(splits.expanding_by_group(w, "block", "start", n_init), True).to_dict(),
         "merged_blocks": score(splits.leave_one_group_out(w, "super_block"), True).to_dict(),
         "native_blocks": score(splits.leave_one_group_out(w, "block"), True).to_dict(),
+        "secondary": secondary(),
         "merged_blocks_prior": E.evaluate_loso(w, "super_block", "start", dummy="prior", n_boot=n_boot, seed=seed).to_dict(),
         "class_summary": [r.asDict() for r in W.class_summary(w, "super_block", "y").collect()],
         "gap": chosen.asDict(),
@@ -81,17 +93,21 @@ def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands:
     return out
 
 
-def trials_job(features: DataFrame, names: list[str], row_id: str = "epoch_id", n_boot: int = 10_000, seed: int = 42) -> dict:
-    """Trials(row_id, subject, run, y, features) within subjects, by runs, by subjects, and shuffled over all."""
+def trials_job(features: DataFrame, names: list[str], row_id: str = "epoch_id", n_boot: int = 10_000, seed: int = 42, trees: int = 300) -> dict:
+    """Trials(row_id, subject, run, y, features) within subjects, by runs, by subjects, and shuffled over all.
+
+    Trials without a run column, as from an older cache, have no protocol by runs: its place is null.
+    """
     f = features.persist()
     spec = ModelSpec()
     within = E.evaluate_within_subject(f, row_id, spec, n_boot=n_boot, seed=seed)
     loso = E.evaluate_loso(f, "subject", row_id, spec, n_boot=n_boot, seed=seed)
     out = {
         "within_subject": within.to_dict(),
-        "leave_one_run_out": E.evaluate_leave_one_run_out(f, row_id, spec, n_boot=n_boot, seed=seed).to_dict(),
+        "leave_one_run_out": E.evaluate_leave_one_run_out(f, row_id, spec, n_boot=n_boot, seed=seed).to_dict() if "run" in f.columns else None,
         "leave_one_subject_out": loso.to_dict(),
         "unweighted_c_half": E.evaluate_loso(f, "subject", row_id, ModelSpec("logistic", {"c": 0.5, "balanced": False}), n_boot=n_boot, seed=seed).to_dict(),
+        "random_forest": E.report(models.random_forest(splits.leave_one_group_out(f, "subject"), "fold", row_id, trees, seed), ["fold"], "fold", n_boot, seed).to_dict(),
         "naive": E.evaluate_naive(f, row_id, spec, seed=seed).first().asDict(recursive=True),
         "coefficients": [r.asDict() for r in models.top_coefficients(models.coefficient_means(within.predictions, [], names, ("subject", "fold"))).collect()],
     }
@@ -99,9 +115,12 @@ def trials_job(features: DataFrame, names: list[str], row_id: str = "epoch_id",
     return out
 
 
-def spatial_job(epochs: DataFrame, components: int = 6, row_id: str = "epoch_id", n_boot: int = 10_000, seed: int = 42) -> dict:
-    """Epochs(row_id, subject, run, y, channels) by spatial patterns: across subjects, across runs, shuffled within."""
-    e = epochs.persist()
+def spatial_job(epochs: DataFrame, components: int = 6, row_id: str = "epoch_id", n_boot: int = 10_000, seed: int = 42, band: tuple[float, float] = (8.0, 30.0), sfreq: float = edf.SFREQ) -> dict:
+    """Epochs(row_id, subject, run, y, channels) by spatial patterns: across subjects, across runs, shuffled within.
+
+    Epochs are band-passed first, each by itself, so nothing of it is fitted.
+    """
+    e = spatial.bandpass_channels(epochs, *band, sfreq).persist()
     cross = splits.valid_folds(splits.leave_one_group_out(e, "subject"), ["fold"])
     runs = splits.valid_folds(splits.leave_one_run_out(e), ["subject", "fold"])
     shuffled = splits.roles_of(splits.stratified_kfold(e, "y", row_id, 5, seed, ["subject"]), 5)

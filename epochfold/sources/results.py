@@ -66,6 +66,60 @@ def markdown(table: DataFrame, columns: list[str], order: str, digits: int = 3)
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]]) + "\n"
 
 
+_METRICS = ("balanced_accuracy", "macro_f1", "roc_auc")
+
+
+def _number(v: float | None) -> str:
+    return "n/a" if v is None else f"{v:.3f}"
+
+
+def _interval(report: dict, metric: str) -> str:
+    found = next((r for r in report["ci"] if r["metric"] == metric), None)
+    if found is None or any(found[c] is None for c in ("point", "lo", "hi")):
+        return "n/a"
+    return f"{found['point']:.3f} [{found['lo']:.3f}, {found['hi']:.3f}]"
+
+
+def console(name: str, report: dict) -> str:
+    """A saved report as lines for a terminal: interval, and how many units lie above a half (a count, not a test)."""
+    lines = [name]
+    by = {r["metric"]: r for r in report["summary"]}
+    for m in _METRICS:
+        if m in by:
+            lines.append(f"  {m:18} mean {_number(by[m]['mean'])}  interval {_interval(report, m)}  {by[m]['n_above_half']} of {by[m]['n_valid']} above 0.5")
+    return "\n".join(lines) + "\n"
+
+
+def console_baselines(split: str, baselines: dict[str, dict]) -> str:
+    """Baselines of one split, a line each: name -> its metrics."""
+    rows = [f"  {name:14} " + "  ".join(f"{m} {_number(b.get(m))}" for m in _METRICS) for name, b in baselines.items()]
+    return "\n".join([f"baselines of {split}", *rows]) + "\n"
+
+
+def _table(rows: list[tuple[str, dict]]) -> str:
+    head = ["| protocol | balanced accuracy | ROC AUC |", "| --- | --- | --- |"]
+    return "\n".join([*head, *(f"| {label} | {_interval(r, 'balanced_accuracy')} | {_interval(r, 'roc_auc')} |" for label, r in rows)]) + "\n"
+
+
+def recording_table(saved: dict) -> str:
+    """The markdown table of a saved recording_job; nothing is fitted again."""
+    past = saved["chronological"]["pooled"][0]
+    rows = [("expanding blocks", saved["expanding"]), ("merged blocks (primary)", saved["merged_blocks"]), ("merged blocks, prior", saved["merged_blocks_prior"]), ("native blocks (diagnostic)", saved["native_blocks"])]
+    rows += [(f"merged blocks, {name}", r) for name, r in sorted(saved["secondary"].items())]
+    single = [("shuffled (leaks)", saved["naive"][0]), ("chronological", past)]
+    first = "".join(f"| {label} | {_number(r['balanced_accuracy'])} | {_number(r.get('roc_auc'))} |\n" for label, r in single)
+    head, rule, *rest = _table(rows).splitlines()
+    return f"{head}\n{rule}\n{first}" + "\n".join(rest) + "\n"
+
+
+def trials_table(saved: dict, patterns: dict | None = None) -> str:
+    """The markdown table of a saved trials_job, and of a spatial_job where there is one."""
+    names = ("within_subject", "leave_one_run_out", "leave_one_subject_out", "unweighted_c_half", "random_forest")
+    rows = [(n.replace("_", " "), saved[n]) for n in names if saved.get(n)]
+    rows += [("patterns, " + n.replace("_", " "), r) for n, r in (patterns or {}).items()]
+    return _table(rows)
+
+
 def interval_bars(ci: DataFrame) -> DataFrame:
     """point with the lengths of its bars below and above, for a figure."""
     return ci.select("*", (F.col("point") - F.col("lo")).alias("below"), (F.col("hi") - F.col("point")).alias("above"))
