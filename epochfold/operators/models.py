@@ -197,12 +197,12 @@ def logistic_ml(train: DataFrame, c: float = 1.0, balanced: bool = True, feature
 def random_forest(split: DataFrame, fold: str, row_id: str, trees: int = 300, seed: int = 42, features: str = "features", y: str = "y") -> DataFrame:
     """Test rows of each fold scored by a Spark ML forest fitted on its training rows; the folds' ids are few by design.
 
-    Every fold reads the split again, so a caller whose split is costly keeps it and releases it.
+    Every fold reads the split again, so its vectors stay persisted as long as the result may be read.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = split.select(fold, row_id, y, "role", array_to_vector(features).alias("_v"))
+    data = split.select(fold, row_id, y, "role", array_to_vector(features).alias("_v")).persist()
     out = None
     for (f,) in sorted(data.select(fold).distinct().collect()):
         own = data.where(F.col(fold) == f)
