@@ -10,6 +10,7 @@ from epochfold.operators import models, resample, spatial, spectral, splits
 from epochfold.operators import temporal as T
 from epochfold.operators import windows as W
 from epochfold.plans import signal_queries as S
+from epochfold.plans.fit_sql import fit_sql
 from epochfold.plans.signal_queries import BANDS, EIGHT, power_sql, r8
 from epochfold.sources import edf, results
 from epochfold.sources import fixtures as X
@@ -457,7 +458,7 @@ NAME_SQL = {
 }
 
 
-# ---- fitted models: no SQL twin; tests hold them against NumPy
+# ---- fitted models; tests hold those without a SQL twin against NumPy
 
 def _summary(preds, keys=("fold",), decimals=6):
     m = M.unpivot(M.fold_metrics(preds, list(keys)), list(keys))
@@ -526,6 +527,38 @@ def coefficient_means(s, d):
     return _rounded(models.coefficient_means(p, [], list(BANDS)), ["name"], ["mean_coefficient"])
 
 
+_POWER = "WITH RECURSIVE " + power_sql()[5:] + ", trials_f AS (SELECT epoch_id, subject, run, y, " + ", ".join(f"max(power) FILTER (WHERE band = '{b}') AS f{j}" for j, b in enumerate(BANDS)) + " FROM power_rows GROUP BY ALL)"
+_P = len(BANDS)
+_LOSO_F = _POWER + ", " + _LOSO.replace("FROM trials t", "FROM trials_f t")
+_FOLDS5 = lambda by: f"parts AS (SELECT *, ((row_number() OVER (PARTITION BY {by} ORDER BY {_DRAW('epoch_id')}, epoch_id) - 1) % 5)::INT AS part FROM trials_f), folds AS (SELECT parts.*, fold, CASE WHEN part = fold THEN 'test' ELSE 'train' END AS role FROM parts, (SELECT DISTINCT part AS fold FROM parts))"
+_SIX = "count(value) AS n_valid, count(*) FILTER (WHERE value > 0.5) AS n_above_half, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median"
+_WINDOW_F = "WITH RECURSIVE " + _W[5:] + f", {_FEATURES}, windows_f AS (SELECT start, any_value(label) AS y, any_value(block) AS block, " + ", ".join(f"max(v) FILTER (WHERE i = {j}) AS f{j}" for j in range(3)) + " FROM feature JOIN windows USING (start) GROUP BY start)"
+_SUMMED = f"{metric_sql('fold')}, {_LONG} SELECT metric, {_SIX} FROM per GROUP BY metric"
+_GRID = f"""settings(c) AS (VALUES (0.1::DOUBLE), (1.0), (10.0)),
+    g AS (SELECT fold, subject, count(*) AS n, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, subject) AS i FROM folds WHERE role = 'train' GROUP BY fold, subject),
+    step AS (SELECT DISTINCT fold, 0::BIGINT AS i, NULL::INT AS subject, NULL::INT AS part, [0, 0, 0]::BIGINT[] AS w FROM g
+      UNION ALL SELECT g.fold, g.i, g.subject, (list_position(w, list_min(w)) - 1)::INT, list_transform(w, lambda v, k: CASE WHEN k = list_position(w, list_min(w)) THEN v + g.n ELSE v END) FROM step JOIN g ON g.fold = step.fold AND g.i = step.i + 1),
+    inside AS (SELECT f.* EXCLUDE (role), t.part AS own, p.part AS inner_fold, c, CASE WHEN t.part = p.part THEN 'test' ELSE 'train' END AS role
+      FROM folds f JOIN step t USING (fold, subject), (SELECT unnest(range(3)) AS part) p, settings WHERE f.role = 'train'),
+    {fit_sql('fold, inner_fold, c', 'epoch_id', _P, 'inside', c='c')},
+    recalls AS (SELECT fold, c, inner_fold, y, avg((pred = y)::INT) AS r FROM preds GROUP BY ALL),
+    marks AS (SELECT fold, c, avg(m) AS mark FROM (SELECT fold, c, inner_fold, avg(r) AS m FROM recalls GROUP BY ALL) GROUP BY ALL),
+    best AS (SELECT fold, min(c) AS c FROM (SELECT *, max(mark) OVER (PARTITION BY fold) AS top FROM marks) WHERE mark >= top - 1e-12 GROUP BY fold)
+    SELECT fold, c::VARCHAR AS chosen_c, n_test FROM best JOIN (SELECT fold, count(*) AS n_test FROM folds WHERE role = 'test' GROUP BY fold) USING (fold)"""
+FIT_SQL = {
+    "loso_logreg": _LOSO_F + f", {fit_sql('fold', 'epoch_id', _P, 'folds')}, {_SUMMED}",
+    "loro_logreg": _POWER + f", {_LORO('trials_f')}, folds AS (SELECT each.* FROM each JOIN ok USING (subject, fold)), {fit_sql('subject, fold', 'epoch_id', _P, 'folds', strict=False)}, {metric_sql('subject, fold')}, "
+    + _LONG.replace("SELECT fold", "SELECT subject, fold") + f", mean AS (SELECT subject, metric, avg(value) AS value FROM per GROUP BY ALL) SELECT metric, {_SIX} FROM mean GROUP BY metric",
+    "within_subject_logreg": _POWER + f", {_FOLDS5('subject, y')}, {fit_sql('subject, fold', 'epoch_id', _P, 'folds', strict=False)}, {metric_sql('subject')}, {_UP} SELECT metric, {_SIX} FROM per GROUP BY metric",
+    "naive_logreg": _POWER + f", {_FOLDS5('y')}, {fit_sql('fold', 'epoch_id', _P, 'folds', strict=False)}, pool AS (SELECT 'pooled' AS \"all\", y, pred, proba FROM preds), {metric_sql(chr(34) + 'all' + chr(34), 'pool')} SELECT \"all\", n_test, {_R(*M.METRICS)} FROM m",
+    "expanding_logreg": _WINDOW_F + f""", o AS (SELECT *, dense_rank() OVER (ORDER BY block) - 1 AS ord FROM windows_f), f AS (SELECT DISTINCT ord AS fold FROM o WHERE ord >= {LEAST_TRAIN}),
+        folds AS (SELECT fold, o.*, CASE WHEN ord = fold THEN 'test' ELSE 'train' END AS role FROM o, f WHERE ord <= fold), {fit_sql('fold', 'start', 3, 'folds')}, {_SUMMED}""",
+    "chronological_logreg": _WINDOW_F + f""", {_PLACED}, folds AS (SELECT 0 AS fold, windows_f.*, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train' ELSE 'test' END AS role FROM windows_f JOIN placed USING (start)),
+        {fit_sql('fold', 'start', 3, 'folds', strict=False)}, {_SUMMED}""",
+    "nested_grid_logreg": _LOSO_F + ", " + _GRID,
+    "coefficient_means": _LOSO_F + f", {fit_sql('fold', 'epoch_id', _P, 'folds')} SELECT unnest({list(BANDS)}) AS name, unnest([" + ", ".join(f"round(avg(b{j}), 8)" for j in range(_P)) + "]) AS mean_coefficient FROM fit",
+}
+
 QUERIES = {f.__name__: f for f in (
     splits_loso, splits_loro, splits_expanding_group, splits_expanding_row, splits_chronological, splits_stratified_kfold, splits_within_subject_kfold, splits_group_kfold, split_index_hash, fold_validity_semijoin,
     fold_scaler_stats, dummy_most_frequent, dummy_prior, dummy_stratified_hash, dummy_uniform_hash, per_split_baselines, cv_dummy_baselines, loso_centroid_end_to_end, coef_topk,
@@ -534,4 +567,4 @@ QUERIES = {f.__name__: f for f in (
     loso_logreg, loro_logreg, within_subject_logreg, naive_logreg, expanding_logreg, chronological_logreg, loso_csp_lda, loso_random_forest, loso_svm_rbf, nested_grid_logreg, coefficient_means,
     channel_names, run_ids, file_digests, interval_texts, pooled_metrics, cross_subject_folds, prefix_gap, flat_channels, feature_columns,
 )}
-ORACLE = SPLIT_SQL | FOLD_SQL | METRIC_SQL | RESAMPLE_SQL | NAME_SQL
+ORACLE = SPLIT_SQL | FOLD_SQL | METRIC_SQL | RESAMPLE_SQL | NAME_SQL | FIT_SQL
