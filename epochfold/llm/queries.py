@@ -142,9 +142,52 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+_COVERED = lambda source, n: f"""run AS (SELECT doc_id, i, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r
+      FROM (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {n}, true) AS first FROM {source}))
+    SELECT doc_id, r, min(i) AS a, max(i) + {n} AS b FROM run GROUP BY doc_id, r"""
+_OP5_SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}'), '[ \\x09-\\x0D]+', ' ', 'g')), ' ') AS w FROM documents),
+string AS (SELECT doc_id, i, md5(raw[i : i + {repeats.LENGTH - 1}]) AS h FROM d, unnest(range(1, octet_length(raw) - {repeats.LENGTH - 2})) AS u(i)),
+twice AS (SELECT doc_id, i FROM string QUALIFY count(*) OVER (PARTITION BY h) > 1),
+span AS (WITH {_COVERED('twice', repeats.LENGTH)}),
+piece AS (SELECT d.doc_id, a, raw[lag(b, 1, 1) OVER (PARTITION BY d.doc_id ORDER BY a) : a - 1] AS x FROM d JOIN span USING (doc_id)
+          UNION ALL SELECT d.doc_id, max(b), any_value(raw)[max(b) : octet_length(any_value(raw))] FROM d JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(hex(x), '' ORDER BY a))) AS kept_sha256 FROM piece GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id),
+phrase AS (SELECT doc_id, i, md5(array_to_string(w[i : i + {repeats.PASSAGE - 1}], ' ')) AS h FROM d, unnest(range(1, len(w) - {repeats.PASSAGE - 2})) AS u(i)),
+shared AS (SELECT doc_id, i FROM phrase QUALIFY min(doc_id) OVER (PARTITION BY h) <> max(doc_id) OVER (PARTITION BY h)),
+passage AS (WITH {_COVERED('shared', repeats.PASSAGE)}),
+told AS (SELECT doc_id, count(*) AS n_passages, sum(b - a) AS passage_words FROM passage GROUP BY doc_id)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       coalesce(kept_sha256, sha256(raw)) AS kept_sha256, coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(passage_words, 0)::BIGINT AS passage_words
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)
+"""
+
+
+_ALNUM_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}'), '[^{C.ALNUM_GAP[1:-2]}]+')"
+_OP9_SQL = f"""
+WITH item AS (SELECT row_number() OVER () AS key, item_id, w, len(w) AS n, least(len(w), {decontaminate.SHINGLE}) AS k
+              FROM (SELECT DISTINCT item_id, {_ALNUM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+item_gram AS (SELECT key, n, k, i AS place, array_to_string(w[i + 1 : i + k], ' ') AS g FROM item, unnest(range(0, n - k + 1)) AS u(i)),
+d AS (SELECT doc_id, w, len(w) AS m FROM (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents) WHERE len(w) > 0),
+doc_gram AS (SELECT doc_id, m, k, i AS pos, array_to_string(w[i + 1 : i + k], ' ') AS g FROM d, (SELECT DISTINCT k FROM item), unnest(range(0, m - k + 1)) AS u(i)),
+hit AS (SELECT DISTINCT doc_id, key, n, k, greatest(0, least(pos - place, m - n)) AS start FROM doc_gram JOIN item_gram USING (k, g)),
+near AS (SELECT *, lead(start) OVER (PARTITION BY doc_id, key ORDER BY start) - start AS gap FROM hit),
+win AS (SELECT DISTINCT doc_id, n, k, start + b AS start FROM near,
+        unnest(range(0, CASE WHEN gap <= ceil((1 - {decontaminate.SIMILARITY}::DOUBLE) * (n - k + 1)) + 1 THEN gap ELSE 1 END)) AS u(b)),
+win_gram AS (SELECT doc_id, n, start, array_to_string(w[start + i + 1 : start + i + k], ' ') AS g, count(*) AS c
+             FROM win JOIN d USING (doc_id), unnest(range(0, least(n, m) - k + 1)) AS u(i) GROUP BY ALL),
+counted AS (SELECT key, n, g, count(*) AS c FROM item_gram GROUP BY ALL),
+alike AS (SELECT doc_id, key, start, sum(least(a.c, b.c))::DOUBLE AS weight FROM win_gram a JOIN counted b USING (n, g) GROUP BY doc_id, key, start),
+found AS (SELECT doc_id, item_id, start, weight / (n - k + 1) AS similarity FROM alike JOIN item USING (key) WHERE weight / (n - k + 1) >= {decontaminate.SIMILARITY}::DOUBLE)
+SELECT doc_id, item_id, start::INT AS start, similarity FROM found
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+
 def queries() -> dict:
     return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_lines": op4_lines, "op5_repeats": op5_repeats, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3_SQL, "op4_lines": _OP4_SQL, "op6_licenses": _OP6_SQL}
+    return {"op3_url_filter": _OP3_SQL, "op4_lines": _OP4_SQL, "op5_repeats": _OP5_SQL, "op6_licenses": _OP6_SQL, "op9_decontamination": _OP9_SQL}
