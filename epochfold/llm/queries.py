@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
 from epochfold.llm import decontaminate, licenses, lines, media, mixing, quality, repeats, simhash, token_files, url_filter
+from epochfold.llm.simhash_sql import fingerprints_sql
 
 # The url rules, and the sites listed as blocked.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -190,4 +191,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3_SQL, "op4_lines": _OP4_SQL, "op5_repeats": _OP5_SQL, "op6_licenses": _OP6_SQL, "op9_decontamination": _OP9_SQL}
+    return {"op2_simhash": fingerprints_sql(4, simhash.BITS), "op3_url_filter": _OP3_SQL, "op4_lines": _OP4_SQL, "op5_repeats": _OP5_SQL, "op6_licenses": _OP6_SQL, "op9_decontamination": _OP9_SQL}
