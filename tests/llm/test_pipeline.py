@@ -28,9 +28,9 @@ def test_stages_against_brute_force(spark):
     once = P.one_of_each(spark, good, SF)
     assert once.columns == columns
     left = {r.doc_id for r in once.collect()}
-    want = classes({i: r.text for i, r in kept.items()})
-    copies = [i for i, c in want.items() if c != i]
-    assert set(want.values()) <= left and sum(i not in left for i in copies) >= 0.95 * len(copies) > 0
+    group = classes({i: r.text for i, r in kept.items()})
+    copies = [i for i, c in group.items() if c != i]
+    assert set(group.values()) <= left and sum(i not in left for i in copies) >= 0.95 * len(copies) > 0
     by_text = Counter(rows[i].text for i in left)
     assert max(by_text.values()) == 1
 
