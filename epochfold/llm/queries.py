@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
-from epochfold.llm import decontaminate, licenses, lines, media, mixing, quality, repeats, simhash, token_files, url_filter
+from epochfold.llm import decontaminate, filter_audit, licenses, lines, media, mixing, quality, repeats, search, simhash, token_files, toxicity, url_filter
 from epochfold.llm.simhash_sql import fingerprints_sql
 
 # The url rules, and the sites listed as blocked.
@@ -74,6 +74,25 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(C.table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+# The audited filters, as the conditions under which a document fails them.
+AUDITED = {"A": "n_words < 100", "B": "100 * n_distinct < 80 * n_words", "C": "100 * n_upper > 10 * n_chars", "D": "marked", "E": "copy"}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.measures(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+    return filter_audit.audit(rows, AUDITED, {"good_lost": "good", "toxic_lost": "toxic"}).drop("filter")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.rank(docs, C.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, toxicity.train(docs, C.table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _LISTED_ROWS = ", ".join(f"('{h}')" for h, _ in LISTED)
 _OP3_SQL = f"""
@@ -186,9 +205,57 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC
 """
 
 
+_OP11_SQL = """
+WITH m AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+labelled AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+flag AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS fails
+  FROM m LEFT JOIN labelled USING (doc_id)),
+letter(k, x) AS (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')),
+step AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, s AS step, list_value(a.k, b.k, c.k, d.k, e.k)[s] AS k,
+         list_sum(list_transform(list_value(a.k, b.k, c.k, d.k, e.k)[1 : s - 1], lambda j: 1 << j)) AS before
+  FROM letter a, letter b, letter c, letter d, letter e, range(1, 6) AS r(s)
+  WHERE len(list_distinct(list_value(a.k, b.k, c.k, d.k, e.k))) = 5),
+told AS (SELECT filter_order, step::INT AS step, k, coalesce(before, 0)::INT AS before FROM step),
+edge AS (SELECT DISTINCT k, before FROM told),
+counted AS (
+  SELECT part, k, before, count(*) FILTER (WHERE fails & (before | (1 << k)) = 0) AS kept, count(*) FILTER (WHERE fails & before = 0 AND fails & (1 << k) <> 0) AS removed,
+         count(*) FILTER (WHERE fails & before <> 0 AND fails & (1 << k) <> 0) AS redundant, count(*) FILTER (WHERE fails = 1 << k) AS unique_fails,
+         count(*) FILTER (WHERE fails & before = 0 AND fails & (1 << k) <> 0 AND good) AS good_lost,
+         count(*) FILTER (WHERE fails & before = 0 AND fails & (1 << k) <> 0 AND toxic) AS toxic_lost
+  FROM flag, edge GROUP BY part, k, before)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley
+FROM told JOIN counted USING (k, before)
+"""
+_TERMS = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), '{C.UPPER}', '{C.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP12_SQL = f"""
+WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS("text")} AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS("text")}) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM held, total GROUP BY term, n_docs),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - {search.B} + ({search.B} * n * n_docs) // n_terms))) AS i FROM held JOIN weight USING (term), total),
+scored AS (SELECT item_id, doc_id, sum(repeats * i)::BIGINT AS score FROM q JOIN impact USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= {search.K}
+"""
+
+
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_lines": op4_lines, "op5_repeats": op5_repeats, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_tokens": op10_tokens}
+    every = [
+        op1_mixing, op2_simhash, op3_url_filter, op4_lines, op5_repeats, op6_licenses, op7_media, op8_quality, op9_decontamination, op10_tokens,
+        op11_filter_audit, op12_search, op13_toxicity,
+    ]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_simhash": fingerprints_sql(4, simhash.BITS), "op3_url_filter": _OP3_SQL, "op4_lines": _OP4_SQL, "op5_repeats": _OP5_SQL, "op6_licenses": _OP6_SQL, "op9_decontamination": _OP9_SQL}
+    return {
+        "op2_simhash": fingerprints_sql(4, simhash.BITS), "op3_url_filter": _OP3_SQL, "op4_lines": _OP4_SQL, "op5_repeats": _OP5_SQL, "op6_licenses": _OP6_SQL,
+        "op9_decontamination": _OP9_SQL, "op11_filter_audit": _OP11_SQL, "op12_search": _OP12_SQL,
+    }
