@@ -1,7 +1,7 @@
 """Ranked lexical search: the k best documents of every query item, by WAND over document shards.
 
-The terms of the documents that any item holds are counted and written once; the partitions of that table are the
-shards. A task inverts its shard, notes the largest impact that every term has there, and walks the posting lists of
+The terms of the documents that any item holds are counted, written once and dealt into shards of some thousand
+documents. A task inverts its shard, notes the largest impact that every term has there, and walks the posting lists of
 each item document by document: lists are kept in order of their next document, the pivot is the first document at
 which the summed largest impacts could reach the item's heap, and all lists before it skip right there. The shards'
 heaps are merged by a window.
@@ -29,8 +29,8 @@ from epochfold.llm import common as C
 K, B = 10, 75
 #: Items are ranked in blocks of about so many bytes of their texts, so what is sent to workers is bounded.
 BLOCK_BYTES = 4_000_000
-#: Postings that a worker inverts at a time, whatever the size of its partition.
-SHARD_POSTINGS = 2_000_000
+#: Documents of a shard, about; and postings that a worker inverts at a time, should they be very long.
+SHARD_DOCS, SHARD_POSTINGS = 10_000, 2_000_000
 #: Stands for the id of a row without one, behind all others of its score.
 NO_ID = 2**63 - 1
 
@@ -202,7 +202,8 @@ def rank(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id",
         for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().select("term", weight.alias("w")).collect():
             weights[r["term"]] = r["w"]  # at most a row for each term of the block
         bags = [[(vocabulary[x], c) for x, c in sorted(bag.items())] for bag in bags]
-        heaps = _shard_heaps(counted, bags, Weights(n_docs, n_terms, weights), k)
+        shards = counted.repartition(max(1, -(-n_docs // SHARD_DOCS)))
+        heaps = _shard_heaps(shards, bags, Weights(n_docs, n_terms, weights), k)
         best = Window.partitionBy("item").orderBy(F.desc("score"), "id")
         top = heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(own)], f"item int, item_id {dict(queries.dtypes)['item_id']}")
