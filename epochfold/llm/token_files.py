@@ -1,11 +1,13 @@
 """Token ids in files of independent blocks, coded by an adaptive context-mixing range coder.
 
 Ids are coded in blocks of whole documents. A block is cut into lanes of equal length that are coded side by side, a
-wave of one id a lane at a time, each with a range coder of its own; the model is the block's. It predicts an id from the
-two ids before it (order 2), from the one before (order 1), and from the block's counts (order 0). A mix, chosen by how
-often the two predictions have lately been right and learnt from their hits, gives the shares of "as order 2 says", "as
-order 1 says" and "another id"; another id is coded by its share in the counts. All of it is learnt from ids already
-coded, so a decoder follows along. A block starts afresh, holds its own lengths, and ends in a checksum of its ids.
+wave of one id a lane at a time, each with a range coder of its own; the model is the block's. It counts which ids
+followed the id before (order 1) and all ids (order 0), and keeps for the two ids before (order 2, by a hash) the id
+that followed them most lately with its hits less its misses. A mix, chosen by that count, by how often the order-1
+context was met and among how many ids it shares its counts, and learnt from what it led to, gives the shares of "the id
+that order 2 says", "one that order 1 has met here" and "another"; the last two are coded by their shares in that order's
+counts. All of it is learnt from ids already coded, in lessons after 1, 4, 16 ... waves, so a decoder follows along. A
+block starts afresh, holds its own lengths, and ends in a checksum of its ids.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 
 from epochfold.llm import common as C
 
-#: Ids in a block at most, but for a single longer document; ids in a lane at least; most lanes.
-BLOCK, LANE, LANES = 1 << 21, 256, 8192
-_MIX_BITS, _LIT_BITS, _HASH_BITS = 16, 18, 16
-_HALF, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+#: Ids in a block at most, but for a single longer document; ids in a lane at least; most lanes; waves between lessons.
+BLOCK, LANE, LANES, LESSON = 1 << 21, 256, 4096, 256
+_MIX_BITS, _LIT_BITS, _SLOT_BITS = 16, 22, 18
+#: Borders of how often a row was met, and of how many ids share it, between which its sureness is kept apart.
+_MET, _SHARED = np.array([2, 4, 16, 64]), np.array([2, 8])
+_SURE, _MOST = 2 + len(_MET) * 3 + len(_SHARED), 4
 MOST_ID = (1 << 17) - 1
 _HEAD = struct.Struct("<4sIIIII")
 _MAGIC = b"CMRC"
@@ -88,72 +92,158 @@ class _Coder:
             self.range[full] <<= np.uint64(32)
 
 
+class _Lookup:
+    """Places of ascending keys: by two hash tables, and by a search of the few keys that found no slot of their own."""
+
+    factors = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        left = np.arange(len(keys), dtype=np.int32)
+        for factor in self.factors:
+            table, slot = np.full(1 << (64 - int(self.shift)), -1, np.int32), self._slot(keys[left], factor)
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+        self.rest = left
+
+    def _slot(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(factor)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        out = self.tables[0].take(self._slot(keys, self.factors[0]))
+        miss = np.flatnonzero(self.keys.take(out) != keys)  # -1 takes the last key: no slot, or that key itself
+        own = keys[miss]
+        got = self.tables[1].take(self._slot(own, self.factors[1]))
+        got[self.keys.take(got) != own] = -1
+        if len(self.rest):
+            some = np.flatnonzero(got < 0)
+            at = np.minimum(np.searchsorted(self.keys[self.rest], own[some]), len(self.rest) - 1)
+            got[some] = np.where(self.keys[self.rest[at]] == own[some], self.rest[at], -1)
+        out[miss] = got
+        out[out < 0] = np.where(keys[out < 0] == self.keys[-1], len(self.keys) - 1, -1)
+        return out
+
+
+class _Rows:
+    """Counts of ids by context: for each context a row of the ids that followed it, with their shares of the row.
+
+    Built anew at each lesson from all (context, id) pairs so far; a row's shares add up to 1 << _LIT_BITS.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._index()
+
+    def add(self, context: np.ndarray, ids: np.ndarray) -> None:
+        keys, counts = np.unique(context * self.size + ids, return_counts=True)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        self.counts[at[known]] += counts[known]
+        new = ~known
+        self.keys = np.insert(self.keys, at[new], keys[new])
+        self.counts = np.insert(self.counts, at[new], counts[new])
+        self._index()
+
+    def _index(self) -> None:
+        context = self.keys // self.size
+        self.first = first = np.flatnonzero(np.diff(context, prepend=-1))
+        self.contexts = context[first]
+        self.held = held = np.diff(np.append(first, len(context)))
+        row = np.repeat(np.arange(len(first)), held)
+        # counts of a very long block are scaled, so that each id keeps a share
+        count = np.maximum(1, self.counts >> max(0, int(self.counts.sum()).bit_length() - _LIT_BITS + 2))
+        total = np.add.reduceat(count, first) if len(first) else count
+        before = np.cumsum(count) - count
+        before -= np.repeat(before[first], held)
+        self.start = (before << _LIT_BITS) // total[row]
+        self.freq = ((before + count) << _LIT_BITS) // total[row] - self.start
+        self.end = self.start + self.freq
+        # sureness of a row: how often it was met, and how many ids share it; 0 stands last, for no row
+        self.sure = np.append(1 + np.searchsorted(_MET, total, side="right") * 3 + np.searchsorted(_SHARED, held, side="right"), 0)
+        self.places, self.guide = _Lookup(self.keys), None
+
+    def place(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The place of each id in its context's row, or -1."""
+        return self.places.find(context * self.size + ids)
+
+    def told(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The place whose share of its row holds v: from the guide for v's part of the row, onwards."""
+        if self.guide is None:
+            row_of = np.repeat(np.arange(len(self.first)), self.held)
+            part = ((np.arange(len(self.keys)) - self.first[row_of]) << _LIT_BITS) // self.held[row_of]
+            self.guide = np.searchsorted(row_of << _LIT_BITS | self.start, row_of << _LIT_BITS | part, side="right") - 1
+        at = self.guide.take(self.first.take(row) + (v * self.held.take(row) >> _LIT_BITS))
+        on = np.flatnonzero(self.end.take(at) <= v)
+        while len(on):
+            at[on] += 1
+            on = on[self.end.take(at[on]) <= v[on]]
+        return at
+
+
 class _Model:
-    """What a block has taught so far; the same on both sides. Sureness runs from 0 to 3: up by one, or halved."""
-
-    after = np.array([0, 1, 0, 2, 1, 3, 1, 3], np.int8)
-
-    def __init__(self, size: int, lanes: int):
-        self.size, self.lanes = size, lanes
-        self.next1, self.sure1 = np.zeros(size, np.int32), np.zeros(size, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int8)
-        self.hits = np.ones((16, 3)) * [1, 1, 6]
-        self.counts, self.fresh = np.zeros(size, np.int64), []
-        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.wave = 0
-        self.levels()
-        self.shares()
-
-    def levels(self) -> None:
-        if self.fresh:
-            self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.size)
-            self.fresh = []
-        total = int(self.counts.sum())
-        room = (1 << _LIT_BITS) - self.size
-        freq = np.ones(self.size, np.int64)
-        if total:
-            freq += (self.counts * (room / total)).astype(np.int64)
-        freq[0] += (1 << _LIT_BITS) - int(freq.sum())
-        # start and width of each id's share in one word: one look-up for both
-        self.level = (np.cumsum(freq) - freq).astype(np.uint64) << _HALF | freq.astype(np.uint64)
-        self.symbol = None
-
-    def symbols(self) -> np.ndarray:
-        if self.symbol is None:
-            self.symbol = np.repeat(np.arange(self.size, dtype=np.int32), (self.level & _LOW).astype(np.int64))
-        return self.symbol
-
-    def shares(self) -> None:
+    """What a block has taught so far; the same on both sides. It is taught in lessons, between which it stands still."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.one = _Rows(size)
+        self.says, self.count2 = np.zeros(1 << _SLOT_BITS, np.int32), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.counts = np.zeros(size, np.int64)
+        self.hits = np.ones(((_MOST + 1) * _SURE, 3)) * [1, 1, 2]
+        self._shares()
+
+    def _shares(self) -> None:
         p = self.hits / self.hits.sum(axis=1, keepdims=True)
         f = np.maximum(1, (p * ((1 << _MIX_BITS) - 3)).astype(np.int64))
         f[:, 2] += (1 << _MIX_BITS) - f.sum(axis=1)
         edge = np.cumsum(f, axis=1) - f
-        self.share, self.edge = f.astype(np.uint64).ravel(), edge.astype(np.uint64).ravel()
+        self.share, self.edge = f.ravel(), edge.ravel()
         self.edge1, self.edge2 = edge[:, 1].copy(), edge[:, 2].copy()
-
-    def look(self) -> None:
-        self.slot = (self.before2 * 0x9E3779B1 ^ self.before1 * 0x85EBCA6B) >> 7 & ((1 << _HASH_BITS) - 1)
-        self.guess2, self.guess1 = self.next2.take(self.slot), self.next1.take(self.before1)
-        self.seen2, self.seen1 = self.sure2.take(self.slot), self.sure1.take(self.before1)
-        self.mix = self.seen2.astype(np.int64) * 4 + self.seen1
-
-    def kind(self, ids: np.ndarray) -> np.ndarray:
-        """0 where order 2 is right, 1 where order 1 alone is, 2 for another id."""
-        second, first = ids == self.guess2, ids == self.guess1
-        return 2 - first - (2 - first) * second
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        for seen, sure, nxt, key, right in ((self.seen2, self.sure2, self.next2, self.slot, kind == 0), (self.seen1, self.sure1, self.next1, self.before1, ids == self.guess1)):
-            sure[key] = self.after.take(seen * 2 + right)
-            put = np.flatnonzero(~right & (seen < 2))
-            nxt[key[put]] = ids[put]
-        self.hits += np.bincount(self.mix * 3 + kind, minlength=48).reshape(16, 3)
-        self.fresh.append(ids.copy())
-        self.before2, self.before1 = self.before1, self.fresh[-1]
-        self.wave += 1
-        if self.wave & (self.wave - 1) == 0 or self.wave % 32 == 0:
-            self.levels()
-            self.shares()
+        total, room = int(self.counts.sum()), (1 << _LIT_BITS) - self.size
+        self.freq = np.ones(self.size, np.int64)
+        if total:
+            self.freq += (self.counts * (room / total)).astype(np.int64)
+        self.freq[0] += (1 << _LIT_BITS) - int(self.freq.sum())
+        self.start = np.cumsum(self.freq) - self.freq
+        self.row_of = np.full(self.size, -1)
+        self.row_of[self.one.contexts] = np.arange(len(self.one.contexts))
+        self.sure1 = self.one.sure.take(self.row_of)
+        self.sure2 = np.minimum(self.count2, _MOST) * _SURE
+
+    def look(self, before2: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order-2 slot, what it says, and the mix."""
+        slot = (before2 * 0x9E3779B1 ^ before1 * 0x85EBCA6B) >> 7 & ((1 << _SLOT_BITS) - 1)
+        return slot, self.says.take(slot), self.sure2.take(slot) + self.sure1.take(before1)
+
+    def tell(self, says: np.ndarray, before1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(kind, start, share) of ids: kind 0 where order 2 says the id, 1 where order 1 has met it, else 2."""
+        kind = np.where(says == ids, 0, 2)
+        start, freq = np.zeros(len(ids), np.int64), np.full(len(ids), 1 << _LIT_BITS)
+        rest = np.flatnonzero(kind)
+        own = ids[rest]
+        place = self.one.place(before1[rest], own)
+        start[rest], freq[rest] = self.start.take(own), self.freq.take(own)
+        at, place = rest[place >= 0], place[place >= 0]
+        kind[at], start[at], freq[at] = 1, self.one.start.take(place), self.one.freq.take(place)
+        return kind, start, freq
+
+    def lesson(self, slot: np.ndarray, before1: np.ndarray, ids: np.ndarray, mix: np.ndarray, kind: np.ndarray) -> None:
+        self.one.add(before1, ids)
+        self.counts += np.bincount(ids, minlength=self.size)
+        self.hits += np.bincount(mix * 3 + kind, minlength=self.hits.size).reshape(self.hits.shape)
+        right = kind == 0
+        self.count2 += np.bincount(slot[right], minlength=1 << _SLOT_BITS).astype(np.int32)
+        self.count2 -= np.bincount(slot[~right], minlength=1 << _SLOT_BITS).astype(np.int32)
+        new = np.flatnonzero(~right & (self.count2.take(slot) < 0))
+        self.says[slot[new]] = ids[new]
+        np.maximum(self.count2, 0, out=self.count2)
+        self._shares()
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -161,27 +251,33 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _lessons(steps: int) -> list[tuple[int, int]]:
+    """The waves between lessons: after 1, 4, 16 ... waves, and after every LESSON."""
+    ends = [w for w in range(1, steps) if w % LESSON == 0 or (w & (w - 1) == 0 and w.bit_length() % 2)]
+    return list(zip([0, *ends], [*ends, steps], strict=True))
+
+
 def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """A block of ids (uint32, at most MOST_ID) and the lengths of its documents."""
     n, size = len(ids), int(ids.max(initial=0)) + 1
     if size - 1 > MOST_ID:
         raise ValueError(f"id {size - 1} is beyond {MOST_ID}")
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    coder, model = _Coder(lanes, steps), _Model(size, lanes)
-    for now in grid:
-        model.look()
-        kind = model.kind(now)
-        at = model.mix * 3 + kind
-        coder.put(model.edge.take(at), model.share.take(at), _MIX_BITS)
-        level = model.level.take(now)
-        start, freq = level >> _HALF, level & _LOW
-        said = np.flatnonzero(kind < 2)
-        start[said], freq[said] = 0, 1 << _LIT_BITS
-        coder.put(start, freq, _LIT_BITS)
-        model.learn(now, kind)
+    grid = np.zeros((steps + 2, lanes), np.int64)  # two waves of 0 before the first
+    flat = np.zeros(lanes * steps, np.int64)
+    flat[:n] = ids
+    grid[2:] = flat.reshape(lanes, steps).T
+    coder, model = _Coder(lanes, steps), _Model(size)
+    for a, b in _lessons(steps):
+        now, before1, before2 = (grid[a + k : b + k].ravel() for k in (2, 1, 0))
+        slot, says, mix = model.look(before2, before1)
+        kind, start, freq = model.tell(says, before1, now)
+        parts = (model.edge.take(mix * 3 + kind), model.share.take(mix * 3 + kind), start, freq)
+        for edge, share, at, width in zip(*(x.astype(np.uint64).reshape(b - a, lanes) for x in parts), strict=True):
+            coder.put(edge, share, _MIX_BITS)
+            coder.put(at, width, _LIT_BITS)
+        if b < steps:
+            model.lesson(slot, before1, now, mix, kind)
     words, ends = coder.finish()
     tail = np.asarray(lengths, "<u4").tobytes() + ends.astype("<u4").tobytes() + words.astype("<u4").tobytes()
     return _HEAD.pack(_MAGIC, n, size, len(lengths), lanes, zlib.crc32(np.asarray(ids, "<u4").tobytes())) + tail
@@ -199,24 +295,33 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(ends) < lanes or ends.sum() != len(words) or lengths.sum() != n:
         raise ValueError("block cut off")
     _, steps = _shape(n)
-    coder, model = _Coder(lanes, steps, words.astype(np.uint32), ends), _Model(size, lanes)
-    grid = np.zeros((steps, lanes), np.int64)
-    for now in grid:
-        model.look()
-        v = coder.peek(_MIX_BITS)
-        kind = (v >= model.edge1.take(model.mix)).astype(np.int64) + (v >= model.edge2.take(model.mix))
-        at = model.mix * 3 + kind
-        coder.take(model.edge.take(at), model.share.take(at))
-        literal = model.symbols().take(coder.peek(_LIT_BITS))
-        level = model.level.take(literal)
-        start, freq = level >> _HALF, level & _LOW
-        said = np.flatnonzero(kind < 2)
-        start[said], freq[said] = 0, 1 << _LIT_BITS
-        coder.take(start, freq)
-        now[:] = literal
-        now[said] = np.where(kind[said] == 0, model.guess2[said], model.guess1[said])
-        model.learn(now, kind)
-    ids = grid.T.ravel()[:n].astype(np.uint32)
+    coder, model = _Coder(lanes, steps, words.astype(np.uint32), ends), _Model(size)
+    grid = np.zeros((steps + 2, lanes), np.int64)
+    for a, b in _lessons(steps):
+        said = []
+        for w in range(a, b):
+            before1 = grid[w + 1]
+            slot, now, mix = model.look(grid[w], before1)
+            v = coder.peek(_MIX_BITS)
+            kind = (v >= model.edge1.take(mix)).astype(np.int64) + (v >= model.edge2.take(mix))
+            at = mix * 3 + kind
+            coder.take(model.edge.take(at).astype(np.uint64), model.share.take(at).astype(np.uint64))
+            v = coder.peek(_LIT_BITS)
+            start, freq = np.zeros(lanes, np.int64), np.full(lanes, 1 << _LIT_BITS)
+            row = model.row_of.take(before1)
+            own = np.flatnonzero((kind == 1) & (row >= 0))
+            if len(own):
+                at = model.one.told(row.take(own), v.take(own))
+                now[own], start[own], freq[own] = model.one.keys.take(at) % size, model.one.start.take(at), model.one.freq.take(at)
+            own = np.flatnonzero(kind == 2)
+            at = np.searchsorted(model.start, v.take(own), side="right") - 1
+            now[own], start[own], freq[own] = at, model.start.take(at), model.freq.take(at)
+            coder.take(start.astype(np.uint64), freq.astype(np.uint64))
+            grid[w + 2] = now
+            said.append((slot, before1, grid[w + 2], mix, kind))
+        if b < steps:
+            model.lesson(*(np.concatenate(x) for x in zip(*said, strict=True)))
+    ids = grid[2:].T.ravel()[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum of a token block differs")
     return ids, lengths

@@ -68,3 +68,29 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op10_tokens(spark, sf).collect())
     assert got == want(docs)
+
+
+def entropy_bytes(ids):
+    p = np.bincount(ids)
+    p = p[p > 0] / len(ids)
+    return -(p * np.log2(p)).sum() * len(ids) / 8
+
+
+def test_contexts_shrink_what_they_foretell():
+    rng = np.random.default_rng(7)
+    table = rng.integers(0, 900, (900, 4))
+    one, two = [5], [5, 6]
+    for pick in rng.integers(0, 4, 600_000):
+        one.append(int(table[one[-1], pick]))  # the id before leaves four ids open
+        two.append(int(two[-1] * 31 + two[-2] * 17 + pick // 3) % 60)  # two ids before leave one and a rarer one
+    for ids, share in ((one, 0.45), (two, 0.5), (rng.integers(0, 900, 120_000).tolist(), 1.15)):
+        ids = np.array(ids, np.uint32)
+        data = T.encode_block(ids, np.array([len(ids)]))
+        assert len(data) < share * entropy_bytes(ids)
+        assert np.array_equal(T.decode_block(data)[0], ids)
+
+
+def test_files_are_a_fifth_smaller_than_order_0(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 10 < 2").select("text").collect()
+    ids = np.concatenate([np.append(x, 0) for x in T.encoder(queries.tokenizer_path()).encode([(r.text or "").encode() for r in rows])]).astype(np.uint32)[: T.BLOCK]
+    assert len(T.encode_block(ids, np.array([len(ids)]))) <= 0.8 * entropy_bytes(ids)
