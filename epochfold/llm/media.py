@@ -23,6 +23,7 @@ from epochfold.llm import common as C
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, CUES, CUE, CUE_TRACK = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7
 DOC_TYPE, TIMESTAMP_SCALE, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, RATE, CHANNELS, DEPTH, CLUSTER_TIME = 0x4282, 0x2AD7B1, 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264, 0xE7
 SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, CUE_TIME, CUE_TRACK_NUMBER, CUE_POSITION = 0xA3, 0xA0, 0xA1, 0xB3, 0xF7, 0xF1
+EBML_VERSION, EBML_READ_VERSION, MAX_ID, MAX_SIZE, DOC_VERSION, DOC_READ_VERSION, MUXING_APP, WRITING_APP = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4287, 0x4285, 0x4D80, 0x5741
 DEFAULT_DURATION, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x23E383, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
@@ -56,8 +57,10 @@ def pad(data: bytes, unit: int = UNIT) -> bytes:
 
 def write(payload: bytes) -> bytes:
     """A Matroska file that holds payload (a multiple of 64 bytes) as unsigned 8-bit mono samples."""
-    head = _element(EBML, _element(DOC_TYPE, b"matroska"))
-    info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000))
+    # blocks without a group need version 2 of the format
+    limits = _uint(EBML_VERSION, 1) + _uint(EBML_READ_VERSION, 1) + _uint(MAX_ID, 4) + _uint(MAX_SIZE, 8)
+    head = _element(EBML, limits + _element(DOC_TYPE, b"matroska") + _uint(DOC_VERSION, 4) + _uint(DOC_READ_VERSION, 2))
+    info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + _element(MUXING_APP, b"epochfold") + _element(WRITING_APP, b"epochfold"))
     audio = _element(AUDIO, _element(RATE, struct.pack(">d", SAMPLE_RATE)) + _uint(CHANNELS, 1) + _uint(DEPTH, 8))
     track = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(DEFAULT_DURATION, PACKET * 1_000_000_000 // SAMPLE_RATE) + _element(CODEC, b"A_PCM/INT/LIT") + audio
     parts = [info, _element(TRACKS, _element(TRACK, track))]

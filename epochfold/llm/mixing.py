@@ -225,8 +225,8 @@ def plan_mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS,
 
 def mixed_rows(mix: DataFrame, columns: list[str], seed: int = 1, id_col: str = "doc_id") -> DataFrame:
     """A row for each time the mix takes a document: columns, shard and pass, shuffled inside each shard."""
-    shard, turn, key = C.fresh(mix.select(*columns), "shard", "pass", "_key")
-    rows = mix.select(*columns, F.explode("placements").alias("_p")).select(*columns, F.col("_p.shard").alias(shard), F.col("_p.pass").alias(turn))
+    shard, turn, key, place = C.fresh(mix.select(*columns), "shard", "pass", "_key", "_p")
+    rows = mix.select(*columns, F.explode("placements").alias(place)).select(*columns, F.col(place)["shard"].alias(shard), F.col(place)["pass"].alias(turn))
     rows = rows.withColumn(key, F.xxhash64(F.lit(seed + 3), shard, turn, id_col))
     return rows.repartition(F.col(shard)).sortWithinPartitions(shard, key, id_col).drop(key)
 

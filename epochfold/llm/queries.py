@@ -106,8 +106,8 @@ ruled AS (
   SELECT host, path, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict
   FROM k JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL),
 blocked AS (
-  SELECT DISTINCT host, path FROM k JOIN listed ON starts_with(path, '/')
-   AND (regexp_replace(host, ':[0-9]*$', '') = h OR ends_with(regexp_replace(host, ':[0-9]*$', ''), '.' || h)))
+  SELECT DISTINCT host, path FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.*(:[0-9]*)?$', '') AS bare FROM k)
+  JOIN listed ON bare = h OR ends_with(bare, '.' || h))
 SELECT page_id, host, path, ruled.rule AS rule,
        coalesce(ruled.verdict, CASE WHEN blocked.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN ruled USING (host, path) LEFT JOIN blocked USING (host, path)

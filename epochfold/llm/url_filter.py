@@ -1,8 +1,9 @@
 """URL filters: a blocked Bloom filter of listed entries, then an exact hash join.
 
-An entry is a host and a path; it fits the host and its subdomains where the url's path starts with its own. A url's
-probes are its host's suffixes with its path's prefixes, of the lengths that the list has. Probes whose bits are all
-set in their block of the filter go to an exact join with the list, which removes false positives.
+An entry is a host and a path; it fits the host and its subdomains where the url's path starts with its own (a listed
+page's: ends there or goes on with a slash). A url's probes are its host's suffixes with its path's prefixes, of the
+lengths that the list has. Probes whose bits are all set in their block of the filter go to an exact join with the list,
+which removes false positives.
 """
 
 from __future__ import annotations
@@ -45,10 +46,11 @@ def bloom(entries: DataFrame, key: str, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[word(i) for i in range(BLOCK // 64)])
 
 
-def best_entries(urls: DataFrame, entries: DataFrame) -> DataFrame:
+def best_entries(urls: DataFrame, entries: DataFrame, at_slash: bool = False) -> DataFrame:
     """urls(host, path) and entries(host, path, ...) joined to the longest entry that fits each distinct url.
 
-    Longest by host and path together, then by host, then the smaller entry by code point.
+    Longest by host and path together, then by host, then the smaller entry by code point. With at_slash, a url's path
+    goes on with a slash, if at all, where the entry's ends.
     """
     entries = C.stash(entries.dropDuplicates(["host", "path"]).withColumn("_key", F.concat_ws("\u0000", "host", "path")), "url-list")
     n, found = entries.count(), [r[0] for r in entries.select(F.length("path").alias("n")).distinct().limit(MOST_LENGTHS + 1).collect()]
@@ -58,7 +60,9 @@ def best_entries(urls: DataFrame, entries: DataFrame) -> DataFrame:
     # suffixes at label borders: everything from the i-th label on
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(lengths, lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
+    whole = lambda k: (k == F.length("path")) | (F.substring(F.col("path"), k + 1, F.lit(1)) == "/")
+    fitting = lambda k: (k <= F.length("path")) & whole(k) if at_slash else k <= F.length("path")
+    prefixes = F.transform(F.filter(lengths, fitting), lambda k: F.substring(F.col("path"), F.lit(1), k))
     probes = urls.select("host", "path").distinct().where("host <> '' or path <> ''")
     probes = probes.select("host", "path", F.explode(suffixes).alias("_h")).select("*", F.explode(prefixes).alias("_p"))
     probes = probes.withColumn("_key", F.concat_ws("\u0000", "_h", "_p"))
@@ -74,30 +78,34 @@ def best_entries(urls: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def canonical(host: Column, path: Column) -> tuple[Column, Column]:
-    """The form in which pages are listed: host without `www.` and port, path without a trailing slash."""
-    return F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^www\.", ""), F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
+    """The form in which pages are listed: host without user, `www.`, port and final dots, path without trailing slashes."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.*(:[0-9]*)?$", "")
+    return F.regexp_replace(bare, r"^www\.", ""), F.regexp_replace(path, "/+$", "")
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict. rules(host, path, verdict); listed(host, path) are blocked sites or pages.
 
     A rule that fits decides; else a listed entry blocks; else the url is allowed. Pages and listed entries are compared in
-    canonical form, so `www.` and ports make no difference.
+    canonical form, so user names, `www.`, ports, a final dot and trailing slashes make no difference. A listed page
+    blocks itself and what lies below it: `/x` or `/x/` blocks `/x`, `/x/` and `/x/y`, but not `/xylophone`.
 
     Defined cases: a null url or one without `://` has an empty host and path, no rule, and is allowed; repeated rows
-    are judged each; an empty list allows everything; columns of pages named like the added ones are replaced.
+    are judged each; an empty list allows everything; columns of pages named like the added ones, in any case, are
+    replaced, and all others are kept whatever their names.
     """
-    base = pages.drop("host", "path", "rule", "verdict")
-    host, path = url_parts(F.col(url_col))
-    base = base.withColumn("host", host).withColumn("path", path)
+    added = ("host", "path", "rule", "verdict")
+    inner = {c: f"page{i}_" for i, c in enumerate(pages.columns)}
+    host, path = url_parts(F.col(inner[url_col]))
+    base = pages.toDF(*inner.values()).withColumn("host", host).withColumn("path", path)
     entries = rules.select("host", "path", "verdict", F.lit(True).alias("is_rule"))
     chost, cpath = canonical(F.col("host"), F.col("path"))
     lhost, lpath = canonical(C.ascii_lower(F.col("host")), F.col("path"))
     more = listed.select(lhost.alias("host"), lpath.alias("path"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
-    ch, cp, by_rule, by_list = C.fresh(base, "_ch", "_cp", "_by_rule", "_by_list")
-    ruled = best_entries(base.select("host", "path"), entries).select("host", "path", F.concat("entry.host", "entry.path").alias("rule"), F.col("entry.verdict").alias(by_rule))
-    base = base.withColumn(ch, chost).withColumn(cp, cpath)
-    found = best_entries(base.select(F.col(ch).alias("host"), F.col(cp).alias("path")), more).select(F.col("host").alias(ch), F.col("path").alias(cp), F.col("entry.verdict").alias(by_list))
-    out = base.join(ruled, ["host", "path"], "left").join(found, [ch, cp], "left")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.select(*kept, "host", "path", "rule", F.coalesce(by_rule, by_list, F.lit("allow")).alias("verdict"))
+    ruled = best_entries(base.select("host", "path"), entries).select("host", "path", F.concat("entry.host", "entry.path").alias("rule"), F.col("entry.verdict").alias("_by_rule"))
+    base = base.withColumn("_ch", chost).withColumn("_cp", cpath)
+    found = best_entries(base.select(F.col("_ch").alias("host"), F.col("_cp").alias("path")), more, at_slash=True)
+    found = found.select(F.col("host").alias("_ch"), F.col("path").alias("_cp"), F.col("entry.verdict").alias("_by_list"))
+    out = base.join(ruled, ["host", "path"], "left").join(found, ["_ch", "_cp"], "left")
+    kept = [F.col(i).alias(c) for c, i in inner.items() if c.lower() not in added]
+    return out.select(*kept, "host", "path", "rule", F.coalesce("_by_rule", "_by_list", F.lit("allow")).alias("verdict"))

@@ -88,3 +88,20 @@ def test_clusters_of_unknown_size_and_times_of_laced_frames():
     got = M.parse(live)
     assert got["clusters"] == 3 and [p[2] for p in got["packets"]] == [p[2] for p in want["packets"]]
     assert M.payload_of(live, got) == M.payload_of(stored, want)
+
+
+def test_a_file_of_one_packet_byte_by_byte():
+    """The whole file, put together by hand from the format's description."""
+    payload = bytes(range(64))
+    text = lambda x: bytes.fromhex(x.replace(" ", ""))
+    head = text("1A45DFA3 A3 4286 81 01 42F7 81 01 42F2 81 04 42F3 81 08 4282 88 6D6174726F736B61 4287 81 04 4285 81 02")
+    info = text("1549A966 9F 2AD7B1 83 0F4240 4D80 89") + b"epochfold" + text("5741 89") + b"epochfold"
+    track = text("D7 81 01 73C5 81 01 83 81 02 23E383 83 0F4240 86 8D") + b"A_PCM/INT/LIT" + text("E1 91 B5 88 40EF400000000000 9F 81 01 6264 81 08")
+    tracks = text("1654AE6B B5 AE B3") + track
+    cluster = text("1F43B675 C9 E7 81 00 A3 C4 81 0000 80") + payload
+    at = len(info) + len(tracks)
+    cues = text("1C53BB6B 8D BB 8B B3 81 00 B7 86 F7 81 01 F1 81") + bytes([at])
+    body = info + tracks + cluster + cues
+    size = len(body).to_bytes(2, "big")
+    want = head + text("18538067") + bytes([size[0] | 0x40, size[1]]) + body
+    assert M.write(payload) == want

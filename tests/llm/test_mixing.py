@@ -98,3 +98,10 @@ def test_any_column_name_is_kept(spark):
     assert got.columns == df.columns
     assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() >= 30
     assert "_h7" in {r["_h"] for r in mixing.plan_mix(df).collect()}
+
+
+def test_columns_of_the_plans_own_names_are_kept(spark):
+    rows = [(i, "two words", "a", i, str(i), -i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _p long, _key string, _h long")
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)

@@ -14,13 +14,13 @@ def brute(url):
     fits = [(len(h + p), h + p, v) for h, p, v in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    bare = host.split(":")[0]
-    if path.startswith("/") and any(bare == h or bare.endswith("." + h) for h, _ in queries.LISTED):
+    bare = host.split("@")[-1].split(":")[0].rstrip(".")
+    if any(bare == h or bare.endswith("." + h) for h, _ in queries.LISTED):
         return host, path, None, "block"
     return host, path, None, "allow"
 
 
-URLS = [None, "", "no scheme", "http://", "http://Example.ORG/en/1", "http://example.org/en/12", "http://a.example.org/en/2", "http://notexample.org/es/", "https://x.com/fr/y?q#z", "https://x.com/fr", "http://com/de/", "http://x.com?/de/", "http://ads-track.example.com:80/de", "http://ads-track.example.net/x", "http://x.net/a\nb#c", "http://É.org/É", "a://b://c.org/", "http://org/", "http://x.com/de/1", "http://www.spam-farm.example.com/"]
+URLS = [None, "", "no scheme", "http://", "http://Example.ORG/en/1", "http://example.org/en/12", "http://a.example.org/en/2", "http://notexample.org/es/", "https://x.com/fr/y?q#z", "https://x.com/fr", "http://com/de/", "http://x.com?/de/", "http://ads-track.example.com:80/de", "http://ads-track.example.net/x", "http://x.net/a\nb#c", "http://É.org/É", "a://b://c.org/", "http://org/", "http://x.com/de/1", "http://www.spam-farm.example.com/", "http://spam-farm.example.com", "http://spam-farm.example.com.:8/", "http://u:p@spam-farm.example.org?q"]
 
 
 def test_against_brute_force(spark):
@@ -58,3 +58,22 @@ def test_listed_www_and_clashing_names(spark):
     listed = spark.createDataFrame([("www.Bad.com", "/")], "host string, path string")
     out = sorted(url_filter.url_filter(pages, rules, listed).collect())
     assert [(r.verdict, r["_ch"], r["_by_rule"]) for r in out] == [("block", "a", "b"), ("block", "c", "d"), ("block", "e", "f"), ("allow", "g", "h")]
+
+
+def test_listed_pages_end_at_a_slash_and_hosts_are_bare(spark):
+    urls = {
+        "http://bad.com/x": "block", "http://bad.com/x/": "block", "http://bad.com/x/y?q": "block", "http://bad.com/xylophone": "allow", "http://bad.com/": "allow",
+        "http://u@bad.com/x": "block", "http://bad.com./x": "block", "http://bad.com.:80/x//": "block", "http://worse.org": "block", "http://a.worse.org/any": "block",
+        "http://bad.com/page.html": "block", "http://bad.com/page.html5": "allow", "http://bad.com/y": "block", "http://bad.com/yy": "allow",
+    }
+    pages = spark.createDataFrame(list(urls), "string").toDF("url")
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    listed = spark.createDataFrame([("bad.com", "/x/"), ("worse.org", "/"), ("bad.com", "/page.html"), ("bad.com", "/y")], "host string, path string")
+    assert {r.url: r.verdict for r in url_filter.url_filter(pages, rules, listed).collect()} == urls
+
+
+def test_names_that_differ_by_case_are_replaced(spark):
+    pages = spark.createDataFrame([("http://a.com/b", "h", "p")], "URL string, Host string, _key string")
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    out = url_filter.url_filter(pages, none, none, url_col="URL")
+    assert out.columns == ["URL", "_key", "host", "path", "rule", "verdict"] and tuple(out.first()) == ("http://a.com/b", "p", "a.com", "/b", None, "allow")
