@@ -84,10 +84,15 @@ def csp(x: np.ndarray, y: np.ndarray, components: int) -> np.ndarray:
         own = np.concatenate(list(x[y == c]), axis=1)
         own = own - own.mean(axis=1, keepdims=True)
         cov.append(own @ own.T / own.shape[1])
-    vals, vecs = np.linalg.eigh(cov[0] + cov[1])
+    return spatial_filters(cov[0], cov[1], components)
+
+
+def spatial_filters(first: np.ndarray, second: np.ndarray, components: int) -> np.ndarray:
+    """The same from the classes' covariances: a generalised eigenproblem, solved in the whitened space of their sum."""
+    vals, vecs = np.linalg.eigh(first + second)
     keep = vals > vals.max() * 1e-10
     white = vecs[:, keep] / np.sqrt(vals[keep])
-    share, rot = np.linalg.eigh(white.T @ cov[0] @ white)
+    share, rot = np.linalg.eigh(white.T @ first @ white)
     order = np.argsort(-np.abs(share - 0.5), kind="stable")[:components]
     return (white @ rot[:, order]).T
 

@@ -1,8 +1,8 @@
 """Models fitted inside folds: fold statistics and dummies in SQL, iterative solvers in one grouped map a fold.
 
 A grouped map gets a fold's rows once and returns predictions and coefficients together, so nothing is fitted twice. Its
-input is sorted by row id, so a fold's fit doesn't depend on how rows were partitioned. Folds beyond a stated number of
-training rows go to Spark ML (logistic_ml), which doesn't gather them.
+input is sorted by row id, so a fold's fit doesn't depend on how rows were partitioned. Logistic folds of any size are
+fitted by fold_sums.logistic, which gathers none of them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from epochfold.functions import kernels
 from epochfold.operators.splits import draw, leave_one_group_out
+from epochfold.session import stash
 
 #: Training rows that one grouped map takes; larger folds raise and name the distributed path.
 MOST_ROWS = 1_000_000
@@ -70,6 +71,7 @@ def loso_moments(long: DataFrame, group: str, name: str = "band", value: str = "
     """
     v, one = F.col(value), lambda k: F.when(F.col(y) == k, F.col(value))
     per = long.groupBy(group, name).agg(F.count(v).alias("_n"), F.avg(v).alias("_m"), (F.var_pop(v) * F.count(v)).alias("_q"), *[f(one(k)).alias(f"_{n}{k}") for k in (0, 1) for n, f in (("k", F.count), ("c", F.avg))])
+    per = stash(per, "moments")  # a row a group and feature, read for the folds, the means and the spread
     others = leave_one_group_out(per, group).where("role = 'train'")
     mean = lambda n, m: F.sum(F.col(n) * F.col(m)) / F.nullif(F.sum(n), F.lit(0))
     fit = others.groupBy("fold", name).agg(mean("_n", "_m").alias("mean"), F.sum("_n").alias("_all"), mean("_k0", "_c0").alias("c0"), mean("_k1", "_c1").alias("c1"))
@@ -166,7 +168,7 @@ def fit_folds(split: DataFrame, keys: list[str], row_id: str, spec: ModelSpec, f
         pdf = pdf.sort_values(row_id, kind="stable")
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
         if len(train) > MOST_ROWS:
-            raise ValueError("too many training rows for one task; use logistic_ml")
+            raise ValueError("too many training rows for one task; use fold_sums.logistic")
         if not len(test) or not len(train):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         x, labels, own = np.stack(train[features].to_numpy()), train[y].to_numpy().astype(int), spec
@@ -183,17 +185,6 @@ def fit_folds(split: DataFrame, keys: list[str], row_id: str, spec: ModelSpec, f
     return split.select(*cols).groupBy(*keys).applyInPandas(run, schema)
 
 
-def logistic_ml(train: DataFrame, c: float = 1.0, balanced: bool = True, features: str = "features", y: str = "y"):
-    """The same penalised fit by Spark ML, for folds of any size: regParam 1 / (C n), class weights n / (2 n_class)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    n, pos = train.agg(F.count("*"), F.count_if(F.col(y) == 1)).first()
-    weight = F.when(F.col(y) == 1, n / (2.0 * max(1, pos))).otherwise(n / (2.0 * max(1, n - pos))) if balanced else F.lit(1.0)
-    data = train.select(array_to_vector(features).alias("features"), F.col(y).cast("double").alias("label"), weight.alias("w"))
-    return LogisticRegression(weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-12).fit(data)
-
-
 def random_forest(split: DataFrame, fold: str, row_id: str, trees: int = 300, seed: int = 42, features: str = "features", y: str = "y") -> DataFrame:
     """Test rows of each fold scored by a Spark ML forest fitted on its training rows; the folds' ids are few by design.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochfold.functions import kernels
+from epochfold.operators import fold_sums
 
 
 def bandpass(epochs: DataFrame, lo: float, hi: float, sfreq: float, order: int = 4, x: str = "x") -> DataFrame:
@@ -69,23 +70,10 @@ def lda_moments(features: DataFrame, y: str = "y", column: str = "features") ->
 
 
 def csp_lda_folds(split: DataFrame, keys: list[str], row_id: str, components: int = 6, channels: str = "channels", y: str = "y") -> DataFrame:
-    """Test rows of each fold with pred and proba of CSP and a discriminant fitted on the fold's training epochs."""
-    kinds = dict(split.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, row_id]) + f", {y} int, pred int, proba double"
-    slim = split.select(*keys, row_id, y, "role", F.transform(channels, lambda c: c["x"]).alias("_x"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id, kind="stable")
-        x = np.stack([np.stack(e) for e in pdf["_x"]]).astype(float)
-        labels, train = pdf[y].to_numpy().astype(int), (pdf["role"] == "train").to_numpy()
-        out = pdf.loc[~train, [*keys, row_id, y]].copy()
-        if len(np.unique(labels[train])) < 2:
-            proba = np.full(len(out), float(labels[train][0]) if train.any() else 0.0)
-        else:
-            w = kernels.csp(x[train], labels[train], components)
-            d, c = kernels.lda(kernels.log_variance(w, x[train]), labels[train])
-            proba = kernels.sigmoid(kernels.log_variance(w, x[~train]) @ d + c)
-        out["pred"], out["proba"] = (proba > 0.5).astype(int), proba
-        return out
-
-    return slim.groupBy(*keys).applyInPandas(run, schema)
+    """Test rows of each fold with pred and proba of CSP and a discriminant fitted on the fold's training epochs.
+
+    A split of fold_sums.epoch_moments, made before rows meet folds, spares their making in each fold.
+    """
+    if "moments" not in split.columns:
+        split = fold_sums.epoch_moments(split, channels)
+    return fold_sums.csp_lda(split, keys, row_id, components, y=y)

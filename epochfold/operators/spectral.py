@@ -56,7 +56,9 @@ def band_power(epochs: DataFrame, sfreq: float, bands: dict, n_times: int, npers
 def long_features(features: DataFrame, keys: list[str], names: list[str], column: str = "features", value: str = "power", name: str = "band") -> DataFrame:
     """A row for each feature of each row, named by position."""
     labels = F.array(*[F.lit(n) for n in names])
-    return features.select(*keys, F.posexplode(column).alias("_i", value)).select(*keys, F.element_at(labels, F.col("_i") + 1).alias(name), value)
+    # the outer form: from an inner one the optimiser infers filters on the features, which makes a UDF run twice
+    rows = features.select(*keys, F.posexplode_outer(column).alias("_i", value)).where("_i IS NOT NULL")
+    return rows.select(*keys, F.element_at(labels, F.col("_i") + 1).alias(name), value)
 
 
 def channel_band_power(epochs: DataFrame, keys: list[str], sfreq: float, bands: dict, n_times: int, channels: str = "channels", **kw) -> DataFrame:
@@ -72,14 +74,14 @@ def feature_names(channels: list[str], bands: dict) -> list[str]:
 
 def regional_summary(power: DataFrame, keys: list[str], bands: dict, regions: dict = REGIONS) -> DataFrame:
     """Mean power over the electrodes of each region that are present, with their number; null and 0 where none is."""
-    spark = power.sparkSession
-    electrodes = spark.createDataFrame([(r, e) for r, own in regions.items() for e in own], "region string, channel string")
-    every = spark.createDataFrame([(r, b) for r in regions for b in bands], "region string, band string")
-    # regions and bands are fixed, small tables
-    got = power.join(F.broadcast(electrodes), "channel").groupBy(*keys, "region", "band").agg(F.avg("power").alias("mean_power"), F.count("*").alias("coverage"))
-    frame = power.select(*keys).distinct().join(F.broadcast(every))
-    out = frame.join(got, [*keys, "region", "band"], "left")
-    return out.select(*keys, "region", "band", "mean_power", F.coalesce("coverage", F.lit(0)).alias("coverage"))
+    cells = []
+    for region, own in regions.items():
+        for band in bands:
+            here = F.col("channel").isin(own) & (F.col("band") == band)
+            mean, n = F.avg(F.when(here, F.col("power"))), F.count_if(here)
+            cells.append(F.struct(F.lit(region).alias("region"), F.lit(band).alias("band"), mean.alias("mean_power"), n.alias("coverage")))
+    # regions x bands aggregates a row, from one pass over the features
+    return power.groupBy(*keys).agg(F.array(*cells).alias("_cells")).select(*keys, F.explode("_cells").alias("_c")).select(*keys, "_c.*")
 
 
 def without(features: DataFrame, *dropped: str, name: str = "band") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochfold.session import stash
+
 #: Groups of a fan-out split are held in one array a row; more than this many would multiply the data too far.
 MOST_FOLDS = 10_000
 
@@ -66,7 +68,7 @@ def row_numbers(rows: DataFrame, order: str, out: str = "pos") -> DataFrame:
     """rows with their place from 0 along an order, in two levels: inside range partitions, then over their sizes."""
     ranged = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
     local = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    local = local.persist()
+    local = stash(local, "row-numbers")  # partitions are told apart by their number, so it is written once
     sizes = local.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     return local.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_in") + F.col("_before")).cast("long").alias(out))

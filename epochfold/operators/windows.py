@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Samples in a chunk of the two-level block numbering.
 CHUNK = 1 << 16
-#: Runs of a subject that a range join takes.
-MOST_RUNS = 10_000
 
 
 def window_samples(win_sec: float, sfreq: float) -> int:
@@ -31,16 +29,17 @@ def _ordered(value_cols: list[str], order: str) -> list[Column]:
     return out
 
 
-def tumbling(samples: DataFrame, win: int, value_cols: list[str], label: str = "y", idx: str = "sample_idx", rec: list[str] | None = None, drop_mixed: bool = True) -> DataFrame:
+def tumbling(samples: DataFrame, win: int, value_cols: list[str], label: str = "y", idx: str = "sample_idx", rec: list[str] | None = None, drop_mixed: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Windows of win samples from sample 0 on: start, label (the first sample's) and an ordered array for each value.
 
-    A partial window is dropped, and with drop_mixed one whose labels differ.
+    A partial window is dropped, and with drop_mixed one whose labels differ. carry names columns of which the first
+    sample's value is kept, such as block.
     """
     if win < 1:
         raise ValueError("a window holds at least one sample")
     keys = [*(rec or []), "start"]
     s = samples.withColumn("start", F.expr(f"{idx} div {win}") * win)
-    out = s.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.min_by(label, idx).alias("label"), *_ordered(value_cols, idx))
+    out = s.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.min_by(label, idx).alias("label"), *[F.min_by(c, idx).alias(c) for c in carry], *_ordered(value_cols, idx))
     out = out.where(F.col("_n") == win)
     if drop_mixed:
         out = out.where(F.col("_lo").eqNullSafe(F.col("_hi")))
@@ -75,12 +74,15 @@ def event_epochs(samples: DataFrame, events: DataFrame, first: int, last: int, v
 def run_of_event(events: DataFrame, runs: DataFrame, at: str = "at") -> DataFrame:
     """events with the run whose range [first, end) holds their sample; -1 for none.
 
-    runs has a row a run of one subject and is sent to all, so its size is checked.
+    An interval join by buckets as wide as the mean run: a run stands in each bucket that it touches, about two on the
+    whole, an event in one, so they meet by key however many they are. An event in several runs gets a row for each.
     """
-    if runs.limit(MOST_RUNS + 1).count() > MOST_RUNS:
-        raise ValueError(f"more than {MOST_RUNS} runs; join them subject by subject")
-    hit = (F.col(at) >= F.col("first")) & (F.col(at) < F.col("end"))
-    return events.join(F.broadcast(runs), hit, "left").select(*events.columns, F.coalesce("run", F.lit(-1)).alias("run"))
+    span = runs.where("end > first").agg(F.avg(F.col("end") - F.col("first"))).first()[0]
+    width = max(1, int(span or 1))
+    spread = runs.where("end > first").select("first", "end", "run", F.explode(F.expr(f"sequence(floor(first / {width}), floor((end - 1) / {width}))")).alias("_bucket"))
+    hit = (F.col("_at") == F.col("_bucket")) & (F.col(at) >= F.col("first")) & (F.col(at) < F.col("end"))
+    found = events.withColumn("_at", F.floor(F.col(at) / width)).join(spread, hit, "left")
+    return found.select(*events.columns, F.coalesce("run", F.lit(-1)).alias("run"))
 
 
 def label_blocks(samples: DataFrame, label: str = "y", idx: str = "sample_idx", rec: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -99,12 +101,6 @@ def label_blocks(samples: DataFrame, label: str = "y", idx: str = "sample_idx",
     return s.join(per, [*rec, "_chunk"]).select(*samples.columns, (F.col("_in") + F.col("_before")).cast("long").alias("block"))
 
 
-def with_block(windows: DataFrame, blocked: DataFrame, idx: str = "sample_idx", rec: list[str] | None = None) -> DataFrame:
-    """windows with the block of their first sample."""
-    keys = [*(rec or []), "start"]
-    return windows.join(blocked.select(*(rec or []), F.col(idx).alias("start"), "block"), keys)
-
-
 def super_blocks(windows: DataFrame, per_super: int, block: str = "block", order: str = "start") -> DataFrame:
     """block, super_block: blocks in first-seen order, per_super to each; a remainder joins the last complete one.
 

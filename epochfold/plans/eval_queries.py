@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochfold.operators import metrics as M
-from epochfold.operators import models, resample, spatial, spectral, splits
+from epochfold.operators import fold_sums, models, resample, spatial, spectral, splits
 from epochfold.operators import temporal as T
 from epochfold.operators import windows as W
 from epochfold.plans import signal_queries as S
@@ -489,7 +489,7 @@ def within_subject_logreg(s, d):
 def naive_logreg(s, d):
     """All rows shuffled, groups ignored: the leaky split that others are held against."""
     split = splits.roles_of(splits.stratified_kfold(_feature_trials(s, d), "y", "epoch_id", 5, SEED), 5)
-    p = models.fit_folds(split, ["fold"], "epoch_id", models.ModelSpec(), strict=False)
+    p = fold_sums.logistic(split, ["fold"], "epoch_id", strict=False)
     return _rounded(M.pooled_metrics(p).withColumn("all", F.lit("pooled")), ["all", "n_test"], M.METRICS)
 
 
@@ -500,11 +500,12 @@ def expanding_logreg(s, d):
 
 def chronological_logreg(s, d):
     w = splits.row_numbers(S.windows(s, d).withColumnRenamed("label", "y").join(_window_features(s, d), "start").select("start", "y", "features"), "start")
-    return _summary(models.fit_folds(splits.chronological(w, w.count()), ["fold"], "start", models.ModelSpec(), strict=False))
+    return _summary(fold_sums.logistic(splits.chronological(w, w.count()), ["fold"], "start", strict=False))
 
 
 def loso_csp_lda(s, d):
-    return _summary(spatial.csp_lda_folds(splits.leave_one_group_out(X.multichannel(s, d, EIGHT), "subject"), ["fold"], "epoch_id"))
+    epochs = fold_sums.epoch_moments(X.multichannel(s, d, EIGHT))
+    return _summary(spatial.csp_lda_folds(splits.leave_one_group_out(epochs, "subject"), ["fold"], "epoch_id"))
 
 
 def loso_random_forest(s, d):
@@ -512,7 +513,7 @@ def loso_random_forest(s, d):
 
 
 def loso_svm_rbf(s, d):
-    spec = models.ModelSpec("svm_rbf", {"c": 1.0, "balanced": True})
+    spec = models.ModelSpec("svm_rbf", {"c": 1.0, "balanced": False})
     return _summary(models.fit_folds(splits.leave_one_group_out(_feature_trials(s, d), "subject"), ["fold"], "epoch_id", spec))
 
 

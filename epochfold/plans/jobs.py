@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from epochfold.operators import clip as K
 from epochfold.operators import evaluate as E
 from epochfold.operators import metrics as M
-from epochfold.operators import models, spatial, spectral, splits
+from epochfold.operators import fold_sums, models, spatial, spectral, splits
 from epochfold.operators import temporal as T
 from epochfold.operators import windows as W
 from epochfold.operators.models import ModelSpec
@@ -52,7 +52,7 @@ def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands:
     bands = bands or spectral.STANDARD_BANDS
     win = W.window_samples(win_sec, sfreq)
     blocked = W.label_blocks(samples).persist()
-    w = W.with_block(W.tumbling(blocked, win, channels), blocked).withColumnRenamed("label", "y")
+    w = W.tumbling(blocked, win, channels, carry=("block",)).withColumnRenamed("label", "y")
     w = w.select("start", "y", "block", F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in channels]).alias("channels"))
     w = splits.row_numbers(w.join(W.super_blocks(w, per_super), "block"), "start").persist()
     n = w.count()
@@ -120,7 +120,7 @@ def spatial_job(epochs: DataFrame, components: int = 6, row_id: str = "epoch_id"
 
     Epochs are band-passed first, each by itself, so nothing of it is fitted.
     """
-    e = spatial.bandpass_channels(epochs, *band, sfreq).persist()
+    e = fold_sums.epoch_moments(spatial.bandpass_channels(epochs, *band, sfreq)).persist()
     cross = splits.valid_folds(splits.leave_one_group_out(e, "subject"), ["fold"])
     runs = splits.valid_folds(splits.leave_one_run_out(e), ["subject", "fold"])
     shuffled = splits.roles_of(splits.stratified_kfold(e, "y", row_id, 5, seed, ["subject"]), 5)

@@ -28,7 +28,7 @@ def blocked(s, d):
 def windows(s, d):
     """Pure windows of the recording with their block."""
     b = blocked(s, d)
-    return W.with_block(W.tumbling(b, WINDOW, ["x"]), b)
+    return W.tumbling(b, WINDOW, ["x"], carry=("block",))
 
 
 def power(s, d, nperseg_sec: float = 1.0, relative: bool = False):

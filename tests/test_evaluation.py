@@ -93,14 +93,6 @@ def test_held_out_rows_dont_touch_training_statistics(spark):
     assert coefs[0] == coefs[1]
 
 
-def test_logistic_kernel_and_spark_ml_agree(spark):
-    x, y, g = with_offsets()
-    m, s = K.scale(x)
-    w, b = K.logistic((x - m) / s, y)
-    ml = models.logistic_ml(frame(spark, (x - m) / s, y, g))
-    assert np.allclose(ml.coefficients.toArray(), w, atol=1e-5) and abs(ml.intercept - b) < 1e-5
-
-
 def test_splits(spark):
     ids = np.repeat(range(6), [3, 4, 2, 5, 3, 4])
     df = spark.createDataFrame([(i, int(v), i % 2) for i, v in enumerate(ids)], "pos long, g int, y int")
