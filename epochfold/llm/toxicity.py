@@ -76,8 +76,9 @@ class Model:
     def savings(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """Bytes that the toxic dictionary saves, by text, width and window."""
         plain, both = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
-        saved = lambda x: len(plain.compress(x)) - len(both.compress(x))
-        return [[np.array([saved(x) for x in windows(own, *w)]) for w in WIDTHS] for own in map(words, texts)]
+        lengths = lambda by, some: np.array([len(x) for x in by.multi_compress_to_buffer(some)])
+        saved = lambda some: lengths(plain, some) - lengths(both, some)
+        return [[saved(windows(own, *w)) for w in WIDTHS] for own in map(words, texts)]
 
     def score(self, found: list[list[np.ndarray]]) -> np.ndarray:
         x = figures(found)
