@@ -29,17 +29,18 @@ def _by_key(batch: pa.RecordBatch, n_keys: int):
         yield key if isinstance(key, tuple) else (key,), own
 
 
-def fold_sums(rows: DataFrame, keys: list[str], x: str, y: str, fn: Callable) -> dict[tuple, np.ndarray]:
-    """For each fold the sum over its rows of the vectors fn(key, x, y) gives; x is a matrix of the array column.
+def sum_table(rows: DataFrame, keys: list[str], x: str, y: str, fn: Callable) -> DataFrame:
+    """keys, pos, value: for each fold the sum over its rows of the vectors fn(key, x, y) gives, a row a place.
 
-    fn says None for folds that it doesn't ask about.
+    x is a matrix of the array column, and so is y where it is an array. fn says None for folds that it doesn't ask about.
     """
     kinds, n_keys = dict(rows.dtypes), len(keys)
 
     def run(batches):
         sums: dict = {}
         for b in batches:
-            values, labels = _matrix(b.column(n_keys)), b.column(n_keys + 1).to_numpy(zero_copy_only=False).astype(int)
+            values, said = _matrix(b.column(n_keys)), b.column(n_keys + 1)
+            labels = (_matrix(said) if pa.types.is_list(said.type) else said.to_numpy(zero_copy_only=False)).astype(int)
             for key, own in _by_key(b, n_keys):
                 v = fn(key, values[own], labels[own])
                 if v is not None:
@@ -51,8 +52,13 @@ def fold_sums(rows: DataFrame, keys: list[str], x: str, y: str, fn: Callable) ->
     src = rows.select(*keys, x, y)
     types = [pa.from_numpy_dtype("int64") if kinds[k] == "bigint" else pa.int32() if kinds[k] == "int" else pa.string() for k in keys]
     parts = src.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pos int, value double")
+    return parts.groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
+
+
+def fold_sums(rows: DataFrame, keys: list[str], x: str, y: str, fn: Callable) -> dict[tuple, np.ndarray]:
+    """sum_table as a vector a fold, on the driver."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"])
-    total = parts.groupBy(*keys, "pos").agg(F.sum("value").alias("value")).groupBy(*keys).agg(listed.alias("v"))
+    total = sum_table(rows, keys, x, y, fn).groupBy(*keys).agg(listed.alias("v"))
     return {tuple(r[k] for k in keys): np.array(r["v"]) for r in total.collect()}
 
 

@@ -59,11 +59,11 @@ def paired_delta(a: DataFrame, b: DataFrame, group: str, value: str = "value", *
     return ci.join(more, "_k").drop("_k")
 
 
-def permute_within(rows: DataFrame, group: str, row_id: str, y: str, n_perm: int, seed: int = 42) -> DataFrame:
-    """rows n_perm times, with perm and y shuffled inside each group: the label ranked by a hash goes to the row ranked by id."""
+def permute_within(rows: DataFrame, group: str, row_id: str, y: str, n_perm: int, seed: int = 42, first: int = 1) -> DataFrame:
+    """rows n_perm times, with perm (from first on) and y shuffled inside each group: the label ranked by a hash goes to the row ranked by id."""
     w_id = Window.partitionBy(group).orderBy(row_id)
     base = rows.withColumn("_r", F.row_number().over(w_id))
-    perms = F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")
+    perms = F.explode(F.sequence(F.lit(first), F.lit(first + n_perm - 1))).alias("perm")
     drawn = rows.select(group, row_id, F.col(y).alias("_y"), perms)
     w_hash = Window.partitionBy("perm", group).orderBy(draw(seed, F.col("perm"), F.col(row_id)), row_id)
     drawn = drawn.select("perm", group, "_y", F.row_number().over(w_hash).alias("_r"))

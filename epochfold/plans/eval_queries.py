@@ -6,17 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochfold.operators import metrics as M
-from epochfold.operators import fold_sums, models, resample, spatial, spectral, splits
+from epochfold.operators import fold_sums, models, refit, resample, spatial, spectral, splits
 from epochfold.operators import temporal as T
 from epochfold.operators import windows as W
 from epochfold.plans import signal_queries as S
-from epochfold.plans.fit_sql import fit_sql
+from epochfold.plans.fit_sql import fit_sql, solve_sql
 from epochfold.plans.signal_queries import BANDS, EIGHT, power_sql, r8
 from epochfold.sources import edf, results
 from epochfold.sources import fixtures as X
 from epochfold.sources.fixtures import WINDOW, views
 
-SEED, BOOTS, PERMS = 42, 10_000, 200
+SEED, BOOTS, PERMS, REFITS = 42, 10_000, 200, 50
 LAGS = [1, 2, 3, 4, 5]
 LEAST_TRAIN = 5  # blocks before the first test block
 
@@ -528,6 +528,19 @@ def coefficient_means(s, d):
     return _rounded(models.coefficient_means(p, [], list(BANDS)), ["name"], ["mean_coefficient"])
 
 
+def coefficient_means_by_subject(s, d):
+    split = splits.valid_folds(splits.leave_one_run_out(_feature_trials(s, d)), ["subject", "fold"])
+    p = models.fit_folds(split, ["subject", "fold"], "epoch_id", models.ModelSpec(), strict=False)
+    means = models.coefficient_means(p, ["subject"], list(BANDS), ("subject", "fold"))
+    return means.select("subject", "name", F.round("mean_coefficient", 6).alias("mean_coefficient"))
+
+
+def permutation_refit(s, d):
+    """Does a model tell the labels of a subject that it hasn't seen better than models of shuffled labels do?"""
+    out = refit.permutation_refit(_feature_trials(s, d), "subject", "epoch_id", REFITS, SEED)
+    return _rounded(out, ["n_perm"], ["observed", "p_value", "null_mean", "null_std", "null_p95"])
+
+
 _POWER = "WITH RECURSIVE " + power_sql()[5:] + ", trials_f AS (SELECT epoch_id, subject, run, y, " + ", ".join(f"max(power) FILTER (WHERE band = '{b}') AS f{j}" for j, b in enumerate(BANDS)) + " FROM power_rows GROUP BY ALL)"
 _P = len(BANDS)
 _LOSO_F = _POWER + ", " + _LOSO.replace("FROM trials t", "FROM trials_f t")
@@ -546,6 +559,19 @@ _GRID = f"""settings(c) AS (VALUES (0.1::DOUBLE), (1.0), (10.0)),
     marks AS (SELECT fold, c, avg(m) AS mark FROM (SELECT fold, c, inner_fold, avg(r) AS m FROM recalls GROUP BY ALL) GROUP BY ALL),
     best AS (SELECT fold, min(c) AS c FROM (SELECT *, max(mark) OVER (PARTITION BY fold) AS top FROM marks) WHERE mark >= top - 1e-12 GROUP BY fold)
     SELECT fold, c::VARCHAR AS chosen_c, n_test FROM best JOIN (SELECT fold, count(*) AS n_test FROM folds WHERE role = 'test' GROUP BY fold) USING (fold)"""
+_REFIT = f"""base AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY epoch_id) AS r FROM trials_f),
+    drawn AS (SELECT perm, subject, y, row_number() OVER (PARTITION BY perm, subject ORDER BY {_DRAW('perm', 'epoch_id')}, epoch_id) AS r FROM base, unnest(range(1, {REFITS + 1})) AS u(perm)),
+    mixed AS (SELECT perm, epoch_id, d.y FROM drawn d JOIN base USING (subject, r) UNION ALL SELECT 0, epoch_id, y FROM base),
+    stat AS (SELECT fold, {", ".join(f"avg(f{j}) AS m{j}, CASE WHEN stddev_pop(f{j}) > 0 THEN stddev_pop(f{j}) ELSE 1 END AS s{j}" for j in range(_P))} FROM folds WHERE role = 'train' GROUP BY fold),
+    scaled AS (SELECT fold, role, subject, epoch_id, {", ".join(f"(f{j} - m{j}) / s{j} AS x{j}" for j in range(_P))} FROM folds JOIN stat USING (fold)),
+    gram AS (SELECT fold, {", ".join(f"sum(x{i} * x{j})" + (" + 1" if i == j else "") + f" AS h{i}_{j}" for i in range(_P) for j in range(i + 1))} FROM scaled WHERE role = 'train' GROUP BY fold),
+    sides AS (SELECT fold, perm, {", ".join(f"sum(x{j} * (2 * y - 1)) AS g{j}" for j in range(_P))}, avg(2 * y - 1) AS a FROM scaled JOIN mixed USING (epoch_id) WHERE role = 'train' GROUP BY fold, perm),
+    model AS (SELECT fold, perm, a, {", ".join(f"d{j}" for j in range(_P))} FROM (SELECT *, {", ".join(solve_sql(_P))} FROM sides JOIN gram USING (fold))),
+    said AS (SELECT fold, perm, m.y, (a + {" + ".join(f"d{j} * x{j}" for j in range(_P))} > 0)::INT AS pred FROM scaled JOIN mixed m USING (epoch_id) JOIN model USING (fold, perm) WHERE role = 'test'),
+    conf AS (SELECT perm, fold, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp FROM said GROUP BY ALL),
+    s AS (SELECT perm, avg({_BA_PERM}) AS value FROM conf GROUP BY perm), o AS (SELECT value AS observed FROM s WHERE perm = 0)
+    SELECT count(*) AS n_perm, round(any_value(observed), 8) AS observed, round((count(*) FILTER (WHERE value >= observed) + 1)::DOUBLE / (count(*) + 1), 8) AS p_value,
+    round(avg(value), 8) AS null_mean, round(stddev_samp(value), 8) AS null_std, round(quantile_cont(value, 0.95), 8) AS null_p95 FROM s, o WHERE perm > 0"""
 FIT_SQL = {
     "loso_logreg": _LOSO_F + f", {fit_sql('fold', 'epoch_id', _P, 'folds')}, {_SUMMED}",
     "loro_logreg": _POWER + f", {_LORO('trials_f')}, folds AS (SELECT each.* FROM each JOIN ok USING (subject, fold)), {fit_sql('subject, fold', 'epoch_id', _P, 'folds', strict=False)}, {metric_sql('subject, fold')}, "
@@ -556,6 +582,9 @@ FIT_SQL = {
         folds AS (SELECT fold, o.*, CASE WHEN ord = fold THEN 'test' ELSE 'train' END AS role FROM o, f WHERE ord <= fold), {fit_sql('fold', 'start', 3, 'folds')}, {_SUMMED}""",
     "chronological_logreg": _WINDOW_F + f""", {_PLACED}, folds AS (SELECT 0 AS fold, windows_f.*, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train' ELSE 'test' END AS role FROM windows_f JOIN placed USING (start)),
         {fit_sql('fold', 'start', 3, 'folds', strict=False)}, {_SUMMED}""",
+    "coefficient_means_by_subject": _POWER + f", {_LORO('trials_f')}, folds AS (SELECT each.* FROM each JOIN ok USING (subject, fold)), {fit_sql('subject, fold', 'epoch_id', _P, 'folds', strict=False)} SELECT subject, unnest({list(BANDS)}) AS name, unnest(["
+    + ", ".join(f"round(avg(b{j}), 6)" for j in range(_P)) + "]) AS mean_coefficient FROM fit GROUP BY subject",
+    "permutation_refit": _LOSO_F + ", " + _REFIT,
     "nested_grid_logreg": _LOSO_F + ", " + _GRID,
     "coefficient_means": _LOSO_F + f", {fit_sql('fold', 'epoch_id', _P, 'folds')} SELECT unnest({list(BANDS)}) AS name, unnest([" + ", ".join(f"round(avg(b{j}), 8)" for j in range(_P)) + "]) AS mean_coefficient FROM fit",
 }
@@ -565,7 +594,7 @@ QUERIES = {f.__name__: f for f in (
     fold_scaler_stats, dummy_most_frequent, dummy_prior, dummy_stratified_hash, dummy_uniform_hash, per_split_baselines, cv_dummy_baselines, loso_centroid_end_to_end, coef_topk,
     confusion_by_fold, fold_metrics, pooled_vs_fold_metrics, roc_auc_by_group, across_fold_summary, loro_subject_summary, class_balance_rollup,
     bootstrap_ci_hash, bootstrap_ci_numpy, paired_delta, within_group_permutation, lag_autocorr_rows, lag_autocorr_time_aligned, temporal_gap_choice, window_time_gaps, missing_files_antijoin, trial_ids,
-    loso_logreg, loro_logreg, within_subject_logreg, naive_logreg, expanding_logreg, chronological_logreg, loso_csp_lda, loso_random_forest, loso_svm_rbf, nested_grid_logreg, coefficient_means,
+    loso_logreg, loro_logreg, within_subject_logreg, naive_logreg, expanding_logreg, chronological_logreg, loso_csp_lda, loso_random_forest, loso_svm_rbf, nested_grid_logreg, coefficient_means, coefficient_means_by_subject, permutation_refit,
     channel_names, run_ids, file_digests, interval_texts, pooled_metrics, cross_subject_folds, prefix_gap, flat_channels, feature_columns,
 )}
 ORACLE = SPLIT_SQL | FOLD_SQL | METRIC_SQL | RESAMPLE_SQL | NAME_SQL | FIT_SQL

@@ -6,7 +6,7 @@ from __future__ import annotations
 STEPS = 15
 
 
-def _solve(n: int) -> list[str]:
+def solve_sql(n: int) -> list[str]:
     """Aliases of a Cholesky factor of h and of the solution d of h d = g, each from those before it."""
     out = []
     for i in range(n):
@@ -39,7 +39,7 @@ def fit_sql(keys: str, row: str, p: int, source: str, strict: bool = True, c: st
         n_train / (2.0::DOUBLE * CASE WHEN y = 1 THEN n_pos ELSE n_train - n_pos END) AS w FROM {source} s JOIN {name}stat USING ({keys})),
     {name}learn AS (SELECT * FROM {name}scaled WHERE role = 'train' AND n_pos > 0 AND n_pos < n_train),
     {name}newton AS (SELECT DISTINCT {keys}, 0 AS t, {", ".join(f"0.0::DOUBLE AS b{j}" for j in own)} FROM {name}learn
-        UNION ALL SELECT {keys}, t + 1, {", ".join(f"b{j} - d{j}" for j in own)} FROM (SELECT *, {", ".join(_solve(p + 1))} FROM (
+        UNION ALL SELECT {keys}, t + 1, {", ".join(f"b{j} - d{j}" for j in own)} FROM (SELECT *, {", ".join(solve_sql(p + 1))} FROM (
         SELECT {keys}, t, {b}, {grad}, {hess} FROM (SELECT *, 1 / (1 + exp(-({score}))) AS q FROM {name}newton JOIN {name}learn USING ({keys}) WHERE t < {STEPS}) GROUP BY {keys}, t, {b}))),
     {name}fit AS (SELECT * FROM {name}newton WHERE t = {STEPS}),
     {name}said AS (SELECT {keys}, {row}, y, CASE WHEN n_pos = 0 THEN 0 WHEN n_pos = n_train THEN 1 ELSE 1 / (1 + exp(-({score}))) END AS proba
