@@ -57,9 +57,10 @@ def repeated_chunks(keyed: DataFrame, mean: int = MEAN_LINES, least: int = LEAST
     own = own.select("k", "i", "_t", F.xxhash64("_t").alias("h"))
     places = C.stash(own.select("k", "i", "h"), "lines-places")
     twice = C.stash(places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "lines-twice")
-    few = F.broadcast(twice) if twice.count() <= FEW else twice
     # grouping by the bytes themselves is their comparison; equal hashes of different bytes part here
-    texts = own.join(few, "h").groupBy("h", "_t").agg(F.min(F.struct("k", "i")).alias("first"), F.count("*").alias("c"))
+    by_bytes = lambda df: df.groupBy("h", "_t").agg(F.min(F.struct("k", "i")).alias("first"), F.count("*").alias("c"))
+    # where too many repeat to broadcast, copies meet in the tasks before texts are shuffled, and the join moves a row a text
+    texts = by_bytes(own.join(F.broadcast(twice), "h")) if twice.count() <= FEW else by_bytes(own).select("h", "first", "c").join(twice, "h")
     kinds = C.stash(texts.groupBy("h").agg(F.count("*").alias("kinds"), F.first("first").alias("first")), "lines-kinds")
     same = places.join(kinds.where("kinds = 1"), "h").where(F.struct("k", "i") > F.col("first")).select("k", "i")
     apart = kinds.where("kinds > 1").select("h")
