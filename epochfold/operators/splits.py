@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochfold.operators import ordering
 from epochfold.session import stash
 
 #: Groups of a fan-out split are held in one array a row; more than this many would multiply the data too far.
@@ -47,41 +48,50 @@ def valid_folds(split: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
 def group_order(rows: DataFrame, group: str, order: str) -> DataFrame:
     """group, ord: the groups' place, from 0, by their first row; a group id that falls along the order raises."""
     g = rows.groupBy(group).agg(F.min(order).alias("_at"))
-    w = Window.orderBy("_at")
-    g = g.select(group, (F.row_number().over(w) - 1).alias("ord"), F.lag(group).over(w).alias("_before"))
+    g = ordering.placed(g, "_at", "ord", before={"_before": group})
     falls = F.col("_before").isNotNull() & (F.col("_before") > F.col(group))
-    return g.select(group, F.when(falls, F.raise_error(F.lit("group ids must not decrease along the order")).cast("int")).otherwise(F.col("ord")).alias("ord"))
+    return g.select(group, F.when(falls, F.raise_error(F.lit("group ids must not decrease along the order")).cast("long")).otherwise(F.col("ord")).alias("ord"))
+
+
+def _walk(rows: DataFrame, place: str, n: int, n_init: int, step: int, gap: int, width: int) -> DataFrame:
+    """rows with fold and role: folds start at n_init, every step places, before n, and train on places below fold - gap.
+
+    A row's folds follow from its place, so they are spelled out in it: no fold is joined to the rows.
+    """
+    first = n_init + -(-max(0, gap + 1 - n_init) // step) * step
+    last = n_init + (n - 1 - n_init) // step * step
+    if first > last:
+        return rows.withColumns({"fold": F.lit(0).cast("long"), "role": F.lit("train")}).where("false")
+    p = F.col(place)
+    own = first + F.floor((p - first) / step) * step
+    test = (p >= first) & (p - own < width) & (own <= last)
+    start = first + F.ceil(F.greatest(F.lit(0).cast("long"), p + gap + 1 - first) / step) * step
+    train = F.when(start <= last, F.transform(F.sequence(start, F.lit(last).cast("long"), F.lit(step).cast("long")), lambda f: F.struct(f.alias("fold"), F.lit("train").alias("role"))))
+    tested = F.when(test, F.array(F.struct(own.alias("fold"), F.lit("test").alias("role"))))
+    none = F.array().cast("array<struct<fold:bigint,role:string>>")
+    spread = rows.withColumn("_w", F.explode(F.concat(F.coalesce(tested, none), F.coalesce(train, none))))
+    return spread.withColumns({"fold": F.col("_w.fold"), "role": F.col("_w.role")}).drop("_w")
 
 
 def expanding_by_group(rows: DataFrame, group: str, order: str, n_init: int, step: int = 1, gap: int = 0) -> DataFrame:
     """Walk forward over groups in order: test is group i, from n_init on, training the groups before i - gap."""
     if n_init < 1 or step < 1 or gap < 0:
         raise ValueError("n_init and step are at least 1, gap at least 0")
-    ords = group_order(rows, group, order)
-    folds = ords.where((F.col("ord") >= n_init) & ((F.col("ord") - n_init) % step == 0) & (F.col("ord") - gap >= 1)).select(F.col("ord").alias("fold"))
-    placed = _fan_out(rows.join(ords, group), folds)
-    role = F.when(F.col("ord") == F.col("fold"), "test").when(F.col("ord") < F.col("fold") - gap, "train")
-    return placed.withColumn("role", role).where("role IS NOT NULL").drop("ord")
+    ords = stash(group_order(rows, group, order), "group-order")
+    n = (ords.agg(F.max("ord")).first()[0] or 0) + 1
+    return _walk(rows.join(ords, group), "ord", n, n_init, step, gap, 1).drop("ord")
 
 
 def row_numbers(rows: DataFrame, order: str, out: str = "pos") -> DataFrame:
-    """rows with their place from 0 along an order, in two levels: inside range partitions, then over their sizes."""
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    local = stash(local, "row-numbers")  # partitions are told apart by their number, so it is written once
-    sizes = local.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return local.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_in") + F.col("_before")).cast("long").alias(out))
+    """rows with their place from 0 along an order."""
+    return ordering.placed(rows, order, out)
 
 
 def expanding_by_row(rows: DataFrame, n: int, n_init: int, step: int, gap: int = 0, pos: str = "pos") -> DataFrame:
     """Walk forward over rows: test is rows [start, start + step), training rows [0, start - gap); fold is start."""
     if n_init < 1 or step < 1 or gap < 0 or n_init >= n:
         raise ValueError("n_init lies in [1, n), step is at least 1 and gap at least 0")
-    folds = rows.sparkSession.range(n_init, n, step).select(F.col("id").alias("fold")).where(F.col("fold") - gap >= 1)
-    placed = _fan_out(rows, folds)
-    role = F.when((F.col(pos) >= F.col("fold")) & (F.col(pos) < F.col("fold") + step), "test").when(F.col(pos) < F.col("fold") - gap, "train")
-    return placed.withColumn("role", role).where("role IS NOT NULL")
+    return _walk(rows, pos, n, n_init, step, gap, step)
 
 
 def chronological(rows: DataFrame, n: int, fraction: float = 0.7, gap: int = 0, pos: str = "pos") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochfold.operators import ordering
+
 
 def lag_pairs(features: DataFrame, lags: list[int], at: str, step: int = 1, column: str = "features") -> DataFrame:
     """lag, a, b: features of rows whose `at` differ by exactly lag * step; a join by key, whatever the gaps."""
@@ -35,8 +37,7 @@ def lag_autocorrelation(features: DataFrame, lags: list[int], at: str, step: int
 
 def time_gaps(windows: DataFrame, win: int, at: str = "start") -> DataFrame:
     """One row: pairs of neighbours along time, and those that aren't adjacent."""
-    d = F.lead(at).over(Window.orderBy(at)) - F.col(at)
-    return windows.select(d.alias("d")).where("d IS NOT NULL").agg(F.count("*").alias("n_adjacent"), F.count_if(F.col("d") != win).alias("n_gapped"))
+    return ordering.steps(windows, at, win)
 
 
 def choose_gap(report: DataFrame, threshold: float = 0.30) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochfold.operators import ordering
+
 #: Samples in a chunk of the two-level block numbering.
 CHUNK = 1 << 16
 
@@ -104,13 +106,11 @@ def label_blocks(samples: DataFrame, label: str = "y", idx: str = "sample_idx",
 def super_blocks(windows: DataFrame, per_super: int, block: str = "block", order: str = "start") -> DataFrame:
     """block, super_block: blocks in first-seen order, per_super to each; a remainder joins the last complete one.
 
-    A row a block is ranked, not the windows.
+    A row a block is placed, by ranges of the order, not the windows.
     """
     if per_super < 1:
         raise ValueError("a super-block holds at least one block")
-    b = windows.groupBy(block).agg(F.min(order).alias("_seen"))
-    every = Window.orderBy("_seen")
-    b = b.select(block, (F.row_number().over(every) - 1).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    b = ordering.placed(windows.groupBy(block).agg(F.min(order).alias("_seen")), "_seen", "_i", total="_n")
     whole, own = F.expr(f"_n div {per_super}"), F.expr(f"_i div {per_super}")
     return b.select(block, F.when((whole >= 1) & (own >= whole), whole - 1).otherwise(own).cast("long").alias("super_block"))
 

@@ -12,6 +12,7 @@ from epochfold.operators import windows as W
 from epochfold.plans import signal_queries as S
 from epochfold.plans.fit_sql import fit_sql, solve_sql
 from epochfold.plans.signal_queries import BANDS, EIGHT, power_sql, r8
+from epochfold.session import stash
 from epochfold.sources import edf, results
 from epochfold.sources import fixtures as X
 from epochfold.sources.fixtures import WINDOW, views
@@ -40,7 +41,8 @@ def _windows(s, d):
 
 
 def splits_expanding_group(s, d):
-    return splits.expanding_by_group(_windows(s, d), "block", "start", LEAST_TRAIN, 2, 1).select("fold", "start", "role")
+    w = stash(_windows(s, d), "windows")
+    return splits.expanding_by_group(w, "block", "start", LEAST_TRAIN, 2, 1).select("fold", "start", "role")
 
 
 def splits_expanding_row(s, d):

@@ -18,15 +18,17 @@ from epochfold.operators.models import ModelSpec
 from epochfold.sources import edf
 
 
-def clipped_power(split: DataFrame, keys: list[str], row_id: str, sfreq: float, bands: dict, n_times: int, channels: str = "channels") -> DataFrame:
+def clipped_power(split: DataFrame, keys: list[str], row_id: str, sfreq: float, bands: dict, n_times: int, rows: DataFrame, group: str, channels: str = "channels") -> DataFrame:
     """A split's rows with features: each fold's channels clipped at limits of its training rows, then band power.
 
-    Features are channel-major, then by band. split has channels: array<struct<name, x>>.
+    Features are channel-major, then by band. split has channels: array<struct<name, x>>. rows are the split's, each
+    once, and group the column of both by which a fold takes rows for training: all of a group or none of it.
     """
     rest = [c for c in split.columns if c != channels]
     one = split.select(*rest, F.posexplode(channels).alias("channel_ord", "_c")).select(*rest, "channel_ord", F.col("_c.x").alias("x"))
-    train = one.where("role = 'train'").select(*keys, "channel_ord", F.explode("x").alias("v"))
-    fitted = K.Clipper().fit(train, [*keys, "channel_ord"]).limits
+    values = rows.select(F.col(group).alias("_group"), F.posexplode(channels).alias("channel_ord", "_c")).select("_group", "channel_ord", F.explode("_c.x").alias("v"))
+    trained = split.where("role = 'train'").select(*keys, F.col(group).alias("_group"))
+    fitted = K.fold_limits(values, trained, keys, "_group", ["channel_ord"])
     power = spectral.band_power(K.clip_arrays(one, fitted, [*keys, "channel_ord"]), sfreq, bands, n_times, out="_f")
     listed = F.array_sort(F.collect_list(F.struct("channel_ord", "_f")))
     return power.groupBy(*rest).agg(F.flatten(F.transform(listed, lambda s: s["_f"])).alias("features"))
@@ -38,7 +40,7 @@ def temporal_diagnostic(windows: DataFrame, n: int, fraction: float, sfreq: floa
     windows(start, channels, pos); a gap that isn't defined raises in the caller, as a run can't go on without one.
     """
     prefix = windows.where(F.col("pos") < int(fraction * n)).withColumn("fold", F.lit(0)).withColumn("role", F.lit("train"))
-    report = T.lag_autocorrelation(clipped_power(prefix, ["fold"], "start", sfreq, bands, win), lags, "start", win)
+    report = T.lag_autocorrelation(clipped_power(prefix, ["fold"], "start", sfreq, bands, win, prefix, "role"), lags, "start", win)
     return report, T.choose_gap(report, threshold)
 
 
@@ -64,25 +66,26 @@ def recording_job(samples: DataFrame, channels: list[str], sfreq: float, bands:
         raise RuntimeError(f"the temporal gap is {chosen['reason']}")
     spec = ModelSpec()
 
-    def score(split: DataFrame, strict: bool) -> E.Report:
-        f = clipped_power(split, ["fold"], "start", sfreq, bands, win)
+    def score(split: DataFrame, strict: bool, rows: DataFrame, group: str) -> E.Report:
+        f = clipped_power(split, ["fold"], "start", sfreq, bands, win, rows, group)
         return E.report(models.fit_folds(f, ["fold"], "start", spec, strict=strict), ["fold"], "fold", n_boot, seed)
 
     def secondary() -> dict:
-        f = clipped_power(splits.leave_one_group_out(w, "super_block"), ["fold"], "start", sfreq, bands, win).persist()
+        f = clipped_power(splits.leave_one_group_out(w, "super_block"), ["fold"], "start", sfreq, bands, win, w, "super_block").persist()
         kernel = models.fit_folds(f, ["fold"], "start", ModelSpec("svm_rbf", {"c": 1.0, "balanced": False}))
         forest = models.random_forest(f, "fold", "start", trees, seed)
         got = {name: E.report(p, ["fold"], "fold", n_boot, seed).to_dict() for name, p in (("svm_rbf", kernel), ("random_forest", forest))}
         f.unpersist()
         return got
 
-    naive = splits.roles_of(splits.stratified_kfold(w, "y", "start", 5, seed), 5)
+    dealt = splits.stratified_kfold(w, "y", "start", 5, seed).withColumn("part", F.col("fold"))
+    split = splits.chronological(w, n, 0.7, chosen["gap"])
     out = {
-        "naive": score(naive, False).to_dict()["pooled"],
-        "chronological": score(splits.chronological(w, n, 0.7, chosen["gap"]), False).to_dict(),
-        "expanding": score(splits.expanding_by_group(w, "block", "start", n_init), True).to_dict(),
-        "merged_blocks": score(splits.leave_one_group_out(w, "super_block"), True).to_dict(),
-        "native_blocks": score(splits.leave_one_group_out(w, "block"), True).to_dict(),
+        "naive": score(splits.roles_of(dealt, 5), False, dealt, "part").to_dict()["pooled"],
+        "chronological": score(split, False, split, "role").to_dict(),
+        "expanding": score(splits.expanding_by_group(w, "block", "start", n_init), True, w, "block").to_dict(),
+        "merged_blocks": score(splits.leave_one_group_out(w, "super_block"), True, w, "super_block").to_dict(),
+        "native_blocks": score(splits.leave_one_group_out(w, "block"), True, w, "block").to_dict(),
         "secondary": secondary(),
         "merged_blocks_prior": E.evaluate_loso(w, "super_block", "start", dummy="prior", n_boot=n_boot, seed=seed).to_dict(),
         "class_summary": [r.asDict() for r in W.class_summary(w, "super_block", "y").collect()],

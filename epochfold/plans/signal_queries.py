@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from epochfold.operators import clip as K
-from epochfold.operators import spatial, spectral, splits
+from epochfold.operators import spatial, spectral
 from epochfold.operators import windows as W
 from epochfold.sources import fixtures as X
 from epochfold.sources.fixtures import TRIAL_FS, TRIAL_SAMPLES, WINDOW, views
@@ -71,20 +71,21 @@ def super_block_class_summary(s, d):
     return W.class_summary(w.join(W.super_blocks(w, 4), "block"), "super_block")
 
 
-def _fold_samples(s, d):
-    split = splits.leave_one_group_out(X.trials(s, d), "subject")
-    return split.select("fold", "role", "epoch_id", F.explode("x").alias("v"))
+def _subject_limits(s, d):
+    """Limits of the training samples of each fold that leaves a subject out."""
+    t = X.trials(s, d)
+    held = t.select("subject", F.col("subject").alias("fold")).distinct()
+    return K.fold_limits(t.select("subject", F.explode("x").alias("v")), held, ["fold"], "subject", held_out=True)
 
 
 def clip_thresholds_by_fold(s, d):
-    lim = K.limits(_fold_samples(s, d).where("role = 'train'"), ["fold"])
-    return lim.select("fold", r8("lo").alias("lo"), r8("hi").alias("hi"))
+    return _subject_limits(s, d).select("fold", r8("lo").alias("lo"), r8("hi").alias("hi"))
 
 
 def clipped_samples(s, d):
-    split = splits.leave_one_group_out(X.trials(s, d), "subject")
-    lim = K.limits(split.where("role = 'train'").select("fold", F.explode("x").alias("v")), ["fold"])
-    c = K.clip_arrays(split.where("role = 'test'").withColumn("raw", F.col("x")), lim, ["fold"])
+    """Each trial clipped in the one fold that tests it."""
+    own = X.trials(s, d).withColumn("fold", F.col("subject")).withColumn("raw", F.col("x"))
+    c = K.clip_arrays(own, _subject_limits(s, d), ["fold"])
     changed = F.size(F.filter(F.zip_with("x", "raw", lambda a, b: a != b), lambda t: t)).cast("long")
     return c.select("fold", "epoch_id", changed.alias("n_clipped"), r8(F.aggregate("x", F.lit(0.0).cast("double"), lambda a, v: a + v)).alias("sum_x"))
 

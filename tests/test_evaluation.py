@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from epochfold.functions import kernels as K
 from epochfold.operators import evaluate as E
 from epochfold.operators import metrics as M
-from epochfold.operators import models, resample, splits
+from epochfold.operators import models, ordering, resample, splits
 from epochfold.operators import temporal as T
 
 SPEC = models.ModelSpec()
@@ -278,3 +278,30 @@ def test_merged_moments_are_those_of_the_training_rows(spark):
     split = splits.leave_one_group_out(long, "g")
     key = lambda r: (r.fold, r.row, r.y, r.pred, round(r.proba, 6))
     assert sorted(map(key, models.loso_centroid(long, "g", "row").collect())) == sorted(map(key, models.centroid(split, ["fold"], "row").collect()))
+
+
+def test_places_and_steps_over_many_ranges(spark):
+    at = [3 * i + (i > 500) for i in range(1000)]
+    df = spark.createDataFrame([(t, t % 7) for t in at], "t long, v long").repartition(6)
+    got = ordering.placed(df, "t", "pos", before={"was": "v"}, total="n").orderBy("t").collect()
+    assert [(r.t, r.pos, r.n) for r in got] == [(t, i, 1000) for i, t in enumerate(at)]
+    assert [r.was for r in got] == [None, *[t % 7 for t in at[:-1]]]
+    assert tuple(ordering.steps(df, "t", 3).first()) == (999, 1)
+    assert tuple(ordering.steps(df.where("false"), "t", 3).first()) == (0, 0)
+    assert ordering.placed(df.where("false"), "t").count() == 0
+
+
+@pytest.mark.parametrize(("n_init", "step", "gap"), [(1, 1, 0), (2, 3, 1), (1, 2, 4), (3, 1, 7), (5, 4, 2), (1, 1, 30)])
+def test_walks_equal_loops(spark, n_init, step, gap):
+    n = 23
+    df = spark.range(n).withColumnRenamed("id", "pos").withColumn("g", F.col("pos"))
+    want_rows, want_groups = set(), set()
+    for f in range(n_init, n, step):
+        if f - gap < 1:
+            continue
+        want_rows |= {(f, p, "test") for p in range(f, min(n, f + step))} | {(f, p, "train") for p in range(f - gap)}
+        want_groups |= {(f, f, "test")} | {(f, p, "train") for p in range(f - gap)}
+    got = splits.expanding_by_row(df, n, n_init, step, gap).select("fold", "pos", "role").collect()
+    assert len(got) == len(want_rows) and {tuple(r) for r in got} == want_rows
+    got = splits.expanding_by_group(df, "g", "pos", n_init, step, gap).select("fold", "pos", "role").collect()
+    assert len(got) == len(want_groups) and {tuple(r) for r in got} == want_groups

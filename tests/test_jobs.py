@@ -35,7 +35,8 @@ def test_clipping_is_fitted_in_each_fold(spark):
     wild = [(r, g, y, [("A", [v * 1e6 for v in c[0][1]])]) if g == 2 else (r, g, y, c) for r, g, y, c in rows]
     out = []
     for data in (rows, wild):
-        f = jobs.clipped_power(splits.leave_one_group_out(spark.createDataFrame(data, kind), "g"), ["fold"], "row", 32.0, BANDS, 32)
+        rows = spark.createDataFrame(data, kind)
+        f = jobs.clipped_power(splits.leave_one_group_out(rows, "g"), ["fold"], "row", 32.0, BANDS, 32, rows, "g")
         out.append({r.row: r.features for r in f.where("fold = 2 AND role = 'train'").collect()})
         assert f.count() == 90
     assert out[0] == out[1]

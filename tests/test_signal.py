@@ -123,13 +123,32 @@ def test_clipping_reads_training_rows_alone(spark):
     assert fixed.transform(spark.createDataFrame([(0, 9.0)], "fold int, v double")).first().v == 1.0
 
 
-def test_exact_limits_for_large_data(spark):
+LIMIT_DATA = {0: lambda r: r.normal(size=20_000), 1: lambda r: r.integers(0, 5, 3_000).astype(float), 2: lambda r: np.array([1.0, 2.0, 4.0]), 3: lambda r: np.array([-1e308, 1e308, 5e-324, 0.0]), 4: lambda r: 10.0 ** r.uniform(-300, 300, 500)}
+
+
+@pytest.mark.parametrize("held_out", [True, False])
+def test_limits_of_all_folds_in_one_pass(spark, held_out):
     rng = np.random.default_rng(3)
-    data = {0: rng.normal(size=20_000), 1: rng.integers(0, 5, 3_000).astype(float), 2: np.array([1.0, 2.0, 4.0])}
-    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x], "fold int, v double").repartition(5)
-    got = {r.fold: (r.lo, r.hi) for r in clip.exact_limits(df, ["fold"], accuracy=1000).collect()}
-    for k, x in data.items():
-        assert np.allclose(got[k], np.quantile(x, [0.001, 0.999]))
+    data = {k: make(rng) for k, make in LIMIT_DATA.items()}
+    df = spark.createDataFrame([(k, c, float(v)) for k, x in data.items() for c in ("a", "b") for v in (x if c == "a" else -x)] + [(1, "a", None), (None, "a", 9.0)], "g int, c string, v double").repartition(5)
+    pairs = [(f, f) for f in data] if held_out else [(f, g) for f in data for g in data if g <= f]
+    got = {(r.fold, r.c): (r.lo, r.hi) for r in clip.fold_limits(df, spark.createDataFrame(pairs, "fold int, g int"), ["fold"], "g", ["c"], low=0.01, high=0.95, held_out=held_out, buckets=64).collect()}
+    assert len(got) == 10
+    for (f, c), lim in got.items():
+        train = np.concatenate([x for g, x in data.items() if (g != f if held_out else g <= f)])
+        assert np.allclose(lim, np.quantile(train if c == "a" else -train, [0.01, 0.95]), rtol=1e-12, atol=0)
+
+
+def test_limits_of_a_fold_ignore_what_it_does_not_train_on(spark):
+    rng = np.random.default_rng(5)
+    make = lambda scale: spark.createDataFrame([(g, float(v)) for g in range(3) for v in rng_of[g] * (scale if g == 2 else 1)], "g int, v double")
+    rng_of = {g: rng.normal(size=400) for g in range(3)}
+    held = spark.createDataFrame([(2, 2)], "fold int, g int")
+    one, other = (clip.fold_limits(make(k), held, ["fold"], "g", held_out=True).first() for k in (1.0, 1e6))
+    assert one == other
+    with pytest.raises(ValueError, match="finite"):
+        clip.fold_limits(spark.createDataFrame([(0, float("nan"))], "g int, v double"), held, ["fold"], "g")
+    assert clip.fold_limits(spark.createDataFrame([], "g int, v double"), held, ["fold"], "g").count() == 0
 
 
 def test_regions(spark):
