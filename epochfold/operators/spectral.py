@@ -68,6 +68,14 @@ def channel_band_power(epochs: DataFrame, keys: list[str], sfreq: float, bands:
     return long_features(power, [*keys, "channel_ord", "channel"], list(bands))
 
 
+def channel_features(epochs: DataFrame, keys: list[str], sfreq: float, bands: dict, n_times: int, channels: str = "channels", out: str = "features") -> DataFrame:
+    """keys with one array of band powers an epoch, channel by channel and band by band, as feature_names tells them."""
+    one = epochs.select(*keys, F.posexplode(channels).alias("_ord", "_c")).select(*keys, "_ord", F.col("_c.x").alias("_x"))
+    power = band_power(one, sfreq, bands, n_times, x="_x", out="_f")
+    listed = F.array_sort(F.collect_list(F.struct("_ord", "_f")))
+    return power.groupBy(*keys).agg(F.flatten(F.transform(listed, lambda c: c["_f"])).alias(out))
+
+
 def feature_names(channels: list[str], bands: dict) -> list[str]:
     return [f"{c}_{b}" for c in channels for b in bands]
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from epochfold.plans import motor_cache
 from epochfold.sources import arff, edf, results
 
 
@@ -80,6 +81,37 @@ def test_trials(spark, tmp_path):
         edf.trials(edf.files(spark, str(tmp_path)), sfreq=100.0, channels=("C3",)).collect()
 
 
+def test_subjects_that_cannot_be_loaded_are_named(spark, tmp_path):
+    x = np.arange(160 * 6)
+    put(tmp_path, "S001/S001R04.edf", recording({"C3": x}, 160, 6, [(1.0, "T1")]))
+    put(tmp_path, "S002/S002R03.edf", recording({"C3": x}, 160, 6, [(1.0, "T1"), (2.0, "T2")]))
+    put(tmp_path, "S003/S003R04.edf", recording({"C3": x}, 160, 6, [(1.0, "T1"), (2.0, "T2")]))
+    found = edf.files(spark, str(tmp_path))
+    with pytest.raises(RuntimeError) as e:
+        edf.load_all(found, ("S001", "S002", "S003", "S004"), channels=("C3",))
+    assert str(e.value).splitlines() == ["3 subjects can't be loaded:", "S001: fewer than two classes are marked", "S002: no recording of the wanted runs", "S004: no recording of the wanted runs"]
+    assert edf.load_all(found, ("S003",), channels=("C3",)).count() == 2
+
+
+def test_motor_cache(spark, tmp_path):
+    fs, sec = 160, 12
+    wave = np.round(1000 * np.sin(2 * np.pi * 10 * np.arange(fs * sec) / fs)).astype(int)
+    for subject in ("S001", "S002"):
+        for run in (4, 8):
+            put(tmp_path, f"in/{subject}/{subject}R{run:02d}.edf", recording({"C3..": wave, "Cz..": wave // 2}, fs, sec, [(1.0, "T1"), (5.0, "T2")]))
+    ask = lambda at: motor_cache.build(spark, str(tmp_path / "in"), str(tmp_path / at), ("S001", "S002"), (4, 8), ("CZ", "C3"))
+    rows, told = ask("cache")
+    got = rows.orderBy("trial_id").collect()
+    assert [r.trial_id for r in got] == [f"S00{s}_R{run:02d}_T00{k}" for s in (1, 2) for run in (4, 8) for k in (0, 1)]
+    assert told["feature_names"] == ["CZ_mu", "CZ_beta", "C3_mu", "C3_beta"] and (told["n_trials"], told["n_features"], told["n_subjects"]) == (8, 4, 2)
+    mu, c3 = got[0].features[0], got[0].features[2]
+    assert mu > 100 * got[0].features[1] and c3 / mu == pytest.approx(4, rel=0.01)
+    one = told["per_subject"][1]
+    assert (one["subject_id"], one["subject_index"], one["n_trials"], one["n_left"], one["n_right"], one["run_trial_counts"]) == ("S002", 1, 4, 2, 2, {4: 2, 8: 2})
+    assert [f["path"].rsplit("/", 1)[1] for f in one["source_files"]] == ["S002R04.edf", "S002R08.edf"] and len(one["source_files"][0]["sha256"]) == 64
+    assert {**ask("cache")[1]} == told and json.loads(json.dumps(told))["imagery_runs"] == [4, 8]
+
+
 def test_arff(spark, tmp_path):
     (tmp_path / "x.arff").write_text("@RELATION eeg\n\n@ATTRIBUTE AF3 NUMERIC\n@attribute 'F7' NUMERIC\n@ATTRIBUTE eyeDetection {0,1}\n@DATA\n1.5,2,0\n% note\n3,4.25,1\n\n")
     got = arff.read(spark, str(tmp_path / "x.arff")).orderBy("sample_idx").collect()
