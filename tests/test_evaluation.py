@@ -176,6 +176,30 @@ def test_svm_parts_rings():
     assert ((K.sigmoid(K.svm_score(m, x) * m["w"] + m["b"]) > 0.5) == y).mean() > 0.98
 
 
+def test_svm_in_sets_of_rows_is_the_same_machine(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 4))
+    y = ((x**2).sum(axis=1) + rng.normal(0, 2, 900) > 4).astype(int)
+    whole = K.svm_score(K.rbf_svm(x[:600], y[:600], balanced=False), x[600:])
+    monkeypatch.setattr(K, "SET", 128)
+    parts = K.svm_score(K.rbf_svm(x[:600], y[:600], balanced=False), x[600:])
+    assert np.abs(whole - parts).max() < 5e-3
+
+
+def test_svm_holds_no_table_of_all_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(6000, 4)), np.repeat([0, 1], 3000)
+    x[y == 1] += 6  # far apart, so that it ends at once
+    tracemalloc.start()
+    m = K.rbf_svm(x, y)
+    said = K.svm_score(m, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6 < x.shape[0] ** 2 * 8 and ((said > 0) == y).mean() > 0.999
+
+
 def test_bootstrap_parity_and_paired(spark):
     v = [0.5, 0.6, 0.55, 0.7]
     df = spark.createDataFrame([("m", i, x) for i, x in enumerate(v)], "metric string, s int, value double")
