@@ -14,6 +14,8 @@ from epochfold.session import stash
 
 #: Groups of a fan-out split are held in one array a row; more than this many would multiply the data too far.
 MOST_FOLDS = 10_000
+#: Rows of a walk forward that a task spells out on average.
+SPELLED = 5_000_000
 
 
 def _fan_out(rows: DataFrame, folds: DataFrame, most: int = MOST_FOLDS) -> DataFrame:
@@ -46,31 +48,36 @@ def valid_folds(split: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
 
 
 def group_order(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """group, ord: the groups' place, from 0, by their first row; a group id that falls along the order raises."""
-    g = rows.groupBy(group).agg(F.min(order).alias("_at"))
+    """group, ord, n_rows: the groups' place, from 0, by their first row; a group id that falls along the order raises."""
+    g = rows.groupBy(group).agg(F.min(order).alias("_at"), F.count("*").alias("n_rows"))
     g = ordering.placed(g, "_at", "ord", before={"_before": group})
     falls = F.col("_before").isNotNull() & (F.col("_before") > F.col(group))
-    return g.select(group, F.when(falls, F.raise_error(F.lit("group ids must not decrease along the order")).cast("long")).otherwise(F.col("ord")).alias("ord"))
+    return g.select(group, F.when(falls, F.raise_error(F.lit("group ids must not decrease along the order")).cast("long")).otherwise(F.col("ord")).alias("ord"), "n_rows")
 
 
-def _walk(rows: DataFrame, place: str, n: int, n_init: int, step: int, gap: int, width: int) -> DataFrame:
+def _walk(rows: DataFrame, place: str, n: int, n_init: int, step: int, gap: int, width: int, n_rows: int, spread: str) -> DataFrame:
     """rows with fold and role: folds start at n_init, every step places, before n, and train on places below fold - gap.
 
-    A row's folds follow from its place, so they are spelled out in it: no fold is joined to the rows.
+    A row's folds follow from its place, so they are spelled out in it: no fold is joined to the rows. They are whole
+    numbers alone, as the role follows from fold and place. Early rows have the most folds, and a few MB of rows may have
+    billions, so the n_rows rows are dealt out by the hash of spread, a task for each SPELLED of the result.
     """
     first = n_init + -(-max(0, gap + 1 - n_init) // step) * step
     last = n_init + (n - 1 - n_init) // step * step
     if first > last:
         return rows.withColumns({"fold": F.lit(0).cast("long"), "role": F.lit("train")}).where("false")
+    # a fold trains on the places before it: (first + last) / 2 of n on average
+    total = ((last - first) // step + 1) * (first + last) * n_rows // (2 * n)
+    if total > SPELLED:
+        rows = rows.repartition(-(-total // SPELLED), spread)
     p = F.col(place)
     own = first + F.floor((p - first) / step) * step
     test = (p >= first) & (p - own < width) & (own <= last)
     start = first + F.ceil(F.greatest(F.lit(0).cast("long"), p + gap + 1 - first) / step) * step
-    train = F.when(start <= last, F.transform(F.sequence(start, F.lit(last).cast("long"), F.lit(step).cast("long")), lambda f: F.struct(f.alias("fold"), F.lit("train").alias("role"))))
-    tested = F.when(test, F.array(F.struct(own.alias("fold"), F.lit("test").alias("role"))))
-    none = F.array().cast("array<struct<fold:bigint,role:string>>")
-    spread = rows.withColumn("_w", F.explode(F.concat(F.coalesce(tested, none), F.coalesce(train, none))))
-    return spread.withColumns({"fold": F.col("_w.fold"), "role": F.col("_w.role")}).drop("_w")
+    train = F.when(start <= last, F.sequence(start, F.lit(last).cast("long"), F.lit(step).cast("long")))
+    none = F.array().cast("array<bigint>")
+    spelled = rows.withColumn("fold", F.explode(F.concat(F.when(test, F.array(own)).otherwise(none), F.coalesce(train, none))))
+    return spelled.withColumn("role", F.when(F.col("fold") <= p, "test").otherwise("train"))
 
 
 def expanding_by_group(rows: DataFrame, group: str, order: str, n_init: int, step: int = 1, gap: int = 0) -> DataFrame:
@@ -78,8 +85,8 @@ def expanding_by_group(rows: DataFrame, group: str, order: str, n_init: int, ste
     if n_init < 1 or step < 1 or gap < 0:
         raise ValueError("n_init and step are at least 1, gap at least 0")
     ords = stash(group_order(rows, group, order), "group-order")
-    n = (ords.agg(F.max("ord")).first()[0] or 0) + 1
-    return _walk(rows.join(ords, group), "ord", n, n_init, step, gap, 1).drop("ord")
+    last, n_rows = ords.agg(F.max("ord"), F.sum("n_rows")).first()
+    return _walk(rows.join(ords.drop("n_rows"), group), "ord", (last or 0) + 1, n_init, step, gap, 1, n_rows or 0, order).drop("ord")
 
 
 def row_numbers(rows: DataFrame, order: str, out: str = "pos") -> DataFrame:
@@ -91,7 +98,7 @@ def expanding_by_row(rows: DataFrame, n: int, n_init: int, step: int, gap: int =
     """Walk forward over rows: test is rows [start, start + step), training rows [0, start - gap); fold is start."""
     if n_init < 1 or step < 1 or gap < 0 or n_init >= n:
         raise ValueError("n_init lies in [1, n), step is at least 1 and gap at least 0")
-    return _walk(rows, pos, n, n_init, step, gap, step)
+    return _walk(rows, pos, n, n_init, step, gap, step, n, pos)
 
 
 def chronological(rows: DataFrame, n: int, fraction: float = 0.7, gap: int = 0, pos: str = "pos") -> DataFrame:

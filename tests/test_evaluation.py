@@ -329,3 +329,13 @@ def test_walks_equal_loops(spark, n_init, step, gap):
     assert len(got) == len(want_rows) and {tuple(r) for r in got} == want_rows
     got = splits.expanding_by_group(df, "g", "pos", n_init, step, gap).select("fold", "pos", "role").collect()
     assert len(got) == len(want_groups) and {tuple(r) for r in got} == want_groups
+
+
+def test_walk_is_spelled_out_by_many_tasks(spark):
+    n = 40_000
+    df = spark.range(n).withColumnRenamed("id", "pos").coalesce(1)
+    per = [r["count"] for r in splits.expanding_by_row(df, n, 20, 50, 5).groupBy(F.spark_partition_id()).count().collect()]
+    folds = range(20, n, 50)
+    assert sum(per) == sum(f - 5 for f in folds) + n - 20 and len(per) > 2 and max(per) < 2 * sum(per) / len(per)
+    few = splits.expanding_by_group(df.where("pos < 2000").withColumn("g", F.expr("pos div 4")), "g", "pos", 5, 1)
+    assert few.count() == 4 * sum(f + 1 for f in range(5, 500))
