@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ from epochfold.llm import common as C
 #: Ids in a block at most, but for a single longer document; ids in a lane at least; most lanes; waves between lessons.
 BLOCK, LANE, LANES, LESSON = 1 << 21, 256, 4096, 256
 _MIX_BITS, _LIT_BITS, _SLOT_BITS = 16, 22, 18
+#: Bits of a share's guide, and ids that are tried from it onwards before the rest is searched for.
+_GUIDE_BITS, _FORWARD = 16, 2
+#: Waves that are told at once: few enough for the processor's own memory.
+WAVES = 16
 #: Borders of how often a row was met, and of how many ids share it, between which its sureness is kept apart.
 _MET, _SHARED = np.array([2, 4, 16, 64]), np.array([2, 8])
 _SURE, _MOST = 2 + len(_MET) * 3 + len(_SHARED), 4
@@ -167,10 +172,12 @@ class _Rows:
         self.end = self.start + self.freq
         # sureness of a row: how often it was met, and how many ids share it; 0 stands last, for no row
         self.sure = np.append(1 + np.searchsorted(_MET, total, side="right") * 3 + np.searchsorted(_SHARED, held, side="right"), 0)
-        self.places, self.guide = _Lookup(self.keys), None
+        self.id_of = self.keys - context * self.size
+        self.places, self.guide = None, None
 
     def place(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The place of each id in its context's row, or -1."""
+        self.places = self.places or _Lookup(self.keys)
         return self.places.find(context * self.size + ids)
 
     def told(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -186,6 +193,9 @@ class _Rows:
             on = on[self.end.take(at[on]) <= v[on]]
         return at
 
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.id_of.take(at)
+
 
 class _Model:
     """What a block has taught so far; the same on both sides. It is taught in lessons, between which it stands still."""
@@ -210,7 +220,7 @@ class _Model:
         if total:
             self.freq += (self.counts * (room / total)).astype(np.int64)
         self.freq[0] += (1 << _LIT_BITS) - int(self.freq.sum())
-        self.start = np.cumsum(self.freq) - self.freq
+        self.start, self.guide = np.cumsum(self.freq) - self.freq, None
         self.row_of = np.full(self.size, -1)
         self.row_of[self.one.contexts] = np.arange(len(self.one.contexts))
         self.sure1 = self.one.sure.take(self.row_of)
@@ -233,6 +243,19 @@ class _Model:
         kind[at], start[at], freq[at] = 1, self.one.start.take(place), self.one.freq.take(place)
         return kind, start, freq
 
+    def told(self, v: np.ndarray) -> np.ndarray:
+        """The id whose share of order 0 holds v: from the guide for v's upper bits, onwards."""
+        if self.guide is None:
+            self.guide = np.searchsorted(self.start, np.arange(1 << _GUIDE_BITS) << (_LIT_BITS - _GUIDE_BITS), side="right") - 1
+            self.end = self.start + self.freq
+        at = self.guide.take(v >> (_LIT_BITS - _GUIDE_BITS))
+        for _ in range(_FORWARD):
+            at += self.end.take(at) <= v
+        on = np.flatnonzero(self.end.take(at) <= v)
+        if len(on):
+            at[on] = np.searchsorted(self.start, v[on], side="right") - 1
+        return at
+
     def lesson(self, slot: np.ndarray, before1: np.ndarray, ids: np.ndarray, mix: np.ndarray, kind: np.ndarray) -> None:
         self.one.add(before1, ids)
         self.counts += np.bincount(ids, minlength=self.size)
@@ -269,15 +292,21 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     grid[2:] = flat.reshape(lanes, steps).T
     coder, model = _Coder(lanes, steps), _Model(size)
     for a, b in _lessons(steps):
-        now, before1, before2 = (grid[a + k : b + k].ravel() for k in (2, 1, 0))
-        slot, says, mix = model.look(before2, before1)
-        kind, start, freq = model.tell(says, before1, now)
-        parts = (model.edge.take(mix * 3 + kind), model.share.take(mix * 3 + kind), start, freq)
-        for edge, share, at, width in zip(*(x.astype(np.uint64).reshape(b - a, lanes) for x in parts), strict=True):
-            coder.put(edge, share, _MIX_BITS)
-            coder.put(at, width, _LIT_BITS)
+        said = []
+        for c in range(a, b, WAVES):
+            d = min(b, c + WAVES)
+            now, before1, before2 = (grid[c + k : d + k].ravel() for k in (2, 1, 0))
+            slot, says, mix = model.look(before2, before1)
+            kind, start, freq = model.tell(says, before1, now)
+            at = mix * 3 + kind
+            parts = (model.edge.take(at), model.share.take(at), start, freq)
+            for edge, share, at, width in zip(*(x.astype(np.uint64).reshape(d - c, lanes) for x in parts), strict=True):
+                coder.put(edge, share, _MIX_BITS)
+                coder.put(at, width, _LIT_BITS)
+            if b < steps:
+                said.append((slot, before1, now, mix, kind))
         if b < steps:
-            model.lesson(slot, before1, now, mix, kind)
+            model.lesson(*(np.concatenate(x) for x in zip(*said, strict=True)))
     words, ends = coder.finish()
     tail = np.asarray(lengths, "<u4").tobytes() + ends.astype("<u4").tobytes() + words.astype("<u4").tobytes()
     return _HEAD.pack(_MAGIC, n, size, len(lengths), lanes, zlib.crc32(np.asarray(ids, "<u4").tobytes())) + tail
@@ -312,13 +341,14 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             own = np.flatnonzero((kind == 1) & (row >= 0))
             if len(own):
                 at = model.one.told(row.take(own), v.take(own))
-                now[own], start[own], freq[own] = model.one.keys.take(at) % size, model.one.start.take(at), model.one.freq.take(at)
+                now[own], start[own], freq[own] = model.one.ids(at), model.one.start.take(at), model.one.freq.take(at)
             own = np.flatnonzero(kind == 2)
-            at = np.searchsorted(model.start, v.take(own), side="right") - 1
+            at = model.told(v.take(own))
             now[own], start[own], freq[own] = at, model.start.take(at), model.freq.take(at)
             coder.take(start.astype(np.uint64), freq.astype(np.uint64))
             grid[w + 2] = now
-            said.append((slot, before1, grid[w + 2], mix, kind))
+            if b < steps:
+                said.append((slot, before1, grid[w + 2], mix, kind))
         if b < steps:
             model.lesson(*(np.concatenate(x) for x in zip(*said, strict=True)))
     ids = grid[2:].T.ravel()[:n].astype(np.uint32)
@@ -358,7 +388,7 @@ class PieceEncoder:
         vocabulary = self.tok.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.known: dict[bytes, int] = {}
+        self.known, self.stored = pa.array([], pa.binary()), []
         self.ids, self.fill = np.zeros(1 << 20, np.int32), 0
         self.ends, self.count = np.zeros(1 << 18, np.int64), 0
 
@@ -392,7 +422,7 @@ class PieceEncoder:
         self.ids[self.fill : self.fill + len(ids)] = ids
         if self.count + len(pieces) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(pieces), np.int64)])
-        self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.stored += pieces
         self.ends[self.count + 1 : self.count + 1 + len(pieces)] = ends + self.fill
         self.count += len(pieces)
         self.fill += len(ids)
@@ -432,13 +462,20 @@ class PieceEncoder:
             starts, per_text = self._pieces(raw, edges)
             bounds = np.append(starts, len(raw)).astype(np.int32)
             coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            new = [p for p in distinct if p not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                self.count, self.fill, new = 0, 0, distinct
-            self._learn(new)
-            known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            at = pc.index_in(coded.dictionary, self.known)
+            if len(self.known) + at.null_count > REMEMBERED:
+                self.known = self.known[:0]
+                self.count, self.fill, at = 0, 0, pa.nulls(len(at), pa.int32())
+            if at.null_count:
+                new = at.is_null()
+                self._learn(coded.dictionary.filter(new).to_pylist())
+                more = pa.array(self.stored, pa.binary())
+                place = at.fill_null(0).to_numpy().copy()
+                place[new.to_numpy(zero_copy_only=False)] = pc.index_in(coded.dictionary.filter(new), more).to_numpy() + len(self.known)
+                self.known, self.stored = pa.concat_arrays([self.known, more]), []
+            else:
+                place = at.to_numpy()
+            known = place.take(coded.indices.to_numpy())
             ends = self.ends[: self.count + 1]
             size = (ends[1:] - ends[:-1])[known]
             stop = np.cumsum(size)

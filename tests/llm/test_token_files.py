@@ -94,3 +94,22 @@ def test_files_are_a_fifth_smaller_than_order_0(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 10 < 2").select("text").collect()
     ids = np.concatenate([np.append(x, 0) for x in T.encoder(queries.tokenizer_path()).encode([(r.text or "").encode() for r in rows])]).astype(np.uint32)[: T.BLOCK]
     assert len(T.encode_block(ids, np.array([len(ids)]))) <= 0.8 * entropy_bytes(ids)
+
+
+def test_order_0_ids_are_told_by_the_guide():
+    m = T._Model(5000)
+    rng = np.random.default_rng(3)
+    m.counts += np.minimum(rng.geometric(0.01, 5000) ** 3, 10**6) * (rng.random(5000) < 0.2)
+    m._shares()
+    v = np.concatenate([m.start, m.start + m.freq - 1, rng.integers(0, 1 << T._LIT_BITS, 10_000)])
+    assert np.array_equal(m.told(v), np.searchsorted(m.start, v, side="right") - 1)
+
+
+def test_pieces_forgotten_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 40)
+    enc = T.PieceEncoder(queries.tokenizer_path())
+    for k in range(6):
+        texts = [" ".join(f"word{j}x{i % 3}" for j in range(k, k + 9)) for i in range(4)]
+        got = enc.encode([t.encode() for t in texts])
+        assert [g.tolist() for g in got] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.known) == enc.count and not enc.stored
