@@ -34,6 +34,7 @@ ORDINARY_BYTES, TOXIC_BYTES, SEGMENT = 32768, 2048, 24
 WIDTHS = ((8, 4), (4, 2))
 LEVEL, RIDGE, THRESHOLD = 3, 3.0, 0.7
 _STEPS = range(2, 8)
+_AT_LEAST = np.array(_STEPS)
 N_FIGURES = len(WIDTHS) * (7 + len(_STEPS))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -48,6 +49,22 @@ def windows(own: list[bytes], width: int, step: int) -> list[bytes]:
     return [b" " + b" ".join(own[i : i + width]) for i in range(0, max(1, len(own) - width + step), step)]
 
 
+def _cuts(texts: list[str | None]) -> tuple[bytes, list[list[np.ndarray]]]:
+    """The texts' words end to end, a space before each, and where each text's windows of each width start and end there."""
+    body, cuts, at = [], [], 0
+    for own in map(words, texts):
+        part, n = b" " + b" ".join(own), len(own)
+        edges = np.full(n + 1, at)
+        if n:
+            np.cumsum(np.fromiter(map(len, own), np.int64, n) + 1, out=edges[1:])
+            edges[1:] += at
+        firsts = [np.arange(0, max(1, n - width + step), step) for width, step in WIDTHS]
+        cuts.append([np.stack([edges[i], edges[np.minimum(i + width, n)] if n else edges + 1]) for i, (width, _) in zip(firsts, WIDTHS, strict=True)])
+        body.append(part)
+        at += len(part)
+    return b"".join(body), cuts
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(level=LEVEL)
@@ -76,9 +93,15 @@ class Model:
     def savings(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """Bytes that the toxic dictionary saves, by text, width and window."""
         plain, both = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
-        lengths = lambda by, some: np.array([len(x) for x in by.multi_compress_to_buffer(some)])
-        saved = lambda some: lengths(plain, some) - lengths(both, some)
-        return [[saved(windows(own, *w)) for w in WIDTHS] for own in map(words, texts)]
+        if not texts:
+            return []
+        body, cuts = _cuts(texts)
+        starts, ends = np.concatenate([c for text in cuts for c in text], axis=1)
+        segments = np.stack([starts, ends - starts], axis=1).astype(np.uint64).tobytes()
+        lengths = lambda by: np.fromiter(map(len, by.multi_compress_to_buffer(zstandard.BufferWithSegments(body, segments))), np.int64, len(starts))
+        saved = lengths(plain) - lengths(both)
+        each = iter(np.split(saved, np.cumsum([c.shape[1] for text in cuts for c in text])[:-1]))
+        return [[next(each) for _ in WIDTHS] for _ in texts]
 
     def score(self, found: list[list[np.ndarray]]) -> np.ndarray:
         x = figures(found)
@@ -92,9 +115,11 @@ def figures(found: list[list[np.ndarray]]) -> np.ndarray:
     for text in found:
         row = []
         for d in text:
-            n, s = len(d), np.sort(d)[::-1]
-            row += [s[: max(1, n // 10)].mean(), s[:3].mean(), s[0], d.mean(), np.log(n), np.sqrt((d >= 5).sum()), (d >= 3).sum() / np.sqrt(n)]
-            row += [min(0.25, (d >= j).mean()) for j in _STEPS]
+            n, s = len(d), np.sort(d)
+            held = n - np.searchsorted(s, _AT_LEAST)  # windows that save at least so many bytes
+            most = s[::-1]
+            row += [most[: max(1, n // 10)].mean(), most[:3].mean(), most[0], d.mean(), np.log(n), np.sqrt(held[5 - _STEPS[0]]), held[3 - _STEPS[0]] / np.sqrt(n)]
+            row += np.minimum(0.25, held / n).tolist()
         rows.append(row)
     return np.array(rows, dtype=float).reshape(len(rows), N_FIGURES)
 

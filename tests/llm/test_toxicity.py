@@ -85,3 +85,15 @@ def test_odd_rows(spark):
     assert T.classify(df.limit(0), m).count() == 0
     empty = T.train(df.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
     assert len({r.score for r in T.classify(df, empty).collect()}) == 1
+
+
+def test_cuts_are_the_windows():
+    texts = [None, "", " \n", "One", "a b c d e f g h i", "\x00퟿ é x", *(" ".join(f"W{j}" for j in range(n)) for n in (4, 8, 11, 57))]
+    body, cuts = T._cuts(texts)
+    for text, own in zip(texts, cuts, strict=True):
+        for (width, step), (starts, ends) in zip(T.WIDTHS, own, strict=True):
+            assert [body[a:b] for a, b in zip(starts, ends, strict=True)] == T.windows(T.words(text), width, step)
+    m = T.Model(b"some ordinary words of many texts " * 4, b" wixquayz jhavokk quezzwal", *(np.zeros(0),) * 3, 0.0)
+    both, alone = m.savings([*texts, "so wixquayz is quezzwal"]), [m.savings([t])[0] for t in texts]
+    assert all(np.array_equal(a, b) for x, y in zip(both, alone, strict=False) for a, b in zip(x, y, strict=True)) and both[-1][0].max() > 3
+    assert m.savings([]) == []
