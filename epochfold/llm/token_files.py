@@ -27,73 +27,85 @@ from epochfold.llm import common as C
 
 #: Ids in a block at most, but for a single longer document; ids in a lane at least; most lanes; waves between lessons.
 BLOCK, LANE, LANES, LESSON = 1 << 21, 256, 4096, 256
-_MIX_BITS, _LIT_BITS, _SLOT_BITS = 16, 22, 18
-#: Bits of a share's guide, and ids that are tried from it onwards before the rest is searched for.
-_GUIDE_BITS, _FORWARD = 16, 2
+#: Bits of a mix's share, of an id's share in it, and of both; a range is 1 << _BITS at least. Bits of an order-2 slot.
+_MIX_BITS, _LIT_BITS, _BITS, _SLOT_BITS = 12, 20, 32, 18
+#: Parts of an order-1 row's guide for each id in it.
+_FINE = 2
+#: Bits of order 0's guide, and where the parts of a share and of a row start in their number.
+_GUIDE_BITS, _ID_BITS, _START_AT, _PARTS_AT, _FIRST_AT = 18, 17, 37, 5, 26
 #: Waves that are told at once: few enough for the processor's own memory.
 WAVES = 16
 #: Borders of how often a row was met, and of how many ids share it, between which its sureness is kept apart.
 _MET, _SHARED = np.array([2, 4, 16, 64]), np.array([2, 8])
 _SURE, _MOST = 2 + len(_MET) * 3 + len(_SHARED), 4
-MOST_ID = (1 << 17) - 1
+MOST_ID = (1 << _ID_BITS) - 1
 _HEAD = struct.Struct("<4sIIIII")
-_MAGIC = b"CMRC"
+_MAGIC = b"CMR2"
 
 
 class _Coder:
-    """Range coders side by side: 64-bit low and range, words of 32 bits, carries taken into words already out."""
+    """Range coders side by side: 64-bit low and range, words of 32 bits, carries taken into words already out.
 
-    def __init__(self, lanes: int, steps: int, words: np.ndarray | None = None, ends: np.ndarray | None = None):
+    Words lie in the order in which a decoder asks for them: two of each lane, then wave by wave those of the lanes
+    whose range has become small.
+    """
+
+    def __init__(self, lanes: int, steps: int, words: np.ndarray | None = None):
+        self.lanes = lanes
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
         if words is None:
             self.low = np.zeros(lanes, np.uint64)
-            self.out = np.zeros((lanes, 2 * steps + 2), np.uint32)
+            # words in the order they go out, the lane of each, and the lane's word before it
+            self.out, self.lane, self.last = (np.empty(lanes * steps, t) for t in (np.uint32, np.uint16, np.int32))
+            self.newest, self.fill = np.full(lanes, -1, np.int32), 0
         else:
-            starts = np.concatenate([[0], np.cumsum(ends)[:-1]])
-            self.words, self.at = np.concatenate([words, np.zeros(2, np.uint32)]), starts.astype(np.int64)
-            self.code = np.zeros(lanes, np.uint64)
-            for _ in range(2):
-                self.code = self.code << np.uint64(32) | self.words[self.at]
-                self.at += 1
-
-    def put(self, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range >> np.uint64(bits)
-        low = self.low + start * r
-        carry = np.flatnonzero(low < self.low)
-        at = self.at[carry] - 1
-        while len(carry):
-            self.out[carry, at] += np.uint32(1)
-            more = self.out[carry, at] == 0
-            carry, at = carry[more], at[more] - 1
+            if len(words) < 2 * lanes:
+                raise ValueError("block cut off")
+            first = words[: 2 * lanes].astype(np.uint64).reshape(2, lanes)
+            self.words, self.at, self.code = words, 2 * lanes, first[0] << np.uint64(32) | first[1]
+
+    def put(self, start: np.ndarray, freq: np.ndarray) -> None:
+        r = self.range >> np.uint64(_BITS)
+        low = start * r
+        low += self.low
+        at = self.newest[low < self.low]
+        while len(at):
+            self.out[at] += np.uint32(1)
+            at = self.last[at[self.out[at] == 0]]
         self.low, self.range = low, r * freq
         full = np.flatnonzero(self.range < np.uint64(1 << 32))
         if len(full):
-            self.out[full, self.at[full]] = (self.low[full] >> np.uint64(32)).astype(np.uint32)
-            self.at[full] += 1
-            self.low[full] <<= np.uint64(32)
+            new = slice(self.fill, self.fill + len(full))
+            self.out[new], self.lane[new], self.last[new] = low[full] >> np.uint64(32), full, self.newest[full]
+            self.newest[full] = np.arange(new.start, new.stop)
+            self.fill = new.stop
+            low[full] <<= np.uint64(32)
             self.range[full] <<= np.uint64(32)
 
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        lanes = np.arange(len(self.at))
-        for _ in range(2):
-            self.out[lanes, self.at] = (self.low >> np.uint64(32)).astype(np.uint32)
-            self.low <<= np.uint64(32)
-            self.at += 1
-        used = np.arange(self.out.shape[1]) < self.at[:, None]
-        return self.out[used], self.at
-
-    def peek(self, bits: int) -> np.ndarray:
-        self.step = self.range >> np.uint64(bits)
-        return np.minimum(self.code // self.step, np.uint64((1 << bits) - 1)).astype(np.int64)
+    def finish(self) -> np.ndarray:
+        order = np.argsort(self.lane[: self.fill], kind="stable")
+        held = np.bincount(self.lane[: self.fill], minlength=self.lanes)
+        ends = np.cumsum(held + 2)
+        by_lane = np.empty(self.fill + 2 * self.lanes, np.uint32)
+        place = np.arange(self.fill) + 2 * np.repeat(np.arange(self.lanes), held)
+        by_lane[place] = self.out[order]
+        by_lane[ends - 2], by_lane[ends - 1] = self.low >> np.uint64(32), self.low & np.uint64((1 << 32) - 1)
+        first = ends - held - 2
+        words = np.concatenate([by_lane[first], by_lane[first + 1], self.out[: self.fill]])
+        words[2 * self.lanes + order] = by_lane[place + 2]  # a decoder is two words ahead
+        return words
+
+    def peek(self) -> np.ndarray:
+        self.step = self.range >> np.uint64(_BITS)
+        return np.minimum(self.code // self.step, np.uint64((1 << _BITS) - 1)).view(np.int64)
 
     def take(self, start: np.ndarray, freq: np.ndarray) -> None:
-        self.code -= start * self.step
-        self.range = self.step * freq
+        self.code -= start.view(np.uint64) * self.step
+        self.range = self.step * freq.view(np.uint64)
         full = np.flatnonzero(self.range < np.uint64(1 << 32))
         if len(full):
-            self.code[full] = self.code[full] << np.uint64(32) | self.words[self.at[full]]
-            self.at[full] += 1
+            self.code[full] = self.code[full] << np.uint64(32) | self.words[self.at : self.at + len(full)]
+            self.at += len(full)
             self.range[full] <<= np.uint64(32)
 
 
@@ -103,35 +115,29 @@ class _Lookup:
     factors = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.tables = keys, []
+        self.tables = []
         self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
         left = np.arange(len(keys), dtype=np.int32)
         for factor in self.factors:
             table, slot = np.full(1 << (64 - int(self.shift)), -1, np.int32), self._slot(keys[left], factor)
             table[slot] = left
             self.tables.append(table)
-            left = left[table[slot] != left]
-        self.rest = left
+            left = left[table.take(slot) != left]
+        self.rest, self.rest_keys = left, keys[left]
 
     def _slot(self, keys: np.ndarray, factor: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(factor)) >> self.shift).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(factor)) >> self.shift).view(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        if not len(self.keys):
+    def maybe(self, keys: np.ndarray, which: int) -> np.ndarray:
+        """The one place where each key may stand by a table, or -1; who asks looks whether it does."""
+        return self.tables[which].take(self._slot(keys, self.factors[which]))
+
+    def others(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key that is in neither table, or -1."""
+        if not len(self.rest):
             return np.full(len(keys), -1, np.int32)
-        out = self.tables[0].take(self._slot(keys, self.factors[0]))
-        miss = np.flatnonzero(self.keys.take(out) != keys)  # -1 takes the last key: no slot, or that key itself
-        own = keys[miss]
-        got = self.tables[1].take(self._slot(own, self.factors[1]))
-        got[self.keys.take(got) != own] = -1
-        if len(self.rest):
-            some = np.flatnonzero(got < 0)
-            at = np.minimum(np.searchsorted(self.keys[self.rest], own[some]), len(self.rest) - 1)
-            got[some] = np.where(self.keys[self.rest[at]] == own[some], self.rest[at], -1)
-        out[miss] = got
-        out[out < 0] = np.where(keys[out < 0] == self.keys[-1], len(self.keys) - 1, -1)
-        return out
+        at = np.minimum(np.searchsorted(self.rest_keys, keys), len(self.rest) - 1)
+        return np.where(self.rest_keys[at] == keys, self.rest[at], -1)
 
 
 class _Rows:
@@ -146,7 +152,11 @@ class _Rows:
         self._index()
 
     def add(self, context: np.ndarray, ids: np.ndarray) -> None:
-        keys, counts = np.unique(context * self.size + ids, return_counts=True)
+        keys = context * self.size
+        keys += ids
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, counts = keys[first], np.diff(np.append(first, len(keys)))
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
@@ -161,44 +171,33 @@ class _Rows:
         self.first = first = np.flatnonzero(np.diff(context, prepend=-1))
         self.contexts = context[first]
         self.held = held = np.diff(np.append(first, len(context)))
-        row = np.repeat(np.arange(len(first)), held)
-        # counts of a very long block are scaled, so that each id keeps a share
-        count = np.maximum(1, self.counts >> max(0, int(self.counts.sum()).bit_length() - _LIT_BITS + 2))
-        total = np.add.reduceat(count, first) if len(first) else count
-        before = np.cumsum(count) - count
-        before -= np.repeat(before[first], held)
-        self.start = (before << _LIT_BITS) // total[row]
-        self.freq = ((before + count) << _LIT_BITS) // total[row] - self.start
-        self.end = self.start + self.freq
-        # sureness of a row: how often it was met, and how many ids share it; 0 stands last, for no row
-        self.sure = np.append(1 + np.searchsorted(_MET, total, side="right") * 3 + np.searchsorted(_SHARED, held, side="right"), 0)
+        count = self.counts
+        total = met = np.add.reduceat(count, first) if len(first) else count
+        over = np.maximum(0, np.frexp(total)[1] - (_LIT_BITS - 1))
+        if over.any():  # counts of a very long row are scaled, so that each id keeps a share
+            count = np.maximum(1, count >> np.repeat(over, held))
+            total = np.add.reduceat(count, first)
+        end = np.cumsum(count)
+        end -= np.repeat(end[first] - count[first], held)
+        total = np.repeat(total, held)
+        self.start = ((end - count) << _LIT_BITS) // total
+        self.end = (end << _LIT_BITS) // total
+        # sureness of a row: how often it was met, and how many ids share it
+        self.sure = 1 + np.searchsorted(_MET, met, side="right") * 3 + np.searchsorted(_SHARED, held, side="right")
         self.id_of = self.keys - context * self.size
-        self.places, self.guide = None, None
 
-    def place(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The place of each id in its context's row, or -1."""
-        self.places = self.places or _Lookup(self.keys)
-        return self.places.find(context * self.size + ids)
 
-    def told(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The place whose share of its row holds v: from the guide for v's part of the row, onwards."""
-        if self.guide is None:
-            row_of = np.repeat(np.arange(len(self.first)), self.held)
-            part = ((np.arange(len(self.keys)) - self.first[row_of]) << _LIT_BITS) // self.held[row_of]
-            self.guide = np.searchsorted(row_of << _LIT_BITS | self.start, row_of << _LIT_BITS | part, side="right") - 1
-        at = self.guide.take(self.first.take(row) + (v * self.held.take(row) >> _LIT_BITS))
-        on = np.flatnonzero(self.end.take(at) <= v)
-        while len(on):
-            at[on] += 1
-            on = on[self.end.take(at[on]) <= v[on]]
-        return at
-
-    def ids(self, at: np.ndarray) -> np.ndarray:
-        return self.id_of.take(at)
+def _guide(start: np.ndarray, end: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    """How many parts of its row start within each share, if the row is cut into so many equal parts."""
+    return (end * parts + ((1 << _LIT_BITS) - 1) >> _LIT_BITS) - (start * parts + ((1 << _LIT_BITS) - 1) >> _LIT_BITS)
 
 
 class _Model:
-    """What a block has taught so far; the same on both sides. It is taught in lessons, between which it stands still."""
+    """What a block has taught so far; the same on both sides. It is taught in lessons, between which it stands still.
+
+    Shares of all ids lie in one table (share's start, its size less 1, id): the rows of order 1, then order 0, then one
+    share of everything for what order 2 says. A row is told by where its guide starts and how many parts that has.
+    """
 
     def __init__(self, size: int):
         self.size = size
@@ -212,7 +211,7 @@ class _Model:
         p = self.hits / self.hits.sum(axis=1, keepdims=True)
         f = np.maximum(1, (p * ((1 << _MIX_BITS) - 3)).astype(np.int64))
         f[:, 2] += (1 << _MIX_BITS) - f.sum(axis=1)
-        edge = np.cumsum(f, axis=1) - f
+        edge = (np.cumsum(f, axis=1) - f) << _LIT_BITS
         self.share, self.edge = f.ravel(), edge.ravel()
         self.edge1, self.edge2 = edge[:, 1].copy(), edge[:, 2].copy()
         total, room = int(self.counts.sum()), (1 << _LIT_BITS) - self.size
@@ -220,47 +219,84 @@ class _Model:
         if total:
             self.freq += (self.counts * (room / total)).astype(np.int64)
         self.freq[0] += (1 << _LIT_BITS) - int(self.freq.sum())
-        self.start, self.guide = np.cumsum(self.freq) - self.freq, None
-        self.row_of = np.full(self.size, -1)
-        self.row_of[self.one.contexts] = np.arange(len(self.one.contexts))
-        self.sure1 = self.one.sure.take(self.row_of)
-        self.sure2 = np.minimum(self.count2, _MOST) * _SURE
-
-    def look(self, before2: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order-2 slot, what it says, and the mix."""
-        slot = (before2 * 0x9E3779B1 ^ before1 * 0x85EBCA6B) >> 7 & ((1 << _SLOT_BITS) - 1)
-        return slot, self.says.take(slot), self.sure2.take(slot) + self.sure1.take(before1)
-
-    def tell(self, says: np.ndarray, before1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(kind, start, share) of ids: kind 0 where order 2 says the id, 1 where order 1 has met it, else 2."""
-        kind = np.where(says == ids, 0, 2)
-        start, freq = np.zeros(len(ids), np.int64), np.full(len(ids), 1 << _LIT_BITS)
-        rest = np.flatnonzero(kind)
-        own = ids[rest]
-        place = self.one.place(before1[rest], own)
-        start[rest], freq[rest] = self.start.take(own), self.freq.take(own)
-        at, place = rest[place >= 0], place[place >= 0]
-        kind[at], start[at], freq[at] = 1, self.one.start.take(place), self.one.freq.take(place)
-        return kind, start, freq
+        end = np.cumsum(self.freq)
+        self.start = end - self.freq
+        one, ids = self.one, np.arange(self.size)
+        n = self.zero = len(one.keys)
+        self.table = np.empty(n + self.size + 1, np.int64)
+        self.table[:n] = _share(one.start, one.end - one.start, one.id_of)
+        self.table[n:-1] = _share(self.start, self.freq, ids)
+        self.table[-1] = _share(0, 1 << _LIT_BITS, 0)
+        self.rows = np.zeros(self.size, np.int64)  # 0 stands for no row
+        self.rows[one.contexts] = _FINE * one.first << _FIRST_AT | _FINE * one.held << _PARTS_AT | one.sure
+        self.whole = np.array([(_FINE * n + (1 << _GUIDE_BITS)) << _FIRST_AT | 1 << _PARTS_AT, 0, _FINE * n << _FIRST_AT | 1 << _GUIDE_BITS << _PARTS_AT])
+        self.said = np.minimum(self.count2, _MOST) * np.int32(_SURE << _ID_BITS) | self.says
+        self.places, self.guide = None, None
 
-    def told(self, v: np.ndarray) -> np.ndarray:
-        """The id whose share of order 0 holds v: from the guide for v's upper bits, onwards."""
+    def look(self, before2: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The order-2 slot, what it says, the order-1 row, and the mix."""
+        slot = before2 * 0x9E3779B1
+        slot ^= before1 * 0x85EBCA6B
+        slot >>= 7
+        slot &= (1 << _SLOT_BITS) - 1
+        said, row = self.said.take(slot), self.rows.take(before1)
+        return slot, said & MOST_ID, row, (said >> _ID_BITS) + (row & ((1 << _PARTS_AT) - 1))
+
+    def tell(self, says: np.ndarray, row: np.ndarray, before1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(kind, share) of ids: kind 0 where order 2 says the id, 1 where order 1 has met it, else 2."""
+        kind = np.where(says == ids, 0, 2)
+        share = np.full(len(ids), self.table[-1])
+        left = np.flatnonzero(kind)
+        self.places = self.places or _Lookup(self.one.keys)
+        key, own, row = before1.take(left), ids.take(left), row.take(left)
+        key *= self.size
+        key += own
+        first, held = row >> _FIRST_AT, row >> _PARTS_AT & ((1 << _FIRST_AT - _PARTS_AT) - 1)
+        for find in (lambda k: self.places.maybe(k, 0), lambda k: self.places.maybe(k, 1), self.places.others):
+            place = find(key)
+            got = self.table.take(place)
+            right = (got & MOST_ID) == own
+            place = place * np.int64(_FINE) - first
+            right &= (place >= 0) & (place < held)
+            met = left[right]
+            kind[met], share[met] = 1, got[right]
+            wrong = np.flatnonzero(~right)
+            left, key, own, first, held = left.take(wrong), key.take(wrong), own.take(wrong), first.take(wrong), held.take(wrong)
+        share[left] = self.table.take(own + self.zero)
+        return kind, share
+
+    def find(self, row: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id, start and size of the share of its row that holds v: from the guide for v's part of the row, onwards."""
         if self.guide is None:
-            self.guide = np.searchsorted(self.start, np.arange(1 << _GUIDE_BITS) << (_LIT_BITS - _GUIDE_BITS), side="right") - 1
-            self.end = self.start + self.freq
-        at = self.guide.take(v >> (_LIT_BITS - _GUIDE_BITS))
-        for _ in range(_FORWARD):
-            at += self.end.take(at) <= v
-        on = np.flatnonzero(self.end.take(at) <= v)
+            one, end = self.one, self.start + self.freq
+            parts = [_guide(one.start, one.end, np.repeat(_FINE * one.held, one.held)), _guide(self.start, end, 1 << _GUIDE_BITS), [1]]
+            self.guide = np.repeat(np.arange(len(self.table), dtype=np.int32), np.concatenate(parts))
+        part = v * (row >> _PARTS_AT & ((1 << _FIRST_AT - _PARTS_AT) - 1))
+        part >>= _LIT_BITS
+        part += row >> _FIRST_AT
+        at = self.guide.take(part)
+        got = self.table.take(at)
+        on = np.flatnonzero(v - (got >> _START_AT) > (got >> _ID_BITS & ((1 << _LIT_BITS) - 1)))
         if len(on):
-            at[on] = np.searchsorted(self.start, v[on], side="right") - 1
-        return at
+            at, rest, new = at.take(on), v.take(on), got.take(on)
+            go = np.arange(len(on))
+            while len(go):
+                at[go] += 1
+                new[go] = own = self.table.take(at[go])
+                go = go[rest[go] - (own >> _START_AT) > (own >> _ID_BITS & ((1 << _LIT_BITS) - 1))]
+            got[on] = new
+        return _parts(got)
+
+    def told(self, v: np.ndarray) -> np.ndarray:
+        """The id whose share of order 0 holds v."""
+        return self.find(np.full(len(v), self.whole[2]), v)[0]
 
-    def lesson(self, slot: np.ndarray, before1: np.ndarray, ids: np.ndarray, mix: np.ndarray, kind: np.ndarray) -> None:
+    def lesson(self, slot: np.ndarray, before1: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """at: three times the mix, and the kind."""
         self.one.add(before1, ids)
         self.counts += np.bincount(ids, minlength=self.size)
-        self.hits += np.bincount(mix * 3 + kind, minlength=self.hits.size).reshape(self.hits.shape)
-        right = kind == 0
+        self.hits += np.bincount(at, minlength=self.hits.size).reshape(self.hits.shape)
+        right = at % 3 == 0
         self.count2 += np.bincount(slot[right], minlength=1 << _SLOT_BITS).astype(np.int32)
         self.count2 -= np.bincount(slot[~right], minlength=1 << _SLOT_BITS).astype(np.int32)
         new = np.flatnonzero(~right & (self.count2.take(slot) < 0))
@@ -269,6 +305,15 @@ class _Model:
         self._shares()
 
 
+def _share(start, freq, ids):
+    return start << _START_AT | freq - 1 << _ID_BITS | ids
+
+
+def _parts(share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id, start and size."""
+    return share & MOST_ID, share >> _START_AT, (share >> _ID_BITS & ((1 << _LIT_BITS) - 1)) + 1
+
+
 def _shape(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, n // LANE))
     return lanes, -(-n // lanes)
@@ -280,6 +325,12 @@ def _lessons(steps: int) -> list[tuple[int, int]]:
     return list(zip([0, *ends], [*ends, steps], strict=True))
 
 
+def _learn(model: _Model, grid: np.ndarray, a: int, b: int, said: list) -> None:
+    """A lesson from the waves from a to b."""
+    slot, at = (np.concatenate(x) for x in zip(*said, strict=True))
+    model.lesson(slot, grid[a + 1 : b + 1].ravel(), grid[a + 2 : b + 2].ravel(), at)
+
+
 def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """A block of ids (uint32, at most MOST_ID) and the lengths of its documents."""
     n, size = len(ids), int(ids.max(initial=0)) + 1
@@ -296,77 +347,81 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         for c in range(a, b, WAVES):
             d = min(b, c + WAVES)
             now, before1, before2 = (grid[c + k : d + k].ravel() for k in (2, 1, 0))
-            slot, says, mix = model.look(before2, before1)
-            kind, start, freq = model.tell(says, before1, now)
-            at = mix * 3 + kind
-            parts = (model.edge.take(at), model.share.take(at), start, freq)
-            for edge, share, at, width in zip(*(x.astype(np.uint64).reshape(d - c, lanes) for x in parts), strict=True):
-                coder.put(edge, share, _MIX_BITS)
-                coder.put(at, width, _LIT_BITS)
-            if b < steps:
-                said.append((slot, before1, now, mix, kind))
+            slot, says, row, at = model.look(before2, before1)
+            kind, share = model.tell(says, row, before1, now)
+            at *= 3
+            at += kind
+            _, start, freq = _parts(share)
+            width = model.share.take(at)
+            start *= width
+            start += model.edge.take(at)
+            freq *= width
+            for own, width in zip(*(x.view(np.uint64).reshape(d - c, lanes) for x in (start, freq)), strict=True):
+                coder.put(own, width)
+            said.append((slot, at))
         if b < steps:
-            model.lesson(*(np.concatenate(x) for x in zip(*said, strict=True)))
-    words, ends = coder.finish()
-    tail = np.asarray(lengths, "<u4").tobytes() + ends.astype("<u4").tobytes() + words.astype("<u4").tobytes()
+            _learn(model, grid, a, b, said)
+    tail = np.asarray(lengths, "<u4").tobytes() + coder.finish().astype("<u4").tobytes()
     return _HEAD.pack(_MAGIC, n, size, len(lengths), lanes, zlib.crc32(np.asarray(ids, "<u4").tobytes())) + tail
 
 
 def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """ids and document lengths of a block; ValueError where it is damaged."""
-    if len(data) < _HEAD.size:
+    if len(data) < _HEAD.size or len(data) % 4:
         raise ValueError("block cut off")
     magic, n, size, docs, lanes, crc = _HEAD.unpack_from(data)
-    if magic != _MAGIC or lanes != _shape(n)[0]:
+    if magic != _MAGIC or lanes != _shape(n)[0] or not 0 < size <= MOST_ID + 1:
         raise ValueError("not a token block")
     rest = np.frombuffer(data, "<u4", offset=_HEAD.size)
-    lengths, ends, words = rest[:docs], rest[docs : docs + lanes].astype(np.int64), rest[docs + lanes :]
-    if len(ends) < lanes or ends.sum() != len(words) or lengths.sum() != n:
+    lengths, words = rest[:docs], rest[docs:]
+    if lengths.sum() != n:
         raise ValueError("block cut off")
     _, steps = _shape(n)
-    coder, model = _Coder(lanes, steps, words.astype(np.uint32), ends), _Model(size)
+    coder, model = _Coder(lanes, steps, words), _Model(size)
     grid = np.zeros((steps + 2, lanes), np.int64)
     for a, b in _lessons(steps):
         said = []
         for w in range(a, b):
-            before1 = grid[w + 1]
-            slot, now, mix = model.look(grid[w], before1)
-            v = coder.peek(_MIX_BITS)
-            kind = (v >= model.edge1.take(mix)).astype(np.int64) + (v >= model.edge2.take(mix))
-            at = mix * 3 + kind
-            coder.take(model.edge.take(at).astype(np.uint64), model.share.take(at).astype(np.uint64))
-            v = coder.peek(_LIT_BITS)
-            start, freq = np.zeros(lanes, np.int64), np.full(lanes, 1 << _LIT_BITS)
-            row = model.row_of.take(before1)
-            own = np.flatnonzero((kind == 1) & (row >= 0))
-            if len(own):
-                at = model.one.told(row.take(own), v.take(own))
-                now[own], start[own], freq[own] = model.one.ids(at), model.one.start.take(at), model.one.freq.take(at)
-            own = np.flatnonzero(kind == 2)
-            at = model.told(v.take(own))
-            now[own], start[own], freq[own] = at, model.start.take(at), model.freq.take(at)
-            coder.take(start.astype(np.uint64), freq.astype(np.uint64))
+            slot, says, row, at = model.look(grid[w], grid[w + 1])
+            v = coder.peek()
+            kind = (v >= model.edge1.take(at)).view(np.int8) + (v >= model.edge2.take(at)).view(np.int8)
+            at *= 3
+            at += kind
+            edge, width = model.edge.take(at), model.share.take(at)
+            v -= edge
+            v //= width
+            own = model.whole.take(kind)
+            np.copyto(own, row, where=kind == 1)
+            now, start, freq = model.find(own, v)
+            np.copyto(now, says, where=kind == 0)
+            start *= width
+            start += edge
+            freq *= width
+            coder.take(start, freq)
             grid[w + 2] = now
-            if b < steps:
-                said.append((slot, before1, grid[w + 2], mix, kind))
+            said.append((slot, at))
         if b < steps:
-            model.lesson(*(np.concatenate(x) for x in zip(*said, strict=True)))
+            _learn(model, grid, a, b, said)
     ids = grid[2:].T.ravel()[:n].astype(np.uint32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    if coder.at != len(words) or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum of a token block differs")
     return ids, lengths
 
 
-#: Pieces whose ids a worker remembers; beyond that it starts over.
+#: Pieces whose ids a worker remembers; beyond that it forgets those not met again since it last forgot.
 REMEMBERED = 600_000
 
-# Classes of bytes in text of ASCII and the letters from U+00C0 to U+00FF. 0: not handled here.
+# Classes of bytes in text of ASCII and the letters from U+00C0 to U+00FF. 0: not handled here, as are the
+# second bytes of the signs for times and divided by; any other character beyond those letters has a first byte of class 0.
 _LETTER, _DIGIT, _SPACE, _BREAK, _MARK = 1, 2, 3, 4, 5
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[33:127] = _MARK
 _CLASS[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
 _CLASS[48:58], _CLASS[32], _CLASS[[9, 10, 13]] = _DIGIT, _SPACE, _BREAK
-_CLASS[ord("'")] = 0
+_CLASS[[ord("'"), 0x97, 0xB7]] = 0
+_CLASSES = _CLASS.tobytes()
+#: New pieces that are encoded end to end.
+RUN = 128
 
 
 class PieceEncoder:
@@ -378,11 +433,14 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         rule = self.tok.pre_tokenizer
         self.by_piece = type(rule).__name__ == "ByteLevel" and rule.use_regex and not rule.add_prefix_space and self.tok.normalizer is None
+        # the same model for pieces that are cut already
+        self.cut = Tokenizer(self.tok.model)
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\0"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         #: bytes that an id stands for: a character of a byte-level token is a byte
         vocabulary = self.tok.get_vocab()
@@ -390,46 +448,58 @@ class PieceEncoder:
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known, self.stored = pa.array([], pa.binary()), []
         self.ids, self.fill = np.zeros(1 << 20, np.int32), 0
-        self.ends, self.count = np.zeros(1 << 18, np.int64), 0
+        #: ends of the pieces' ids, after a 0, and whether a piece was met again since the last forgetting
+        self.ends, self.met, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, bool), 0
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Words with a space before them are encoded end to end, many at a call: each starts a piece of its own there.
+    def _learn(self, pieces: pa.Array) -> None:
+        """Pieces are encoded end to end, many at a call: the library is told to cut at a byte 0, which no piece holds.
 
-        An id stands for a fixed number of bytes, so the words' borders are found again among the ids.
+        An id stands for a fixed number of bytes, so the pieces' borders are found again among the ids; where they are
+        not, each piece is encoded by itself.
         """
-        words, rest = [], []
-        for p in pieces:
-            (words if len(p) > 1 and p[0] == 32 and _CLASS[p[1]] == _LETTER else rest).append(p)
-        for at in range(0, len(words), 1 << 14):
-            part = words[at : at + (1 << 14)]
-            runs = [part[i : i + 128] for i in range(0, len(part), 128)]
-            for run, e in zip(runs, self.tok.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.int32)
-                ends, borders = np.cumsum(self.bytes_of.take(ids)), np.cumsum([len(p) for p in run])
-                last = np.searchsorted(ends, borders)
-                if len(last) and (last[-1] >= len(ends) or not np.array_equal(ends[last], borders)):
-                    rest += run
-                else:
-                    self._store(run, ids, last + 1)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            got = [e.ids for e in self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)]
-            self._store(part, np.concatenate([np.array(g, np.int32) for g in got]), np.cumsum([len(g) for g in got]))
-
-    def _store(self, pieces: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        runs = pa.ListArray.from_arrays(np.append(np.arange(0, len(pieces), RUN), len(pieces)).astype(np.int32), pieces.cast(pa.string()))
+        sizes = pc.binary_length(pieces).to_numpy()
+        texts = pc.binary_join(runs, "\0").to_pylist()
+        for at in range(0, len(texts), 128):
+            got = [e.ids for e in self.cut.encode_batch_fast(texts[at : at + 128], add_special_tokens=False)]
+            ids = np.concatenate([np.array(g, np.int32) for g in got])
+            ends, borders = np.cumsum(self.bytes_of.take(ids)), np.cumsum(sizes[at * RUN : (at + 128) * RUN])
+            last = np.searchsorted(ends, borders)
+            if last[-1] + 1 != len(ends) or not np.array_equal(ends[last], borders):
+                alone = [x.decode() for x in pieces[at * RUN : (at + 128) * RUN].to_pylist()]
+                got = [e.ids for e in self.cut.encode_batch_fast(alone, add_special_tokens=False)]
+                ids, last = np.concatenate([np.array(g, np.int32) for g in got]), np.cumsum([len(g) for g in got]) - 1
+            self._store(ids, last + 1)
+        self.stored.append(pieces)
+
+    def _store(self, ids: np.ndarray, ends: np.ndarray) -> None:
         if self.fill + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.int32)])
         self.ids[self.fill : self.fill + len(ids)] = ids
-        if self.count + len(pieces) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(pieces), np.int64)])
-        self.stored += pieces
-        self.ends[self.count + 1 : self.count + 1 + len(pieces)] = ends + self.fill
-        self.count += len(pieces)
+        if self.count + len(ends) >= len(self.ends):
+            more = np.zeros(len(self.ends) + len(ends), np.int64)
+            self.ends, self.met = np.concatenate([self.ends, more]), np.concatenate([self.met, more.astype(bool)])
+        self.ends[self.count + 1 : self.count + 1 + len(ends)] = ends + self.fill
+        self.met[self.count : self.count + len(ends)] = False
+        self.count += len(ends)
         self.fill += len(ids)
 
+    def _keep(self, kept: np.ndarray) -> None:
+        """Forgets all pieces but those at the given places."""
+        start, size = self.ends[kept], self.ends[kept + 1] - self.ends[kept]
+        self.known = self.known.take(pa.array(kept))
+        ids = self._ids(start, size)
+        self.count = self.fill = 0
+        self._store(ids, np.cumsum(size))
+
+    def _ids(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Stored ids from the given starts, end to end."""
+        stop = np.cumsum(size)
+        return self.ids.take(np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - stop + size, size))
+
     def _pieces(self, raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pieces of texts that lie end to end, and how many each text has. edges: texts' borders."""
-        c = _CLASS[np.frombuffer(raw, np.uint8)]
+        c = np.frombuffer(raw.translate(_CLASSES), np.uint8)
         white = (c == _SPACE) | (c == _BREAK)
         before, first = np.roll(c, 1), np.zeros(len(c) + 1, bool)
         first[edges[:-1]] = True
@@ -445,15 +515,10 @@ class PieceEncoder:
         return starts, np.diff(np.searchsorted(starts, edges))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        simple = []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = np.empty(0, np.int32)
-            elif self.by_piece and self._simple(t):
-                simple.append(i)
-        easy = set(simple)
-        hard = [i for i in range(len(texts)) if out[i] is None and i not in easy]
+        out: list[np.ndarray | None] = [None if t else np.empty(0, np.int32) for t in texts]
+        left = [i for i, t in enumerate(texts) if t]
+        hard = self._hard([texts[i] for i in left])
+        simple, hard = ([i for i, h in zip(left, hard, strict=True) if h == which] for which in (False, True))
         for i, e in zip(hard, self.tok.encode_batch_fast([texts[i].decode() for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.int32)
         if simple:
@@ -462,39 +527,45 @@ class PieceEncoder:
             starts, per_text = self._pieces(raw, edges)
             bounds = np.append(starts, len(raw)).astype(np.int32)
             coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-            at = pc.index_in(coded.dictionary, self.known)
-            if len(self.known) + at.null_count > REMEMBERED:
-                self.known = self.known[:0]
-                self.count, self.fill, at = 0, 0, pa.nulls(len(at), pa.int32())
-            if at.null_count:
-                new = at.is_null()
-                self._learn(coded.dictionary.filter(new).to_pylist())
-                more = pa.array(self.stored, pa.binary())
-                place = at.fill_null(0).to_numpy().copy()
-                place[new.to_numpy(zero_copy_only=False)] = pc.index_in(coded.dictionary.filter(new), more).to_numpy() + len(self.known)
-                self.known, self.stored = pa.concat_arrays([self.known, more]), []
-            else:
-                place = at.to_numpy()
-            known = place.take(coded.indices.to_numpy())
-            ends = self.ends[: self.count + 1]
-            size = (ends[1:] - ends[:-1])[known]
-            stop = np.cumsum(size)
-            flat = self.ids.take(np.arange(stop[-1]) - np.repeat(stop - size - ends[:-1][known], size))
-            cuts = np.concatenate([[0], stop])[np.cumsum(per_text)]
+            known = self._places(coded.dictionary).take(coded.indices.to_numpy())
+            start, end = self.ends.take(known), self.ends.take(known + 1)
+            flat = self._ids(start, end - start)
+            cuts = np.concatenate([[0], np.cumsum(end - start)])[np.cumsum(per_text)]
             for i, own in zip(simple, np.split(flat, cuts[:-1]), strict=True):
                 out[i] = own
         return out
 
-    def _simple(self, t: bytes) -> bool:
-        b = np.frombuffer(t, np.uint8)
-        if not _CLASS[b].all() or any(s in t for s in self.special):
-            return False
-        if t.isascii():
-            return True
-        # beyond ASCII: pairs of C3 and a letter alone
-        lead = np.flatnonzero(b == 0xC3)
-        follow = b[np.minimum(lead + 1, len(b) - 1)]
-        return int((b >= 0x80).sum()) == 2 * len(lead) and bool(((follow >= 0x80) & (follow != 0x97) & (follow != 0xB7)).all())
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand among the known ones, once those that are new are learnt."""
+        at = pc.index_in(pieces, self.known)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        place = at.fill_null(-1).to_numpy().copy()
+        old = place[place >= 0]
+        self.met[old] = True
+        if len(self.known) + len(new) > REMEMBERED:
+            kept = np.flatnonzero(self.met[: self.count])
+            if len(kept) + len(new) > REMEMBERED:
+                kept = np.sort(old)
+            self._keep(kept)
+            place[place >= 0] = np.searchsorted(kept, old)
+        if len(new):
+            place[new] = np.arange(self.count, self.count + len(new))
+            self._learn(pieces.take(pa.array(new)))
+            self.known, self.stored = pa.concat_arrays([self.known, *self.stored]), []
+        return place
+
+    def _hard(self, texts: list[bytes]) -> np.ndarray:
+        """Which texts are not of simple characters, or hold a special token: the library cuts those."""
+        if not self.by_piece:
+            return np.ones(len(texts), bool)
+        hard, raw = np.zeros(len(texts), bool), b"".join(texts)
+        kinds = raw.translate(_CLASSES)
+        if 0 in kinds:
+            ends = np.cumsum([len(t) for t in texts])
+            hard[np.searchsorted(ends, np.flatnonzero(np.frombuffer(kinds, np.uint8) == 0), side="right")] = True
+        if any(s in raw for s in self.special):
+            hard |= [any(s in t for s in self.special) for t in texts]
+        return hard
 
 
 _encoders: dict = {}

@@ -113,3 +113,53 @@ def test_pieces_forgotten_are_learnt_again(monkeypatch):
         got = enc.encode([t.encode() for t in texts])
         assert [g.tolist() for g in got] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(enc.known) == enc.count and not enc.stored
+
+
+def test_pieces_met_again_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 60)
+    enc, learnt = T.PieceEncoder(queries.tokenizer_path()), []
+    monkeypatch.setattr(enc, "_learn", lambda pieces, learn=enc._learn: (learnt.extend(pieces), learn(pieces)))
+    for k in range(8):
+        text = " ".join(f"often rare{chr(97 + k)}{chr(97 + j)}" for j in range(24))
+        assert enc.encode([text.encode()])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+        assert len(enc.known) == enc.count
+    assert len(learnt) > 3 * 60 and sum("often" in str(p) for p in learnt) == 2  # with and without a space before it
+
+
+def test_a_wave_is_coded_in_one_step(monkeypatch):
+    steps = []
+    for name in ("put", "take"):
+        monkeypatch.setattr(T._Coder, name, lambda self, *a, f=getattr(T._Coder, name), name=name: (steps.append(name), f(self, *a))[1])
+    x = np.random.default_rng(2).integers(0, 300, 20_000).astype(np.uint32)
+    assert np.array_equal(T.decode_block(T.encode_block(x, np.array([len(x)])))[0], x)
+    waves = T._shape(len(x))[1]
+    assert steps.count("put") == waves and steps.count("take") == waves
+
+
+def test_carries_go_through_full_words():
+    coder = T._Coder(2, 4)
+    coder.out[:3], coder.lane[:3], coder.last[:3] = (5, 2**32 - 1, 9), (1, 1, 0), (-1, 0, -1)
+    coder.newest[:], coder.fill = (2, 1), 3
+    coder.low[:], coder.range[:] = (7, 2**64 - 5), 2**40
+    coder.put(np.array([3, 3], np.uint64), np.array([1 << 31, 1 << 31], np.uint64))
+    assert coder.out[:3].tolist() == [6, 0, 9] and coder.low.tolist() == [7 + 3 * 2**8, 3 * 2**8 - 5]
+
+
+def test_long_rows_keep_a_share_for_each_id():
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(1_300_000) < 0.02, rng.integers(0, 5000, 1_300_000), 7).astype(np.uint32)
+    data = T.encode_block(x, np.array([len(x)]))
+    assert np.array_equal(T.decode_block(data)[0], x) and len(data) < 210_000  # 216,400 with two steps a wave
+    rows = T._Rows(10)
+    rows.keys, rows.counts = np.array([11, 12, 13, 25]), np.array([5_000_000, 1, 1, 3])
+    rows._index()
+    share = rows.end - rows.start
+    assert share.min() > 0 and rows.end[[2, 3]].tolist() == [1 << T._LIT_BITS] * 2 and share[0] > 0.99 * (1 << T._LIT_BITS)
+
+
+def test_simple_texts_are_told_at_once():
+    enc = T.PieceEncoder(queries.tokenizer_path())
+    texts = ["plain", "", "it's", "Größe é", "2×3", "6÷2", "\u0085", "日本", "Ā", "a<|endoftext|>b", "<|endof", "text|>"]
+    assert enc._hard([t.encode() for t in texts]).tolist() == [0, 0, 1, 0, 1, 1, 1, 1, 1, 1, 0, 0]
+    for t, ids in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == enc.tok.encode(t, add_special_tokens=False).ids
