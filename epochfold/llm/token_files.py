@@ -338,9 +338,7 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         raise ValueError(f"id {size - 1} is beyond {MOST_ID}")
     lanes, steps = _shape(n)
     grid = np.zeros((steps + 2, lanes), np.int64)  # two waves of 0 before the first
-    flat = np.zeros(lanes * steps, np.int64)
-    flat[:n] = ids
-    grid[2:] = flat.reshape(lanes, steps).T
+    grid[2:] = np.append(ids, np.zeros(lanes * steps - n, ids.dtype)).reshape(lanes, steps).T
     coder, model = _Coder(lanes, steps), _Model(size)
     for a, b in _lessons(steps):
         said = []
@@ -358,7 +356,8 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
             freq *= width
             for own, width in zip(*(x.view(np.uint64).reshape(d - c, lanes) for x in (start, freq)), strict=True):
                 coder.put(own, width)
-            said.append((slot, at))
+            if b < steps:
+                said.append((slot.astype(np.int32), at.astype(np.int16)))
         if b < steps:
             _learn(model, grid, a, b, said)
     tail = np.asarray(lengths, "<u4").tobytes() + coder.finish().astype("<u4").tobytes()
@@ -399,7 +398,8 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             freq *= width
             coder.take(start, freq)
             grid[w + 2] = now
-            said.append((slot, at))
+            if b < steps:
+                said.append((slot.astype(np.int32), at.astype(np.int16)))
         if b < steps:
             _learn(model, grid, a, b, said)
     ids = grid[2:].T.ravel()[:n].astype(np.uint32)
@@ -495,7 +495,9 @@ class PieceEncoder:
     def _ids(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Stored ids from the given starts, end to end."""
         stop = np.cumsum(size)
-        return self.ids.take(np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - stop + size, size))
+        at = np.repeat(start - stop + size, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids.take(at)
 
     def _pieces(self, raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pieces of texts that lie end to end, and how many each text has. edges: texts' borders."""
@@ -527,10 +529,13 @@ class PieceEncoder:
             starts, per_text = self._pieces(raw, edges)
             bounds = np.append(starts, len(raw)).astype(np.int32)
             coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-            known = self._places(coded.dictionary).take(coded.indices.to_numpy())
-            start, end = self.ends.take(known), self.ends.take(known + 1)
-            flat = self._ids(start, end - start)
-            cuts = np.concatenate([[0], np.cumsum(end - start)])[np.cumsum(per_text)]
+            del raw, starts, bounds
+            place, indices = self._places(coded.dictionary), coded.indices.to_numpy()
+            start, size = self.ends[place], self.ends[place + 1] - self.ends[place]
+            del coded
+            start, size = start.take(indices), size.take(indices)
+            flat = self._ids(start, size)
+            cuts = np.concatenate([[0], np.cumsum(size)])[np.cumsum(per_text)]
             for i, own in zip(simple, np.split(flat, cuts[:-1]), strict=True):
                 out[i] = own
         return out
@@ -608,6 +613,7 @@ def _encode(path: str, end_id: int):
 
         for names, texts in _gathered(batches):
             kind = names.type
+            pa.default_memory_pool().release_unused()
             for key, got in zip(names.to_pylist(), enc.encode(texts), strict=True):
                 own = np.append(got, end_id).astype(np.uint32)
                 if n and n + len(own) > BLOCK:
