@@ -109,3 +109,27 @@ def test_nulls_repeats_empty(spark):
     df = spark.createDataFrame([(None, "p q r s t u"), (None, "v w x y z a b"), (None, "v w x y z a b"), (3, "v w x y z a b"), (3, "v w x y z a b")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text[0]) for r in near_copies.keep_one(df).collect()) == [("3", "v"), ("None", "p")]
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_no_pair_at_the_similarity_is_lost(spark, monkeypatch):
+    """Pairs at just 0.8 or a little more, many of which share none of the index's triples or differ by too many bits."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(4))
+    line, texts = [word() for _ in range(12)], {}
+    for i in range(300):
+        base = [word() for _ in range(rnd.randrange(28, 120))] + line
+        copy, n = list(base), len(base) - 4
+        while True:
+            more = list(copy)
+            more[rnd.randrange(len(more))] = word()
+            both = len(grams(" ".join(base)) & grams(" ".join(more)))
+            if both * 5 < (2 * n - both) * 4:
+                break
+            copy = more
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(copy)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = {k: c for k, c in classes(texts).items() if k != c}
+    assert len(want) > 270
+    monkeypatch.setattr(near_copies, "COMMON", 1)
+    got = {r.key: r.component for r in near_copies.near_copies(df, chunk=500).collect() if r.key != r.component}
+    assert got == want
