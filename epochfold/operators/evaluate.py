@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochfold.operators import metrics as M
-from epochfold.operators import models, resample, splits
+from epochfold.operators import fold_sums, models, resample, splits
 from epochfold.operators.models import ModelSpec
 
 
@@ -82,8 +82,11 @@ def evaluate_naive(rows: DataFrame, row_id: str, spec: ModelSpec, k: int = 5, se
 
 def evaluate_expanding(rows: DataFrame, group: str, order: str, spec: ModelSpec, n_init: int, step: int = 1, gap: int = 0, n_boot: int = 10_000, seed: int = 42) -> Report:
     """Walk forward over groups in time."""
-    split = splits.expanding_by_group(rows, group, order, n_init, step, gap)
-    return report(models.fit_folds(split, ["fold"], order, spec), ["fold"], "fold", n_boot, seed, n_init=n_init, step=step, gap=gap)
+    if spec.kind == "logistic":
+        preds = fold_sums.expanding_logistic(rows, group, order, n_init, step, gap, spec.params.get("c", 1.0), spec.params.get("balanced", True))
+    else:
+        preds = models.fit_folds(splits.expanding_by_group(rows, group, order, n_init, step, gap), ["fold"], order, spec)
+    return report(preds, ["fold"], "fold", n_boot, seed, n_init=n_init, step=step, gap=gap)
 
 
 def evaluate_chronological(rows: DataFrame, order: str, spec: ModelSpec, fraction: float = 0.7, gap: int = 0, seed: int = 42) -> Report:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochfold.functions import kernels
+from epochfold.operators import splits
 from epochfold.session import stash
 
 
@@ -143,6 +144,139 @@ def logistic(split: DataFrame, keys: list[str], row_id: str, c: float = 1.0, bal
     return _predict(rows, keys, row_id, features, y, score, strict, {k: list(map(float, b[:-1])) for k, b in beta.items()})
 
 
+#: Rows and folds whose scores a task of a walk forward holds at once, and scores that are made for each file of its rows.
+WALK_ROWS, WALK_FOLDS, WALK_SCORES = 2048, 64, 50_000_000
+
+
+def _walk_sums(rows: DataFrame, folds: np.ndarray, gap: int, n: int, add: Callable) -> np.ndarray:
+    """(folds, n): for each fold the sums of add over the rows (_ord, _y, _x) whose place is below fold - gap.
+
+    add(x, cls, some) gives the sums of rows of one class for a slice of the folds; where rows differ in whether a fold has
+    them, add(x, cls, some, has) is given that as a table of rows and folds. A row is never copied for its folds.
+    """
+    below = folds - gap
+
+    def run(batches):
+        out = np.zeros((len(folds), n))
+        for b in batches:
+            ords, said, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _matrix(b.column(2))
+            for cls in (0, 1):
+                own = np.flatnonzero((said == 1) == bool(cls))
+                own = own[np.argsort(ords[own], kind="stable")]
+                for i in range(0, len(own), WALK_ROWS):
+                    o, rows_x = ords[own[i : i + WALK_ROWS]], x[own[i : i + WALK_ROWS]]
+                    first = int(np.searchsorted(below, o[0], "right"))
+                    for at in range(first, len(folds), WALK_FOLDS):
+                        some = slice(at, min(at + WALK_FOLDS, len(folds)))
+                        edge, end = np.searchsorted(o, [below[at], below[some.stop - 1]])
+                        if edge:
+                            out[some] += add(rows_x[:edge], cls, some)
+                        if end > edge:
+                            out[some] += add(rows_x[edge:end], cls, some, o[edge:end, None] < below[None, some])
+        at = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(out[at, j]) for j in range(n)]], names=["at", *[f"v{j}" for j in range(n)]])
+
+    parts = rows.select("_ord", "_y", "_x").mapInArrow(run, ", ".join(["at long", *[f"v{j} double" for j in range(n)]]))
+    got = parts.groupBy("at").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(n)]).toPandas()
+    total = np.zeros((len(folds), n))
+    total[got["at"].to_numpy(np.int64)] = got.drop(columns="at").to_numpy(float)
+    return total
+
+
+def expanding_logistic(rows: DataFrame, group: str, order: str, n_init: int, step: int = 1, gap: int = 0, c: float = 1.0, balanced: bool = True, features: str = "features", y: str = "y", strict: bool = True, rounds: int = 100) -> DataFrame:
+    """logistic() on the folds of splits.expanding_by_group: each is fitted on all groups before it, none is written out.
+
+    A group's moments are merged along the order, so a fold's scaler is one of a row a group. A Newton step is one pass over
+    the rows, which scores each for the folds that train on it: rows times folds in time, as the job asks for, but the
+    rows alone in memory and on disk.
+    """
+    if n_init < 1 or step < 1 or gap < 0:
+        raise ValueError("n_init and step are at least 1, gap at least 0")
+    ords = stash(splits.group_order(rows, group, order), "group-order")
+    last, n_rows = ords.agg(F.max("ord"), F.sum("n_rows")).first()
+    first = n_init + -(-max(0, gap + 1 - n_init) // step) * step
+    folds = np.arange(first, (last or 0) + 1, step)
+    names = dict.fromkeys((order, y, features))
+    placed = rows.join(ords.select(group, F.col("ord").alias("_ord")), group).select("_ord", *names, F.col(y).cast("int").alias("_y"))
+    files = int(len(folds) * (n_rows or 0) // (2 * WALK_SCORES)) + 1
+    placed = stash(placed.repartition(files, order), "walk-rows")
+    source = placed.withColumn("fold", F.col("_ord")).withColumn("role", F.lit("test"))
+    if not len(folds):
+        return _predict(source, ["fold"], order, features, y, lambda key, x: None, strict)
+
+    p = len(placed.select(features).first()[0])
+    x = [F.get(features, F.lit(j)).cast("double") for j in range(p)]
+    per = placed.groupBy("_ord").agg(F.count("*").alias("n"), F.sum("_y").alias("n1"), *[F.avg(v).alias(f"m{j}") for j, v in enumerate(x)], *[(F.var_pop(v) * F.count("*")).alias(f"q{j}") for j, v in enumerate(x)])
+    per = per.toPandas().set_index("_ord").sort_index()
+    stats, n, ones, mean, q = [], 0.0, 0.0, np.zeros(p), np.zeros(p)
+    for r in per.to_numpy(float):
+        k, away = n + r[0], r[2 : 2 + p] - mean
+        mean, q, ones = mean + away * r[0] / k, q + r[2 + p :] + away**2 * n * r[0] / k, ones + r[1]
+        n = k
+        stats.append(np.r_[n, ones, mean, q])
+    stats = np.array(stats)[folds - gap - 1]
+    n, ones, mean, sd = stats[:, 0], stats[:, 1], stats[:, 2 : 2 + p], np.sqrt(stats[:, 2 + p :] / stats[:, :1])
+    sd = np.where(sd > 0, sd, 1.0)
+    weight = np.stack([n / (2 * np.maximum(1, n - ones)), n / (2 * np.maximum(1, ones))], axis=1) if balanced else np.ones((len(n), 2))
+    one_class = (ones == 0) | (ones == n)
+    # rows are scaled once, by the last fold; a fold's own scaling is a linear map from there
+    shift, unit = mean[-1], sd[-1]
+    scaled = placed.select("_ord", "_y", F.array(*[(v - float(shift[j])) / float(unit[j]) for j, v in enumerate(x)]).alias("_x"))
+    to_own = np.zeros((len(folds), p + 1, p + 1))  # (x, 1) @ to_own: the row in the fold's own scale
+    to_own[:, range(p), range(p)], to_own[:, p, p] = unit / sd, 1.0
+    to_own[:, p, :p] = (shift - mean) / sd
+    pairs = [(i, j) for i in range(p + 1) for j in range(i + 1)]
+    upper, lower = np.array(pairs).T
+
+    beta, move, size, loss = np.zeros((len(folds), p + 1)), np.zeros((len(folds), p + 1)), np.ones(len(folds)), np.full(len(folds), np.inf)
+    left, pen = np.flatnonzero(~one_class), np.append(np.full(p, 1 / c), 0.0)
+    for _ in range(rounds if len(left) else 0):
+        trial = beta[left] - size[left, None] * move[left]
+        w = np.einsum("fij,fj->fi", to_own[left], trial).T
+        heavy = weight[left]
+
+        def add(x, cls, some, has=None, w=w, heavy=heavy):
+            a = np.column_stack([x, np.ones(len(x))])
+            z = np.exp(np.clip((a @ w[:, some]) * (1.0 - 2 * cls), -500, 500))
+            missed = z / (1 + z)
+            lost, curve = np.log1p(z), missed / (1 + z)
+            if has is not None:
+                missed, lost, curve = missed * has, lost * has, curve * has
+            grad = (missed.T @ a) * (1.0 - 2 * cls)
+            return np.column_stack([lost.sum(axis=0), grad, curve.T @ (a[:, upper] * a[:, lower])]) * heavy[some, cls : cls + 1]
+
+        v = _walk_sums(scaled, folds[left], gap, 1 + (p + 1) + len(pairs), add)
+        half = np.zeros((len(left), p + 1, p + 1))
+        half[:, upper, lower] = half[:, lower, upper] = v[:, p + 2 :]
+        own = to_own[left]
+        grad = np.einsum("fij,fi->fj", own, v[:, 1 : p + 2]) + pen * trial
+        hess = np.swapaxes(own, 1, 2) @ half @ own + np.diag(pen) + 1e-12 * np.eye(p + 1)
+        now = v[:, 0] + (pen * trial**2).sum(axis=1) / 2
+        up = (now > loss[left] * (1 + 1e-12)) & (size[left] > 1e-8)
+        seen = np.isfinite(loss[left])
+        done = seen & ~up & ((np.abs(trial - beta[left]).max(axis=1) < 1e-10) | (np.abs(loss[left] - now) < 1e-14))
+        size[left[up]] /= 2
+        ok = left[~up]
+        beta[ok], loss[ok], size[ok] = trial[~up], now[~up], 1.0
+        move[ok] = np.linalg.solve(hess[~up], grad[~up, :, None])[:, :, 0]
+        done |= ~up & (np.abs(move[left]).max(axis=1) < 1e-10)  # a step so small needs no look at where it leads
+        beta[left[done]] -= move[left[done]]
+        left = left[~done]
+        if not len(left):
+            break
+
+    place = {int(f): i for i, f in enumerate(folds)}
+
+    def score(key, x):
+        i = place.get(key[0])
+        if i is None:
+            return None
+        return np.full(len(x), float(ones[i] > 0)) if one_class[i] else kernels.sigmoid(((x - mean[i]) / sd[i]) @ beta[i, :-1] + beta[i, -1])
+
+    coefficients = {(int(f),): list(map(float, beta[i, :-1])) for i, f in enumerate(folds) if not one_class[i]}
+    return _predict(source, ["fold"], order, features, y, score, strict, coefficients)
+
+
 def epoch_moments(epochs: DataFrame, channels: str = "channels", out: str = "moments") -> DataFrame:
     """epochs with out: samples, sums and sums of products of the channels, in one array, in place of the samples."""
 

@@ -497,7 +497,7 @@ def naive_logreg(s, d):
 
 def expanding_logreg(s, d):
     w = S.windows(s, d).withColumnRenamed("label", "y").join(_window_features(s, d), "start").select("start", "y", "block", "features")
-    return _summary(models.fit_folds(splits.expanding_by_group(w, "block", "start", LEAST_TRAIN), ["fold"], "start", models.ModelSpec()))
+    return _summary(fold_sums.expanding_logistic(w, "block", "start", LEAST_TRAIN))
 
 
 def chronological_logreg(s, d):

@@ -44,6 +44,23 @@ def test_logistic_of_odd_folds(spark):
     assert fold_sums.logistic(split.limit(0), ["s", "fold"], "row").count() == 0
 
 
+@pytest.mark.parametrize(("step", "gap", "balanced"), [(1, 0, True), (3, 2, False)])
+def test_expanding_logistic_equals_a_fit_of_each_fold(spark, monkeypatch, step, gap, balanced):
+    """No fold is written out or gathered, so there is no limit on its rows; the first folds have one class alone."""
+    df = labelled(spark, 600).withColumn("g", F.expr("row div 7")).withColumn("y", F.when(F.col("g") < 4, 0).otherwise(F.col("y")))
+    split = splits.expanding_by_group(df, "g", "row", 2, step, gap)
+    want = {(r.fold, r.row): r for r in models.fit_folds(split, ["fold"], "row", models.ModelSpec("logistic", {"c": 1.0, "balanced": balanced})).collect()}
+    monkeypatch.setattr(models, "MOST_ROWS", 0)
+    out = fold_sums.expanding_logistic(df.repartition(5), "g", "row", 2, step, gap, balanced=balanced)
+    assert "FlatMapGroups" not in plan(out)
+    got = {(r.fold, r.row): r for r in out.collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert got[k].pred == w.pred and got[k].y == w.y and abs(got[k].proba - w.proba) < 1e-8
+        assert got[k].coefficients == w.coefficients or np.allclose(got[k].coefficients, w.coefficients, atol=1e-7)
+    assert fold_sums.expanding_logistic(df.where("g < 2"), "g", "row", 2).count() == 0
+
+
 def test_patterns_from_merged_moments_equal_those_from_samples(spark):
     rng = np.random.default_rng(2)
     n, y = 90, np.arange(90) % 2
