@@ -16,6 +16,8 @@ from epochfold.session import stash
 MOST_FOLDS = 10_000
 #: Rows of a walk forward that a task spells out on average.
 SPELLED = 5_000_000
+#: Folds of a walk forward that are spelled out at once for each row of a task.
+SPAN = 256
 
 
 def _fan_out(rows: DataFrame, folds: DataFrame, most: int = MOST_FOLDS) -> DataFrame:
@@ -60,7 +62,8 @@ def _walk(rows: DataFrame, place: str, n: int, n_init: int, step: int, gap: int,
 
     A row's folds follow from its place, so they are spelled out in it: no fold is joined to the rows. They are whole
     numbers alone, as the role follows from fold and place. Early rows have the most folds, and a few MB of rows may have
-    billions, so the n_rows rows are dealt out by the hash of spread, a task for each SPELLED of the result.
+    billions, so the n_rows rows are dealt out by the hash of spread, a task for each SPELLED of the result. A task spells
+    out SPAN folds for each of its rows, then the next SPAN: the same few folds over and over are small once written.
     """
     first = n_init + -(-max(0, gap + 1 - n_init) // step) * step
     last = n_init + (n - 1 - n_init) // step * step
@@ -74,9 +77,15 @@ def _walk(rows: DataFrame, place: str, n: int, n_init: int, step: int, gap: int,
     own = first + F.floor((p - first) / step) * step
     test = (p >= first) & (p - own < width) & (own <= last)
     start = first + F.ceil(F.greatest(F.lit(0).cast("long"), p + gap + 1 - first) / step) * step
-    train = F.when(start <= last, F.sequence(start, F.lit(last).cast("long"), F.lit(step).cast("long")))
     none = F.array().cast("array<bigint>")
-    spelled = rows.withColumn("fold", F.explode(F.concat(F.when(test, F.array(own)).otherwise(none), F.coalesce(train, none))))
+    span = lambda f: F.floor((f - first) / (step * SPAN))
+    spans = F.when(start <= last, F.sequence(span(F.when(test, own).otherwise(start)), span(F.lit(last)))).when(test, F.array(span(own)))
+    parts = rows.withColumn("_span", F.explode(spans)).sortWithinPartitions("_span")
+    low = F.col("_span") * (step * SPAN) + first
+    high = F.least(low + step * (SPAN - 1), F.lit(last).cast("long"))
+    train = F.when(F.greatest(start, low) <= high, F.sequence(F.greatest(start, low), high, F.lit(step).cast("long")))
+    held = F.when(test & (own >= low) & (own <= high), F.array(own)).otherwise(none)
+    spelled = parts.withColumn("fold", F.explode(F.concat(held, F.coalesce(train, none)))).drop("_span")
     return spelled.withColumn("role", F.when(F.col("fold") <= p, "test").otherwise("train"))
 
 

@@ -339,3 +339,14 @@ def test_walk_is_spelled_out_by_many_tasks(spark):
     assert sum(per) == sum(f - 5 for f in folds) + n - 20 and len(per) > 2 and max(per) < 2 * sum(per) / len(per)
     few = splits.expanding_by_group(df.where("pos < 2000").withColumn("g", F.expr("pos div 4")), "g", "pos", 5, 1)
     assert few.count() == 4 * sum(f + 1 for f in range(5, 500))
+
+
+def test_walk_forward_is_small_once_written(spark, tmp_path):
+    """Rows times folds are written in an order that repeats: over a byte a row before."""
+    n = 20_000
+    df = spark.range(n).withColumnRenamed("id", "pos")
+    out = splits.expanding_by_row(df, n, 20, 10, 5).select("fold", "pos", "role")
+    out.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows == out.count() == sum(min(f - 5, n) + min(10, n - f) for f in range(20, n, 10))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * rows
